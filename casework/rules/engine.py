@@ -1,28 +1,29 @@
-"""Ordered text rules compiled to Spark expressions.
+"""Ordered text rules compiled to one SQL expression.
 
 A rule pack is data: ordered blocks of :class:`Rule`. ``first_match`` turns a
-pack into one nullable column per block and coalesces them, so a row that
-matches early never evaluates what comes later.
+pack into a nullable CASE per block inside a COALESCE, so a row that matches
+early never evaluates what comes later. SQL text rather than nested Column
+calls: a cascade of some 260 rules is one parse instead of thousands of calls
+into the JVM.
 
-Cost. ``rlike`` decodes the whole string before it can look at it, while
+Cost. ``RLIKE`` decodes the whole string before it can look at it, while
 ``contains`` compares bytes in place. Each pattern therefore gets an *anchor*:
 the longest word it cannot match without. A row lacking the anchor skips the
-regular expression, which is nearly always the case.
+regular expression. A block has *gate* words of which each of its rules needs
+one; a row with none of them skips the block.
 
 Patterns are written with a plain blank for one or more white-space characters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casework.functions.text import AMOUNT, none_if_empty, title_case
+from casework.functions.text import AMOUNT
 
 BARE_AMOUNT = r"\$?([\d,]+(?:\.\d{2})?)"
 DIGIT_RUN = r"[\$\d,]+"
@@ -85,8 +86,8 @@ def regex(pattern: str) -> str:
     return pattern.replace(" ", r"\s+")
 
 
-def anchor(pattern: str) -> str:
-    """Longest word every match of *pattern* must hold; '' when there is none."""
+def fixed_words(pattern: str) -> list[str]:
+    """Words every match of *pattern* must hold; none when it has top-level choices."""
     words, word, depth, i = [], "", 0, 0
     while i < len(pattern):
         ch = pattern[i]
@@ -98,7 +99,7 @@ def anchor(pattern: str) -> str:
             words.append(word)
             word = ""
             if ch == "|" and depth == 0:
-                return ""
+                return []
             if ch == "\\":
                 i += 1
             elif ch == "[":
@@ -110,7 +111,11 @@ def anchor(pattern: str) -> str:
             elif ch == ")":
                 depth -= 1
         i += 1
-    return max([*words, word], key=len)
+    return [w for w in [*words, word] if w]
+
+
+def anchor(pattern: str) -> str:
+    return max(fixed_words(pattern), key=len, default="")
 
 
 def split_window(text: str) -> tuple[str, str]:
@@ -128,96 +133,136 @@ def label_parts(label: str) -> list[tuple[str, str]]:
     return parts
 
 
-def _matches(window: Column, pattern: str) -> Column:
-    word = anchor(pattern)
-    hit = window.rlike(regex(pattern))
-    return window.contains(word) & hit if word else hit
-
-
-def _condition(r: Rule, w: dict[str, Column]) -> Column:
-    def found(text: str) -> Column:
-        window, needle = split_window(text)
-        return w[window].contains(needle)
-
-    tests = [found(t) for t in r.has]
-    tests += [~found(t) for t in r.lacks]
-    if r.has_any:
-        tests.append(reduce(or_, [found(t) for t in r.has_any]))
-    if r.patterns:
-        tests.append(reduce(or_, [_matches(w[r.window], p) for p in r.patterns]))
-    if r.lacks_pattern:
-        window, pattern = r.lacks_pattern
-        tests.append(~w[window].rlike(regex(pattern)))
-    if r.group_has or r.group_filled:
-        group = F.regexp_extract(w[r.window], regex(r.patterns[0]), 1)
-        tests.append(group.contains(r.group_has) if r.group_has else group != "")
-    return reduce(and_, tests)
-
-
-def _amount(source: str, w: dict[str, Column]) -> Column:
-    every = F.regexp_extract_all(w["text"], F.lit(AMOUNT), F.lit(1))
-    if source == "total":
-        # One unreadable amount (commas only) leaves no total, hence try_cast and a null-strict sum.
-        total = F.aggregate(
-            F.transform(every, lambda a: F.replace(a, F.lit(",")).try_cast("double")),
-            F.lit(0.0),
-            lambda a, b: a + b,
-        )
-        return F.when(F.size(every) > 0, F.format_number(total, 2))
-    if source == "first_two":
-        return F.when(F.size(every) > 1, F.concat(F.get(every, F.lit(0)), F.lit(" + $"), F.get(every, F.lit(1))))
-    window, pattern, group = AMOUNTS[source]
-    if window == "after_award":
-        part = F.substr(w["text"], F.instr(w["text"], "award"), F.lit(100))
-        return F.when(w["text"].contains("award"), none_if_empty(F.regexp_extract(part, pattern, group)))
-    return none_if_empty(F.regexp_extract(w[window], pattern, group))
-
-
-def _fill(label: str, r: Rule, w: dict[str, Column], amount: Column | None) -> Column:
-    pieces = []
-    for kind, piece in label_parts(label):
-        if kind == "text":
-            pieces.append(F.lit(piece))
-        elif piece == "amt":
-            pieces.append(amount)
-        else:
-            group = F.regexp_extract(w[r.window], regex(r.patterns[0]), int(piece[0]))
-            case = {"U": F.upper, "T": lambda c: title_case(F.trim(c))}.get(piece[1:])
-            pieces.append(case(group) if case else group)
-    if r.costs:
-        whole = F.regexp_extract(w[r.window], regex(r.patterns[0]), 0)
-        pieces.append(F.when(whole.contains("with costs"), " with costs").otherwise(""))
-    return pieces[0] if len(pieces) == 1 else F.concat(*pieces)
-
+def quote(text: str) -> str:
+    """A raw SQL literal; texts with an apostrophe use the other quote."""
+    return f'r"{text}"' if "'" in text else f"r'{text}'"
 
-def _outcome(r: Rule, w: dict[str, Column]) -> Column:
-    hit = _condition(r, w)
-    if r.amount is None:
-        return F.when(hit, _fill(r.label, r, w, None))
-    amount = _amount(r.amount, w)
-    paid = _fill(r.label, r, w, amount)  # null when there is no amount
-    return F.when(hit, paid if r.bare is None else F.coalesce(paid, F.lit(r.bare)))
 
-
-def add_windows(df: DataFrame, text: Column, prefix: str = "_w_") -> tuple[DataFrame, dict[str, Column]]:
+@dataclass(frozen=True)
+class Dialect:
+    """The few spots where SQL engines differ."""
+
+    quote: Callable[[str], str] = quote
+    like: str = "{c} RLIKE {p}"
+    title: str = (
+        "array_join(transform(regexp_extract_all(lower(trim({c})), {p}, 0),"
+        " x -> concat(upper(left(x, 1)), substr(x, 2))), '')"
+    )
+    every: str = "regexp_extract_all({c}, {p}, 1)"
+    first_two: str = "CASE WHEN size({a}) > 1 THEN concat(get({a}, 0), ' + $', get({a}, 1)) END"
+    # One unreadable amount (commas only) leaves no total.
+    total: str = (
+        "CASE WHEN size({a}) > 0 THEN format_number(aggregate(transform({a},"
+        " x -> try_cast(replace(x, ',') AS DOUBLE)), 0D, (s, x) -> s + x), 2) END"
+    )
+    shortcuts: bool = True
+
+
+SPARK = Dialect()
+
+
+class RuleSql:
+    """Writes the rules of a pack as SQL over the window columns *w*."""
+
+    def __init__(self, w: dict[str, str], dialect: Dialect = SPARK):
+        self.w, self.d = w, dialect
+
+    def like(self, window: str, pattern: str) -> str:
+        test = self.d.like.format(c=self.w[window], p=self.d.quote(regex(pattern)))
+        word = anchor(pattern) if self.d.shortcuts else ""
+        return f"({self.contains(window, word)} AND {test})" if word else test
+
+    def contains(self, window: str, text: str) -> str:
+        return f"contains({self.w[window]}, {self.d.quote(text)})"
+
+    def group(self, r: Rule, number: int) -> str:
+        return f"regexp_extract({self.w[r.window]}, {self.d.quote(regex(r.patterns[0]))}, {number})"
+
+    def any_of(self, tests: Sequence[str]) -> str:
+        return "(" + " OR ".join(tests) + ")"
+
+    def condition(self, r: Rule) -> str:
+        tests = [self.contains(*split_window(t)) for t in r.has]
+        tests += ["NOT " + self.contains(*split_window(t)) for t in r.lacks]
+        if r.has_any:
+            tests.append(self.any_of([self.contains(*split_window(t)) for t in r.has_any]))
+        if r.patterns:
+            tests.append(self.any_of([self.like(r.window, p) for p in r.patterns]))
+        if r.lacks_pattern:
+            tests.append("NOT " + self.like(*r.lacks_pattern))
+        if r.group_has:
+            tests.append(f"contains({self.group(r, 1)}, {self.d.quote(r.group_has)})")
+        if r.group_filled:
+            tests.append(f"{self.group(r, 1)} <> ''")
+        return " AND ".join(tests)
+
+    def amount(self, source: str) -> str:
+        if source in ("total", "first_two"):
+            every = self.d.every.format(c=self.w["text"], p=self.d.quote(AMOUNT))
+            return getattr(self.d, source).format(a=every)
+        window, pattern, number = AMOUNTS[source]
+        column = self.w.get(window)
+        if window == "after_award":
+            column = f"substr({self.w['text']}, greatest(instr({self.w['text']}, 'award'), 1), 100)"
+        found = f"nullif(regexp_extract({column}, {self.d.quote(pattern)}, {number}), '')"
+        if window == "after_award":
+            return f"CASE WHEN {self.contains('text', 'award')} THEN {found} END"
+        return found
+
+    def fill(self, r: Rule) -> str:
+        pieces = []
+        for kind, piece in label_parts(r.label):
+            if kind == "text":
+                pieces.append(self.d.quote(piece))
+            elif piece == "amt":
+                pieces.append(self.amount(r.amount))
+            else:
+                group = self.group(r, int(piece[0]))
+                if piece[1:] == "U":
+                    group = f"upper({group})"
+                elif piece[1:] == "T":
+                    group = self.d.title.format(c=group, p=self.d.quote(r"\p{L}+|[^\p{L}]+"))
+                pieces.append(group)
+        if r.costs:
+            whole = self.group(r, 0)
+            pieces.append(f"CASE WHEN contains({whole}, 'with costs') THEN ' with costs' ELSE '' END")
+        return pieces[0] if len(pieces) == 1 else "(" + " || ".join(pieces) + ")"
+
+    def outcome(self, r: Rule) -> str:
+        """The label of one rule, null when it does not fire (no amount gives null too)."""
+        label = self.fill(r)
+        if r.amount and r.bare is not None:
+            label = f"coalesce({label}, {self.d.quote(r.bare)})"
+        return f"CASE WHEN {self.condition(r)} THEN {label} END"
+
+    def block(self, gate: Sequence[str], rules: Sequence[Rule]) -> str:
+        first = "coalesce(" + ", ".join([self.outcome(r) for r in rules] + ["NULL"]) + ")"
+        if not gate or not self.d.shortcuts:
+            return first
+        return f"CASE WHEN {self.any_of([self.contains('text', g) for g in gate])} THEN {first} END"
+
+
+def add_windows(df: DataFrame, text: Column, prefix: str = "_w_") -> tuple[DataFrame, dict[str, str]]:
     """Lower-case the text once and cut the windows in their own projection."""
     names = {"text": prefix + "text"}
     df = df.withColumn(names["text"], F.lower(text))
-    for side_of in ("text", "tail_2500"):
+    for source in ("text", "tail_2500"):
         cuts = {}
         for name, (side, length, of) in WINDOWS.items():
-            if of == side_of:
-                cut = F.right if side == "right" else F.left
+            if of == source:
                 names[name] = prefix + name
-                cuts[prefix + name] = cut(F.col(names[of]), F.lit(length))
+                cuts[prefix + name] = F.expr(f"{side}({names[of]}, {length})")
         df = df.withColumns(cuts)
-    return df, {name: F.col(column) for name, column in names.items()}
+    return df, names
+
+
+Block = tuple[str, Sequence[str], Sequence[Rule]]
 
 
 def first_match(
     df: DataFrame,
     text: Column,
-    blocks: Sequence[tuple[str, Sequence[Rule]]],
+    blocks: Sequence[Block],
     out: str,
     default: str,
     block_out: str | None = None,
@@ -227,30 +272,50 @@ def first_match(
     With *block_out* the name of the deciding block is added too.
     """
     keep = df.columns
-    df, windows = add_windows(df, text)
-    per_block = [F.coalesce(*[_outcome(r, windows) for r in rules]) for _, rules in blocks]
-    result = F.when(F.coalesce(windows["text"], F.lit("")) == "", F.lit(default)).otherwise(
-        F.coalesce(*per_block, F.lit(default))
-    )
-    added = {out: result}
-    if block_out:
-        which = [F.when(c.isNotNull(), F.lit(name)) for c, (name, _) in zip(per_block, blocks)]
-        added[block_out] = F.coalesce(*which, F.lit("none"))
-    return df.withColumns(added).select(*keep, *added)
+    df, names = add_windows(df, text)
+    sql = RuleSql(names)
+    if block_out is None:
+        labels = ", ".join(sql.block(gate, rules) for _, gate, rules in blocks)
+        df = df.withColumn(out, F.expr(f"coalesce({labels}, {quote(default)})"))
+        return df.select(*keep, out)
+    # label and block name travel in one string so that the cascade is evaluated once
+    parts = [f"('{name}|' || {sql.block(gate, rules)})" for name, gate, rules in blocks]
+    df = df.withColumn("_hit", F.expr(f"coalesce({', '.join(parts)}, {quote('none|' + default)})"))
+    return df.withColumns(
+        {block_out: F.substring_index("_hit", "|", 1), out: F.expr("substr(_hit, instr(_hit, '|') + 1)")}
+    ).select(*keep, out, block_out)
+
+
+def contains_any(column: str, words: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {quote_plain(w)})" for w in words) + ")"
+
 
+def quote_plain(text: str) -> str:
+    """A literal that any SQL engine reads alike (no backslashes inside)."""
+    return f"'{text}'" if "'" not in text else "concat('" + text.replace("'", "', chr(39), '") + "')"
 
-def keyword_label(text: Column, groups: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
-    """Label of the first group of which some keyword occurs in the lower-cased *text*.
+
+def keyword_sql(column: str, groups: Sequence[tuple[str, Sequence[str]]], default: str) -> str:
+    """CASE giving the first group of which some keyword occurs in the lower-cased *column*.
 
     A keyword ``a&&b`` needs both parts, ``a&&b|c`` needs a and one of b, c.
     """
 
-    def holds(keyword: str) -> Column:
-        parts = [reduce(or_, [text.contains(x) for x in p.split("|")]) for p in keyword.split("&&")]
-        return reduce(and_, parts)
+    def holds(keyword: str) -> str:
+        return "(" + " AND ".join(contains_any(column, p.split("|")) for p in keyword.split("&&")) + ")"
+
+    whens = " ".join(
+        f"WHEN {' OR '.join(holds(k) for k in words)} THEN {quote_plain(label)}" for label, words in groups
+    )
+    return f"CASE {whens} ELSE {quote_plain(default)} END"
 
-    found = [F.when(reduce(or_, [holds(k) for k in kws]), F.lit(label)) for label, kws in groups]
-    return F.coalesce(*found, F.lit(default))
+
+def score_sql(column: str, entries: Sequence[tuple[str, int]]) -> str:
+    """Sum of the weights of the keywords that occur in *column*."""
+    return " + ".join(
+        f"CASE WHEN contains({column}, {quote_plain(word)}) THEN {weight} ELSE 0 END"
+        for word, weight in entries
+    )
 
 
 def pattern_label(text: Column, groups: Sequence[tuple[str, str]], default: str) -> Column:

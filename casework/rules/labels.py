@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
-from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from casework.functions.text import SPACES, collapse_spaces
 from casework.rules import label_maps as maps
 from casework.rules import outcome_packs as outcomes
 from casework.rules import type_packs as packs
-from casework.rules.engine import first_match, keyword_label, pattern_label
+from casework.rules.engine import contains_any, first_match, keyword_sql, pattern_label, score_sql
 from casework.rules.verdict_pack import UNKNOWN_VERDICT, VERDICT_BLOCKS
 
 _LOWER, _SCORES = "_type_text", "_type_scores"
@@ -25,37 +23,37 @@ def with_case_type(df: DataFrame, text: str, out: str = "case_type", early: bool
     weights = packs.EARLY_TYPE_WEIGHTS if early else packs.TYPE_WEIGHTS
     defamation = packs.EARLY_DEFAMATION_WORDS if early else packs.DEFAMATION_WORDS
     df = df.withColumn(_LOWER, F.lower(F.coalesce(F.col(text), F.lit(""))))
-    lower = F.col(_LOWER)
-    scores = [
-        reduce(add, [F.when(lower.contains(w), v).otherwise(0) for w, v in entries])
-        for entries in weights.values()
-    ]
+    scores = ", ".join(score_sql(_LOWER, entries) for entries in weights.values())
     # Scores get their own projection so that the comparison does not evaluate them twice.
-    df = df.withColumn(_SCORES, F.array(*scores))
+    df = df.withColumn(_SCORES, F.expr(f"array({scores})"))
     best = F.array_max(_SCORES)
     winner = F.element_at(
         F.array(*[F.lit(name) for name in weights]), F.array_position(_SCORES, best).cast("int")
     )
     label = (
-        F.when(reduce(or_, [lower.contains(w) for w in defamation]), packs.DEFAMATION)
+        F.when(F.expr(contains_any(_LOWER, defamation)), packs.DEFAMATION)
         .when(best == 0, packs.UNCLASSIFIED)
         .otherwise(winner)
     )
     return df.withColumn(out, label).drop(_LOWER, _SCORES)
 
 
+def sub_type_sql(text: str, case_type: str, early: bool = False) -> str:
+    """CASE over the types, each with its own ordered keyword list, for a lower-cased column."""
+    lists = packs.EARLY_SUB_TYPES if early else packs.SUB_TYPES
+    general = packs.EARLY_ANY_TYPE if early else packs.ANY_TYPE
+    whens = " ".join(
+        f"WHEN '{name}' THEN {keyword_sql(text, *groups)}" for name, groups in lists.items()
+    )
+    return f"CASE {case_type} {whens} ELSE {keyword_sql(text, *general)} END"
+
+
 def with_sub_type(
     df: DataFrame, text: str, case_type: str = "case_type", out: str = "sub_type", early: bool = False
 ) -> DataFrame:
     """First keyword hit in the list of the row's case type; a general list for other types."""
-    lists = packs.EARLY_SUB_TYPES if early else packs.SUB_TYPES
-    general = packs.EARLY_ANY_TYPE if early else packs.ANY_TYPE
     df = df.withColumn(_LOWER, F.lower(F.coalesce(F.col(text), F.lit(""))))
-    lower, chosen = F.col(_LOWER), None
-    for name, (groups, default) in lists.items():
-        test, label = F.col(case_type) == name, keyword_label(lower, groups, default)
-        chosen = F.when(test, label) if chosen is None else chosen.when(test, label)
-    return df.withColumn(out, chosen.otherwise(keyword_label(lower, *general))).drop(_LOWER)
+    return df.withColumn(out, F.expr(sub_type_sql(_LOWER, case_type, early))).drop(_LOWER)
 
 
 def with_verdict(df: DataFrame, text: str, out: str = "verdict", block_out: str | None = None) -> DataFrame:

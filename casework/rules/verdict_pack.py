@@ -106,7 +106,7 @@ EXPLICIT_JUDGMENT = [
         r"judgment as to the debt[^.]*is affirmed[^.]*as to the damages reversed",
         r"judgment (?:as to [^,]+)?\s*affirmed[^.]*reversed",
     ),
-    rule("Judgment REMANDED", "(?:judgment|decree) is remanded"),
+    rule("Judgment REMANDED", "(?:judgment|decree) is remanded", has_any=("judgment", "decree")),
 ]
 
 END_OF_DOCUMENT = [
@@ -552,19 +552,50 @@ PROCEDURAL = [
     ),
 ]
 
+# Blocks in order, each with the words of which every one of its rules needs one.
 VERDICT_BLOCKS = [
-    ("claims_quick", CLAIMS_QUICK),
-    ("claims", CLAIMS),
-    ("end_templates", END_TEMPLATES),
-    ("superior_court", SUPERIOR_COURT),
-    ("explicit_judgment", EXPLICIT_JUDGMENT),
-    ("end_of_document", END_OF_DOCUMENT),
-    ("closing_words", CLOSING_WORDS),
-    ("judgment_entry", JUDGMENT_ENTRY),
-    ("administrative", ADMINISTRATIVE),
-    ("directed_judgment", DIRECTED_JUDGMENT),
-    ("claim_specials", CLAIM_SPECIALS),
-    ("party_judgment", PARTY_JUDGMENT),
-    ("claim_amounts", CLAIM_AMOUNTS),
-    ("procedural", PROCEDURAL),
+    ("claims_quick", ("award", "ratified"), CLAIMS_QUICK),
+    ("claims", ("award", "damage", "appropriation"), CLAIMS),
+    ("end_templates", ("award", "judgment", "damages", "reserved"), END_TEMPLATES),
+    ("superior_court", ("judgment", "issues"), SUPERIOR_COURT),
+    ("explicit_judgment", ("judgment", "decree", "curiam"), EXPLICIT_JUDGMENT),
+    ("end_of_document", (), END_OF_DOCUMENT),
+    ("closing_words", (), CLOSING_WORDS),
+    (
+        "judgment_entry",
+        (
+            "plaintiff", "defendant", "judgment", "complaint", "divorce", "court", "injunction",
+            "desertion", "forfeiture", "legacy", "negligence",
+        ),
+        JUDGMENT_ENTRY,
+    ),
+    ("administrative", ("award", "claim", "appropriation"), ADMINISTRATIVE),
+    (
+        "directed_judgment",
+        (
+            "judgment", "interlocutory", "executor", "declared", "accidental", "deposition",
+            "incumbrances", "plaintiff", "defendant",
+        ),
+        DIRECTED_JUDGMENT,
+    ),
+    (
+        "claim_specials",
+        ("award", "claim", "negligence", "risk", "respondent", "enemy", "liability"),
+        CLAIM_SPECIALS,
+    ),
+    (
+        "party_judgment",
+        ("judgment", "issues", "default", "injunction", "scope", "answer", "action"),
+        PARTY_JUDGMENT,
+    ),
+    (
+        "claim_amounts",
+        ("award", "claim", "architects", "exxon", "jail", "timber"),
+        CLAIM_AMOUNTS,
+    ),
+    (
+        "procedural",
+        ("demurrer", "plea", "motion", "instruction", "injunction", "writ", "bill", "held", "points"),
+        PROCEDURAL,
+    ),
 ]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casework.rules import labels
-from casework.rules.engine import anchor, regex
+from casework.rules.engine import anchor, fixed_words, regex, split_window
 from casework.rules.label_maps import LEVEL_0, SUB_TYPE_SCHEMES
 from casework.rules.verdict_pack import VERDICT_BLOCKS
 from tests.goldens import CASE_TYPES, FOUR_CLASS_FORMS, GROUPS, SUB_TYPES, VERDICTS
@@ -66,13 +66,25 @@ def test_anchor_is_always_in_a_match():
     assert anchor("judgment is directed for the plaintiffs?") == "plaintiff"
     assert anchor("(?:judgment|decree) is (affirmed|reversed)") == "is"
     assert anchor("a|b") == ""
-    for _, rules in VERDICT_BLOCKS:
+    assert fixed_words("award o[f]? (?:the )?sum x{2}y") == ["award", "o", "sum", "y"]
+    for _, _, rules in VERDICT_BLOCKS:
         for r in rules:
             for p in r.patterns:
-                assert anchor(p) in regex(p) or anchor(p) == ""
+                assert anchor(p) in regex(p)
                 re.compile(regex(p))
 
 
+def test_gates_cover_every_rule():
+    for name, gate, rules in VERDICT_BLOCKS:
+        for r in rules if gate else []:
+            needed = [[split_window(h)[1]] for h in r.has] + ([list(r.has_any)] if r.has_any else [])
+            by_text = any(all(any(g in t for g in gate) for t in texts) for texts in needed)
+            by_pattern = bool(r.patterns) and all(
+                any(g in w for g in gate for w in fixed_words(p)) for p in r.patterns
+            )
+            assert by_text or by_pattern, (name, r)
+
+
 def test_verdict_groups(spark):
     df = spark.createDataFrame(GROUPS, "verdict string, expected string")
     rows = df.withColumn("g", labels.verdict_group(F.col("verdict"))).collect()
