@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def round_even(value: Column, digits: int) -> Column:
-    """Round half to even on the binary value, as numpy does (2.675 -> 2.67, 0.125 -> 0.12)."""
+    """Scale, round half to even, scale back, as numpy does (0.125 -> 0.12, 0.375 -> 0.38)."""
     scale = float(10**digits)
     return F.rint(value.cast("double") * F.lit(scale)) / F.lit(scale)
 
