@@ -142,7 +142,8 @@ def title_case(c: Column) -> Column:
     return F.array_join(
         F.transform(
             runs,
-            lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))),
+            # initcap of the upper-cased letter: one that widens, as in 'Ss', keeps one capital
+            lambda x: F.concat(F.initcap(F.upper(F.substring(x, 1, 1))), x.substr(F.lit(2), F.length(x))),
         ),
         "",
     )

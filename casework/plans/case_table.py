@@ -11,6 +11,7 @@ from casework.functions.pages import page_text
 from casework.functions.sidecar import parse_sidecar
 from casework.rules import labels
 from casework.schemas import CASE
+from casework.session import compute_once
 
 
 def label_cases(df: DataFrame, text: str = "case_text", block_out: str | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def label_cases(df: DataFrame, text: str = "case_text", block_out: str | None =
     df = labels.with_case_type(df, text)
     df = labels.with_sub_type(df, text)
     df = labels.with_verdict(df, text, block_out=block_out)
-    df = df.withColumn("citations", cites.extract_citations(F.col(text)))
+    df = compute_once(df, {"citations": cites.extract_citations(F.col(text))})
     return df.withColumns(
         {
             "num_citations": cites.citation_count(F.col("citations")),
@@ -29,14 +30,14 @@ def label_cases(df: DataFrame, text: str = "case_text", block_out: str | None =
 
 def process_cases(raw: DataFrame) -> DataFrame:
     """(source, stem, html, json) rows to the sixteen-column case table; pages without text drop out."""
-    df = raw.withColumn("_page", page_text(F.col("html"))).drop("html")
-    df = df.withColumn("_text", txt.clean_text(F.col("_page"))).filter(F.col("_text") != "")
+    df = compute_once(raw, {"_page": page_text(F.col("html"))}).drop("html")
+    df = compute_once(df, {"_text": txt.clean_text(F.col("_page"))}).filter(F.col("_text") != "")
     df = parse_sidecar(df, "json")
     text = F.col("_text")
     df = labels.with_case_type(df, "_text")
     df = labels.with_sub_type(df, "_text")
     df = labels.with_verdict(df, "_text")
-    df = df.withColumn("_cites", cites.extract_citations(text, F.col("sidecar_citations")))
+    df = compute_once(df, {"_cites": cites.extract_citations(text, F.col("sidecar_citations"))})
     columns = {
         "case_id": txt.case_id_from_stem(F.col("stem")),
         "case_name": txt.extract_case_name(F.col("name"), text, F.col("stem")),

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions.text import AMOUNT
+from casework.session import compute_once
 
 BARE_AMOUNT = r"\$?([\d,]+(?:\.\d{2})?)"
 DIGIT_RUN = r"[\$\d,]+"
@@ -146,7 +147,7 @@ class Dialect:
     like: str = "{c} RLIKE {p}"
     title: str = (
         "array_join(transform(regexp_extract_all(lower(trim({c})), {p}, 0),"
-        " x -> concat(upper(left(x, 1)), substr(x, 2))), '')"
+        " x -> concat(initcap(upper(left(x, 1))), substr(x, 2))), '')"
     )
     every: str = "regexp_extract_all({c}, {p}, 1)"
     first_two: str = "CASE WHEN size({a}) > 1 THEN concat(get({a}, 0), ' + $', get({a}, 1)) END"
@@ -276,11 +277,11 @@ def first_match(
     sql = RuleSql(names)
     if block_out is None:
         labels = ", ".join(sql.block(gate, rules) for _, gate, rules in blocks)
-        df = df.withColumn(out, F.expr(f"coalesce({labels}, {quote(default)})"))
-        return df.select(*keep, out)
+        df = compute_once(df, {out: F.expr(f"coalesce({labels}, {quote(default)})")})
+        return df.select(*[c for c in keep if c != out], out)
     # label and block name travel in one string so that the cascade is evaluated once
     parts = [f"('{name}|' || {sql.block(gate, rules)})" for name, gate, rules in blocks]
-    df = df.withColumn("_hit", F.expr(f"coalesce({', '.join(parts)}, {quote('none|' + default)})"))
+    df = compute_once(df, {"_hit": F.expr(f"coalesce({', '.join(parts)}, {quote('none|' + default)})")})
     return df.withColumns(
         {block_out: F.substring_index("_hit", "|", 1), out: F.expr("substr(_hit, instr(_hit, '|') + 1)")}
     ).select(*keep, out, block_out)

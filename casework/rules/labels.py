@@ -14,6 +14,7 @@ from casework.rules import outcome_packs as outcomes
 from casework.rules import type_packs as packs
 from casework.rules.engine import contains_any, first_match, keyword_sql, pattern_label, score_sql
 from casework.rules.verdict_pack import UNKNOWN_VERDICT, VERDICT_BLOCKS
+from casework.session import compute_once
 
 _LOWER, _SCORES = "_type_text", "_type_scores"
 
@@ -35,7 +36,7 @@ def with_case_type(df: DataFrame, text: str, out: str = "case_type", early: bool
         .when(best == 0, packs.UNCLASSIFIED)
         .otherwise(winner)
     )
-    return df.withColumn(out, label).drop(_LOWER, _SCORES)
+    return compute_once(df, {out: label}).drop(_LOWER, _SCORES)
 
 
 def sub_type_sql(text: str, case_type: str, early: bool = False) -> str:
@@ -53,7 +54,7 @@ def with_sub_type(
 ) -> DataFrame:
     """First keyword hit in the list of the row's case type; a general list for other types."""
     df = df.withColumn(_LOWER, F.lower(F.coalesce(F.col(text), F.lit(""))))
-    return df.withColumn(out, F.expr(sub_type_sql(_LOWER, case_type, early))).drop(_LOWER)
+    return compute_once(df, {out: F.expr(sub_type_sql(_LOWER, case_type, early))}).drop(_LOWER)
 
 
 def with_verdict(df: DataFrame, text: str, out: str = "verdict", block_out: str | None = None) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "casework", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,3 +62,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
+
+
+def compute_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly *columns* so that later filters and projections reuse their values.
+
+    A plain projection would be copied into every expression above it: a filter on
+    a label derived from the verdict would run the cascade once per mention. The
+    optimizer does not look through a generator, so a one-element ``inline`` keeps
+    the value a value. It stays inside the task; nothing is shuffled.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    values = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*kept, F.inline(F.array(values)))
