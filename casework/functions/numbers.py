@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def round_even(value: Column, digits: int) -> Column:
     """Scale, round half to even, scale back, as numpy does (0.125 -> 0.12, 0.375 -> 0.38)."""
     scale = float(10**digits)
-    return F.rint(value.cast("double") * F.lit(scale)) / F.lit(scale)
+    # adding 0.0 turns a negative zero into zero
+    return F.rint(value.cast("double") * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def share(part: Column, whole: Column, digits: int = 2) -> Column:

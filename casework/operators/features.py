@@ -222,7 +222,8 @@ def one_hot(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("code", "category"))), lambda e: e["category"]).alias("n")
     )
     key = F.coalesce(F.col(col).cast("string"), F.lit("unknown"))
-    return df.withColumn(out, F.transform(names.scalar(), lambda c: (c == key).cast("int")))
+    df = df.withColumn("_names", names.scalar())
+    return df.withColumn(out, F.transform("_names", lambda c: (c == key).cast("int"))).drop("_names")
 
 
 def numeric_features(df: DataFrame) -> DataFrame:

@@ -62,11 +62,25 @@ def corpus_stats(cleaned: DataFrame) -> DataFrame:
     )
 
 
+def counts_by_section(df: DataFrame, sections: dict[str, Column]) -> DataFrame:
+    """(section, label, n) of several columns in one pass over the rows; null labels are counted too."""
+    pairs = [F.struct(F.lit(name).alias("section"), c.cast("string").alias("label")) for name, c in sections.items()]
+    return (
+        df.select(F.inline(F.array(*pairs))).groupBy("section", "label").agg(F.count("*").alias("n"))
+    )
+
+
 def corpus_distributions(cleaned: DataFrame) -> DataFrame:
     """The three label lists of the statistics page, tagged by list."""
-    clean = cleaned.filter("is_clean")
     lists = (("case_type", "case_type_mapped", 10), ("verdict", "verdict_mapped", 10), ("court", "court", 8))
-    parts = [distribution(clean, col, n).withColumn("list", F.lit(name)) for name, col, n in lists]
+    counts = counts_by_section(cleaned.filter("is_clean"), {name: F.col(col) for name, col, _ in lists})
+    counts = counts.filter(F.col("label").isNotNull())
+    parts = []
+    for name, _, n in lists:
+        own = counts.filter(F.col("section") == name)
+        total = own.agg(F.sum("n").alias("total"))
+        top = own.withColumn("percent", share(F.col("n"), total.scalar())).orderBy(F.desc("n"), "label").limit(n)
+        parts.append(top.withColumnRenamed("section", "list"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -170,9 +184,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], pieces: int
             F.percentile_approx("v", [i / pieces for i in range(1, pieces)], pieces * 8)
         ).alias("cuts")
     )
-    placed = values.withColumn(
-        "piece", F.size(F.filter(cuts.scalar(), lambda c: c < F.col("v")))
-    )
+    placed = values.withColumn("cuts", cuts.scalar())
+    placed = placed.select("v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece"))
     distinct = placed.groupBy("piece", "v").agg(F.count("*").alias("n"))
     per_piece = distinct.groupBy("piece").agg(F.sum("n").alias("piece_n"))
     before = F.sum("piece_n").over(W.orderBy("piece")) - F.col("piece_n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casework.functions.numbers import round_even, share
 from casework.functions.text import is_empty, year_number
-from casework.operators.profile import counts_of
+from casework.operators.profile import counts_by_section
 from casework.schemas import REQUIRED_COLUMNS
 
 # The column and the label that means "not known".
@@ -92,26 +92,36 @@ def passed(report: DataFrame) -> bool:
 
 
 def etl_summary(df: DataFrame) -> DataFrame:
-    """(section, label, n, percent): the run report's lists, year range, citations and quality."""
-    total = df.agg(F.count("*").alias("n"))
-
-    def section(name: str, col: str, n: int | None) -> DataFrame:
-        counts = counts_of(df, col).orderBy(F.desc("n"), "label")
-        counts = counts if n is None else counts.limit(n)
-        return counts.select(
-            F.lit(name).alias("section"), "label", "n", share(F.col("n"), total.scalar(), 1).alias("percent")
-        )
+    """(section, label, n, percent): the run report's lists, year range, citations and quality.
 
-    year = year_number(F.col("year"))
-    known = {col: F.count_if(~F.col(col).eqNullSafe(F.lit(bad))) for col, bad in KNOWN}
-    row = df.agg(
-        F.count("*").alias("total"),
-        F.min(year).alias("min_year"),
-        F.max(year).alias("max_year"),
-        F.sum("num_citations").alias("citations"),
-        F.avg("num_citations").alias("avg_citations"),
-        *[c.alias(n) for n, c in known.items()],
+    The table is read once: every figure comes from the counts per label.
+    """
+    lists = {"source": "source_folder", "case_type": "case_type", "sub_type": "sub_type", "verdict": "verdict"}
+    limits = {"case_type": 10, "sub_type": 15, "verdict": 10}
+    sections = {name: F.col(c) for name, c in lists.items()}
+    sections["year"] = year_number(F.col("year"))
+    sections["citations"] = F.col("num_citations")
+    counts = counts_by_section(df, sections)
+    label, n = F.col("label"), F.col("n")
+
+    def within(name: str, value):
+        return F.when(F.col("section") == name, value)
+
+    number = label.try_cast("bigint")
+    row = counts.agg(
+        F.sum(within("source", n)).alias("total"),
+        F.min(within("year", number)).alias("min_year"),
+        F.max(within("year", number)).alias("max_year"),
+        F.sum(within("citations", number * n)).alias("citations"),
+        F.sum(within("citations", F.when(number.isNotNull(), n))).alias("counted"),
+        *[F.sum(within(c, F.when(~label.eqNullSafe(F.lit(bad)), n).otherwise(0))).alias(c) for c, bad in KNOWN],
     )
+    total = row.select("total").scalar()
+
+    def section(name: str) -> DataFrame:
+        own = counts.filter((F.col("section") == name) & label.isNotNull()).orderBy(F.desc("n"), "label")
+        own = own.limit(limits[name]) if name in limits else own
+        return own.withColumn("percent", share(n, total, 1))
 
     def line(section: str, label: str, n, percent):
         return F.struct(
@@ -125,14 +135,8 @@ def etl_summary(df: DataFrame) -> DataFrame:
     facts = [
         line("year", "min", F.col("min_year"), nothing),
         line("year", "max", F.col("max_year"), nothing),
-        line("citations", "total", F.col("citations"), round_even(F.col("avg_citations"), 2)),
-        *[line("quality", n, F.col(n), share(F.col(n), F.col("total"), 1)) for n in known],
-    ]
-    lists = [
-        section("source", "source_folder", None),
-        section("case_type", "case_type", 10),
-        section("sub_type", "sub_type", 15),
-        section("verdict", "verdict", 10),
-        row.select(F.inline(F.array(*facts))),
+        line("citations", "total", F.col("citations"), round_even(F.col("citations") / F.col("counted"), 2)),
+        *[line("quality", c, F.col(c), share(F.col(c), F.col("total"), 1)) for c, _ in KNOWN],
     ]
-    return reduce(DataFrame.unionByName, lists)
+    parts = [section(name) for name in lists] + [row.select(F.inline(F.array(*facts)))]
+    return reduce(DataFrame.unionByName, parts)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from casework.functions.citations import citation_count, extract_citations, joined_citations
 from casework.functions.text import SPACES, collapse_spaces
 from casework.plans.case_table import clean_cases, label_cases
-from casework.session import compute_once, spread
+from casework.session import compute_once, cut_lineage, spread
 
 HEADINGS = [
     "Smith v. Jones appeared before the court.",
@@ -89,8 +89,15 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_cases(cases(spark, sf_dir))
+    """The labelled case table, written once per session as an extraction run would, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = cut_lineage(label_cases(cases(spark, sf_dir)), "cases")
+    return _written[key]
 
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +173,7 @@ PREDICTIONS = """p AS (
 
 
 def r_even(x: str, digits: int) -> str:
-    return f"(round_even(CAST({x} AS DOUBLE) * 1e{digits}, 0) / 1e{digits})"
+    return f"(round_even(CAST({x} AS DOUBLE) * 1e{digits}, 0) / 1e{digits} + 0e0)"
 
 
 def pct(part: str, whole: str, digits: int = 2) -> str:
