@@ -28,7 +28,7 @@ def extract_citations(text: Column, sidecar: Column | None = None) -> Column:
         given = F.coalesce(sidecar, F.array().cast("array<string>"))
         found.append(F.filter(given, lambda x: x.isNotNull() & (x != "")))
     every = reduce(lambda a, b: F.concat(a, b), found)
-    return F.array_sort(F.array_distinct(F.transform(every, lambda x: F.trim(x))))
+    return F.sort_array(F.array_distinct(F.transform(every, lambda x: F.trim(x))))
 
 
 def citation_count(citations: Column) -> Column:

@@ -25,7 +25,7 @@ def confusion(df: DataFrame, true: str, pred: str, normalise: bool = False) -> D
     """(true, pred, n) for every label pair, zero included; with the row share if asked."""
     pairs = _pairs(df, true, pred)
     labels = pairs.select(F.explode(F.array("true", "pred")).alias("label")).distinct()
-    every = labels.agg(F.array_sort(F.collect_set("label")).alias("labels"))  # one entry per class
+    every = labels.agg(F.sort_array(F.collect_set("label")).alias("labels"))  # one entry per class
     grid = labels.select(F.col("label").alias("true"), F.explode(every.scalar()).alias("pred"))
     cells = grid.join(pairs, ["true", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     if not normalise:
@@ -148,7 +148,7 @@ def top_k_accuracy(df: DataFrame, true: str, scores: str, k: int = 3) -> DataFra
 
     Equal scores rank by label.
     """
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("label"))
         )

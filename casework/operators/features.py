@@ -18,6 +18,7 @@ from pyspark.sql.types import StructField, StructType
 
 from casework.functions.numbers import round_even
 from casework.functions.text import strip_accents
+from casework.session import compute_once
 
 WORDS_AND_APOSTROPHES = r"[\p{L}\p{N}_']+"
 WORDS_OF_TWO = r"[\p{L}\p{N}_]{2,}"
@@ -61,6 +62,10 @@ def tokens(text: Column, spec: TfidfSpec) -> Column:
     )
 
 
+def _run_of(words: Column, n: int):
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def ngrams(words: Column, low: int, high: int) -> Column:
     """Runs of low..high words joined by a blank, stop words already gone."""
     parts = []
@@ -69,7 +74,7 @@ def ngrams(words: Column, low: int, high: int) -> Column:
             parts.append(words)
             continue
         starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        runs = F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
+        runs = F.transform(starts, _run_of(words, n))
         parts.append(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
@@ -86,9 +91,11 @@ def _runs(terms: str) -> Column:
 
 def term_counts(df: DataFrame, row_id: str, text: str, spec: TfidfSpec, *carry: str) -> DataFrame:
     """One row per document with ``terms``: array of (term, tf), counted inside the row."""
-    df = df.select(row_id, *carry, tokens(F.col(text), spec).alias("_words"))
-    df = df.withColumn("_terms", F.array_sort(ngrams(F.col("_words"), *spec.ngrams)))
-    df = df.withColumn("_starts", _runs("_terms"))
+    # Each array is computed once: copied into a lambda it would be rebuilt per element.
+    df = compute_once(df.select(row_id, *carry, text), {"_words": tokens(F.col(text), spec)})
+    terms = F.sort_array(ngrams(F.col("_words"), *spec.ngrams))
+    df = compute_once(df.drop(text), {"_terms": terms})
+    df = compute_once(df.drop("_words"), {"_starts": _runs("_terms")})
     t, s = F.col("_terms"), F.col("_starts")
     counted = F.transform(
         s,
@@ -97,7 +104,7 @@ def term_counts(df: DataFrame, row_id: str, text: str, spec: TfidfSpec, *carry:
             (F.coalesce(F.get(s, j + 1), F.size(t) + 1) - p).alias("tf"),
         ),
     )
-    return df.select(row_id, *carry, counted.alias("terms"))
+    return compute_once(df, {"terms": counted}).select(row_id, *carry, "terms")
 
 
 def vocabulary(counted: DataFrame, spec: TfidfSpec) -> DataFrame:
@@ -106,9 +113,9 @@ def vocabulary(counted: DataFrame, spec: TfidfSpec) -> DataFrame:
     docs = counted.agg(F.count("*").alias("n"))
     n = docs.scalar()
     stats = (
-        counted.select(F.explode("terms").alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
+        counted.select(F.inline("terms"))
+        .groupBy("term")
+        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
     )
 
     def bound(value: int | float) -> Column:
@@ -128,9 +135,7 @@ def weigh(counted: DataFrame, vocab: DataFrame, row_id: str, spec: TfidfSpec, *c
     small = bool(spec.max_features) and spec.max_features <= BROADCAST_TERMS
     table = vocab.select("term", "idx", "idf")
     table = F.broadcast(table) if small else table
-    long = counted.select(row_id, *carry, F.explode_outer("terms").alias("t")).select(
-        row_id, *carry, F.col("t.term").alias("term"), F.col("t.tf").alias("tf")
-    )
+    long = counted.select(row_id, *carry, F.inline_outer("terms"))
     tf = F.log("tf") + 1 if spec.sublinear else F.col("tf").cast("double")
     entry = F.struct("idx", "term", (tf * F.col("idf")).alias("w"))
     grouped = (
@@ -138,10 +143,10 @@ def weigh(counted: DataFrame, vocab: DataFrame, row_id: str, spec: TfidfSpec, *c
         .groupBy(row_id, *carry)
         # collect_list skips the nulls of terms outside the vocabulary; a group is one document
         .agg(F.collect_list(F.when(F.col("idx").isNotNull(), entry)).alias("raw"))
-        .withColumn("raw", F.array_sort("raw"))
     )
+    grouped = compute_once(grouped, {"raw": F.sort_array("raw")})
     norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    grouped = grouped.withColumn("_norm", norm)
+    grouped = compute_once(grouped, {"_norm": norm})
     scaled = F.transform(
         "raw",
         lambda e: F.struct(
@@ -219,7 +224,7 @@ def label_decode(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFra
 def one_hot(df: DataFrame, col: str, codes: DataFrame, out: str) -> DataFrame:
     """Array of 0/1 per category in code order; all zero for a category never seen."""
     names = codes.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("code", "category"))), lambda e: e["category"]).alias("n")
+        F.transform(F.sort_array(F.collect_list(F.struct("code", "category"))), lambda e: e["category"]).alias("n")
     )
     key = F.coalesce(F.col(col).cast("string"), F.lit("unknown"))
     df = df.withColumn("_names", names.scalar())

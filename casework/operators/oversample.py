@@ -33,7 +33,7 @@ def smote(df: DataFrame, label: str, row_id: str, vector: str, k: int = 5, seed:
 
     near = top_k(minority, minority, k, metric="l2", same="label", skip="id")
     neighbours = near.groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("near")
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda e: e["id"]).alias("near")
     )  # k entries per row
     copies = copies.join(neighbours, copies["id"] == neighbours["query_id"])
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "id", "copy"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casework.functions.numbers import round_even
 from casework.functions.text import collapse_spaces
+from casework.session import compute_once
 
 CHUNK_WORDS, CHUNK_OVERLAP = 300, 50
 CHUNK_METADATA = ("case_type", "sub_type", "verdict", "court", "year")
@@ -41,7 +42,7 @@ def chunk(
         else F.create_map().cast("map<string,string>")
     )
     words = F.split(collapse_spaces(F.col(text)), " ")
-    df = df.select(key.alias("case_id"), words.alias("_w"), labels.alias("metadata"))
+    df = compute_once(df.select(key.alias("case_id"), text, labels.alias("metadata")), {"_w": words}).drop(text)
     df = df.filter((F.size("_w") > 0) & (F.element_at("_w", 1) != ""))
     count = F.size("_w")
     chunks = F.when(count <= size, 1).otherwise(F.ceil((count - size) / F.lit(step)) + 1).cast("int")
@@ -252,7 +253,7 @@ def format_context(hits: DataFrame) -> DataFrame:
     """(query_id, context, sources): the hits of a query, at most k, in rank order."""
     line = context_line(F.col("rank"), F.col("id"), F.col("score"), F.col("metadata"), F.col("text"))
     entry = F.struct("rank", line.alias("line"), F.col("id").alias("id"))
-    grouped = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    grouped = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     return grouped.select(
         "query_id",
         F.array_join(F.transform("e", lambda x: x["line"]), "\n\n").alias("context"),

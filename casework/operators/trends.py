@@ -34,7 +34,7 @@ def yearly_counts(df: DataFrame, label: str, year: str = "year_numeric") -> Data
         .groupBy(F.col(year).cast("int").alias("year"), F.col(label).alias("label"))
         .agg(F.count("*").alias("n"))
     )
-    labels = counts.agg(F.array_sort(F.collect_set("label")).alias("l"))  # one entry per label
+    labels = counts.agg(F.sort_array(F.collect_set("label")).alias("l"))  # one entry per label
     grid = counts.select("year").distinct().withColumn("label", F.explode(labels.scalar()))
     return grid.join(counts, ["year", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

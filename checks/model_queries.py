@@ -112,13 +112,17 @@ def _(spark, sf):
 # -- features ----------------------------------------------------------------------
 
 
+_ONE_WORD = """pos AS (SELECT k, unnest(ws) AS t, generate_subscripts(ws, 1) AS i FROM tok),
+one AS (SELECT k, t, lead(t) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM pos WINDOW w AS (PARTITION BY k ORDER BY i))"""
+
+
 def tfidf_sql(source: str, key: str, text: str, pattern: str, high: int, size: int, min_df: int, max_share: float) -> str:
     """CTEs up to ``w``: (key, term, x) with unit norm, smoothed idf, sublinear counts."""
-    grams = "SELECT k, unnest(ws) AS term FROM tok"
+    grams = "SELECT k, t AS term FROM one"
     if high > 1:
-        grams += " UNION ALL SELECT k, ws[i] || ' ' || ws[i + 1] FROM (SELECT k, ws, unnest(range(1, len(ws))) AS i FROM tok)"
+        grams += " UNION ALL SELECT k, t || ' ' || t2 FROM one WHERE t2 IS NOT NULL"
     return f"""tok AS MATERIALIZED (SELECT {key} AS k, regexp_extract_all(strip_accents(lower({text})), {lit(pattern)}) AS ws FROM {source}),
-grams AS ({grams}), tf AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM grams GROUP BY 1, 2),
+{_ONE_WORD}, grams AS ({grams}), tf AS MATERIALIZED (SELECT k, term, count(*) AS tf FROM grams GROUP BY 1, 2),
 docs AS (SELECT count(*) AS n FROM tok),
 voc AS MATERIALIZED (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY 1), docs
   WHERE df >= {min_df} AND df <= {max_share} * n ORDER BY total DESC, term LIMIT {size}),
@@ -141,9 +145,9 @@ _WORDS = "list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p
 
 @register(
     "tfidf_vocabulary",
-    f"""WITH tok AS (SELECT doc_id AS k, {_WORDS} AS ws FROM documents), grams AS (SELECT k, unnest(ws) AS term FROM tok
-  UNION ALL SELECT k, ws[i] || ' ' || ws[i + 1] FROM (SELECT k, ws, unnest(range(1, len(ws))) AS i FROM tok)
-  UNION ALL SELECT k, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM tok)),
+    f"""WITH tok AS (SELECT doc_id AS k, {_WORDS} AS ws FROM documents), {_ONE_WORD},
+grams AS (SELECT k, t AS term FROM one UNION ALL SELECT k, t || ' ' || t2 FROM one WHERE t2 IS NOT NULL
+  UNION ALL SELECT k, t || ' ' || t2 || ' ' || t3 FROM one WHERE t3 IS NOT NULL),
 st AS (SELECT term, sum(tf) AS total, count(*) AS df FROM (SELECT k, term, count(*) AS tf FROM grams GROUP BY 1, 2) GROUP BY 1),
 kept AS (SELECT * FROM st WHERE df >= 3 AND df <= 0.5 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 500)
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS idx, df, {r_even('ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1', 6)} AS idf FROM kept""",
