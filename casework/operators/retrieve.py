@@ -123,7 +123,7 @@ def top_k(
     """
     id_type = vectors.schema["id"].dataType.simpleString()
     query_type = queries.schema["id"].dataType.simpleString()
-    extra = [c for c in (same, skip) if c]
+    extra = [c for c in (same, skip) if c and c != "id"]
     q = queries.filter("embedding IS NOT NULL").select("id", "embedding", *dict.fromkeys(extra))
     v = vectors.filter("embedding IS NOT NULL").select("id", "embedding", *dict.fromkeys(extra))
     schema = f"query_id {query_type}, id {id_type}, score double"
@@ -240,7 +240,8 @@ def similar_cases(cases: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame
 
 
 def context_line(rank: Column, hit_id: Column, score: Column, metadata: Column, text: Column) -> Column:
-    head = F.format_string("[Case %d] ID=%s  Score=%.3f", rank, hit_id.cast("string"), score)
+    # format_number rounds the binary value, as the usual %.3f does; format_string rounds its decimal text
+    head = F.format_string("[Case %d] ID=%s  Score=%s", rank, hit_id.cast("string"), F.format_number(score, 3))
     kind = F.try_element_at(metadata, F.lit("case_type"))
     verdict = F.coalesce(F.try_element_at(metadata, F.lit("verdict")), F.lit("?"))
     labels = F.when(
