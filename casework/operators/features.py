@@ -62,20 +62,19 @@ def tokens(text: Column, spec: TfidfSpec) -> Column:
     )
 
 
-def _run_of(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, n), " ")
-
-
 def ngrams(words: Column, low: int, high: int) -> Column:
     """Runs of low..high words joined by a blank, stop words already gone."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(words)
-            continue
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        runs = F.transform(starts, _run_of(words, n))
-        parts.append(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    runs, parts = words, []
+    for n in range(1, high + 1):
+        if n > 1:
+            count = F.size(words) - (n - 1)
+            longer = F.zip_with(
+                F.slice(runs, 1, count), F.slice(words, n, count), lambda a, b: F.concat(a, F.lit(" "), b)
+            )
+            runs = F.when(count > 0, longer).otherwise(none)
+        if n >= low:
+            parts.append(runs)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

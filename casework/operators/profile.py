@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -170,49 +171,68 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
+def _cuts_below(cuts: Column, v: Column, most: int) -> Column:
+    """How many of the sorted cuts lie below v, by halving steps (past the end there is nothing below)."""
+    steps = [1 << i for i in reversed(range(most.bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(x) for x in steps]),
+        F.lit(0),
+        lambda at, step: at + F.when(F.coalesce(F.get(cuts, at + step - 1) < v, F.lit(False)), step).otherwise(0),
+    )
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], pieces: int = 256) -> DataFrame:
     """(prob, value) with linear interpolation, exact at any size.
 
     ``percentile`` would keep every distinct value in one task's buffer. Here an
     approximate sketch cuts the value range into pieces, the piece counts say
-    which pieces hold the wanted ranks, and only those pieces are ranked: per
-    distinct value, so a value filling a third of the rows is one row.
+    which pieces hold the wanted ranks, and only those pieces are read again and
+    ranked: per distinct value, so a value filling a third of the rows is one
+    row. The driver sees the cuts and the piece counts, *pieces* numbers each.
     """
     values = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
-    cuts = values.agg(
-        F.array_distinct(
-            F.percentile_approx("v", [i / pieces for i in range(1, pieces)], pieces * 8)
-        ).alias("cuts")
+    marks = [i / pieces for i in range(1, pieces)]
+    cuts = values.agg(F.array_distinct(F.percentile_approx("v", marks, pieces * 4)).alias("c")).first()["c"] or []
+    below = _cuts_below(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), F.col("v"), pieces)
+    sizes = {r["piece"]: r["count"] for r in values.groupBy(below.alias("piece")).count().collect()}
+    total, starts = 0, {}
+    for piece in sorted(sizes):
+        starts[piece] = total
+        total += sizes[piece]
+    if not total:
+        return df.sparkSession.createDataFrame([(float(p), None) for p in probs], "prob double, value double")
+
+    def place(rank: int) -> tuple[int, int]:
+        piece = max(p for p in starts if starts[p] <= rank)
+        return piece, rank - starts[piece]
+
+    wanted = [(p, place(int(p * (total - 1))), place(ceil(p * (total - 1))), p * (total - 1) % 1) for p in probs]
+    needed = sorted({at[0] for _, low, high, _ in wanted for at in (low, high)})
+    inside = F.lit(None).cast("int")
+    for piece in needed:
+        # plain comparisons with the cuts, which reach the Parquet scan
+        over = F.col("v") > cuts[piece - 1] if piece > 0 else F.lit(True)
+        within = over & (F.col("v") <= cuts[piece]) if piece < len(cuts) else over
+        inside = F.when(within, piece).otherwise(inside)
+    runs = values.withColumn("piece", inside).filter("piece IS NOT NULL").groupBy("piece", "v").agg(F.count("*").alias("n"))
+    runs = runs.withColumn("last", F.sum("n").over(W.partitionBy("piece").orderBy("v")))
+
+    def value_at(at: tuple[int, int]) -> Column:
+        piece, rank = at
+        hit = (F.col("piece") == piece) & (F.col("last") > rank) & (F.col("last") - F.col("n") <= rank)
+        return F.max(F.when(hit, F.col("v")))
+
+    ends = runs.agg(
+        F.array(
+            *[
+                F.struct(F.lit(float(p)).alias("prob"), value_at(lo).alias("lo"), value_at(hi).alias("hi"), F.lit(part).alias("part"))
+                for p, lo, hi, part in wanted
+            ]
+        ).alias("e")
+    )
+    return ends.select(F.inline("e")).select(
+        "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value")
     )
-    placed = values.withColumn("cuts", cuts.scalar())
-    placed = placed.select("v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("piece"))
-    distinct = placed.groupBy("piece", "v").agg(F.count("*").alias("n"))
-    per_piece = distinct.groupBy("piece").agg(F.sum("n").alias("piece_n"))
-    before = F.sum("piece_n").over(W.orderBy("piece")) - F.col("piece_n")
-    per_piece = per_piece.withColumn("before", before)  # at most `pieces` rows
-    total = values.agg(F.count("*").alias("n"))
-    wanted = per_piece.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    rank = F.col("prob") * (total.scalar() - 1)
-    wanted = wanted.withColumns({"low": F.floor(rank), "high": F.ceil(rank), "part": rank - F.floor(rank)})
-    end = F.col("before") + F.col("piece_n")
-    wanted = wanted.filter(
-        ((F.col("low") >= F.col("before")) & (F.col("low") < end))
-        | ((F.col("high") >= F.col("before")) & (F.col("high") < end))
-    ).drop("piece_n")
-    inside = distinct.join(F.broadcast(wanted.select("piece").distinct()), "piece", "left_semi")
-    upto = F.sum("n").over(W.partitionBy("piece").orderBy("v"))
-    ranked = inside.withColumns({"last": upto, "first": upto - F.col("n")})
-    # wanted holds at most two pieces per probability, hence the broadcast
-    hits = ranked.join(F.broadcast(wanted), "piece")
-
-    def at(rank_col: str) -> Column:
-        inside_run = (F.col(rank_col) - F.col("before") >= F.col("first")) & (
-            F.col(rank_col) - F.col("before") < F.col("last")
-        )
-        return F.max(F.when(inside_run, F.col("v")))
-
-    ends = hits.groupBy("prob", "part").agg(at("low").alias("lo"), at("high").alias("hi"))
-    return ends.select("prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("value"))
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
