@@ -31,7 +31,7 @@ class TfidfSpec:
     """min_df and max_df are counts when whole numbers of type int, shares when floats."""
 
     ngrams: tuple[int, int] = (1, 2)
-    max_features: int | None = 50_000
+    max_features: int = 50_000
     min_df: int | float = 2
     max_df: int | float = 1.0
     sublinear: bool = True
@@ -106,10 +106,13 @@ def term_counts(df: DataFrame, row_id: str, text: str, spec: TfidfSpec, *carry:
     return compute_once(df, {"terms": counted}).select(row_id, *carry, "terms")
 
 
-def vocabulary(counted: DataFrame, spec: TfidfSpec) -> DataFrame:
+def vocabulary(counted: DataFrame, spec: TfidfSpec, rows: DataFrame | None = None) -> DataFrame:
     """(term, idx, df, idf): terms within the document-frequency bounds, the most frequent
-    ``max_features`` of them (equal totals in term order), indexed in term order."""
-    docs = counted.agg(F.count("*").alias("n"))
+    ``max_features`` of them (equal totals in term order), indexed in term order.
+
+    *rows*, the documents behind *counted*, spares counting terms again just to count documents.
+    """
+    docs = (counted if rows is None else rows).agg(F.count("*").alias("n"))
     n = docs.scalar()
     stats = (
         counted.select(F.inline("terms"))
@@ -121,8 +124,7 @@ def vocabulary(counted: DataFrame, spec: TfidfSpec) -> DataFrame:
         return F.lit(value) if isinstance(value, int) else F.lit(value) * n
 
     stats = stats.filter((F.col("df") >= bound(spec.min_df)) & (F.col("df") <= bound(spec.max_df)))
-    if spec.max_features:
-        stats = stats.orderBy(F.desc("total"), "term").limit(spec.max_features)
+    stats = stats.orderBy(F.desc("total"), "term").limit(spec.max_features)
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1
     # The window sorts the kept vocabulary only, a size the spec sets.
     idx = F.row_number().over(W.orderBy("term")) - 1
@@ -131,9 +133,8 @@ def vocabulary(counted: DataFrame, spec: TfidfSpec) -> DataFrame:
 
 def weigh(counted: DataFrame, vocab: DataFrame, row_id: str, spec: TfidfSpec, *carry: str) -> DataFrame:
     """One row per document: ``weights``, array of (idx, term, w) in index order, L2 norm 1."""
-    small = bool(spec.max_features) and spec.max_features <= BROADCAST_TERMS
     table = vocab.select("term", "idx", "idf")
-    table = F.broadcast(table) if small else table
+    table = F.broadcast(table) if spec.max_features <= BROADCAST_TERMS else table
     long = counted.select(row_id, *carry, F.inline_outer("terms"))
     tf = F.log("tf") + 1 if spec.sublinear else F.col("tf").cast("double")
     entry = F.struct("idx", "term", (tf * F.col("idf")).alias("w"))
@@ -158,7 +159,7 @@ def weigh(counted: DataFrame, vocab: DataFrame, row_id: str, spec: TfidfSpec, *c
 def tfidf(df: DataFrame, row_id: str, text: str, spec: TfidfSpec = PRESETS["classifier"]) -> DataFrame:
     """Fit and transform in one: long (row_id, term, tfidf)."""
     counted = term_counts(df, row_id, text, spec)
-    weighed = weigh(counted, vocabulary(counted, spec), row_id, spec)
+    weighed = weigh(counted, vocabulary(counted, spec, df), row_id, spec)
     return weighed.select(row_id, F.explode("weights").alias("e")).select(
         row_id, F.col("e.term").alias("term"), round_even(F.col("e.w"), 6).alias("tfidf")
     )

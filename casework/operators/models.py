@@ -153,7 +153,7 @@ class TextClassifier:
         df = df.filter(F.col(self.label).isNotNull()).withColumn("label", F.col(self.label).cast("string"))
         counted = self._counted(df, "label")
         # The vocabulary and the vectors are read many times: keep them as written tables.
-        self.vocab = cut_lineage(feat.vocabulary(counted, self.spec), "vocabulary")
+        self.vocab = cut_lineage(feat.vocabulary(counted, self.spec, df), "vocabulary")
         self.vocab_size = self.vocab.count()
         counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}  # one per class
         self.classes = sorted(counts)
@@ -275,6 +275,22 @@ def case_classifier(kind: str = "svm", **options) -> TextClassifier:
     return TextClassifier("case_type", kind, **options)
 
 
+# Label column, feature preset and numeric columns (see ``features.numeric_features``) of the
+# single-table models.
+MODEL_PRESETS = {
+    "outcome": ("four_class_label", "outcome", ("f_year",)),
+    "outcome_text": ("four_class_label", "outcome", ()),
+    "case_type": ("case_type_mapped", "case_type", ("f_text_length",)),
+    "sub_type": ("sub_type_mapped", "hierarchy_small", ("f_year",)),
+}
+
+
+def preset_classifier(name: str, kind: str = "logistic", spec: feat.TfidfSpec | None = None, **options) -> TextClassifier:
+    """One of the named models. Put ``numeric_features`` on the rows first where it has numeric columns."""
+    label, preset, extra = MODEL_PRESETS[name]
+    return TextClassifier(label, kind, spec or feat.PRESETS[preset], flags=False, extra=extra, **options)
+
+
 class VerdictPredictor:
     """Verdict groups from the text; rows with an unknown group neither train nor score."""
 

@@ -442,6 +442,13 @@ def _(spark, sf):
     return explain.feature_importance(explain.linear_weights(model))
 
 
+@register("preset_classifier")
+def _(spark, sf):
+    rows = feat.numeric_features(labels.with_four_class(b.labelled(spark, sf), "verdict"))
+    model = models.preset_classifier("outcome", "naive_bayes", _TINY).fit(rows)
+    return model.evaluate(rows)
+
+
 @register("saved_model")
 def _(spark, sf):
     rows = _training(spark, sf)
