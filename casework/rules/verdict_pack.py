@@ -354,7 +354,7 @@ DIRECTED_JUDGMENT = [
     ),
     rule(
         "Judgment for Plaintiff (${amt})",
-        r"judgment is rendered that ([\w\s]+) recover from the defendants? damages of \$?([\d,]+)",
+        r"judgment is rendered that ([\p{L}\p{N}_\s]+) recover from the defendants? damages of \$?([\d,]+)",
         amount="bare",
         bare="Judgment for Plaintiff",
     ),
@@ -433,7 +433,7 @@ PARTY_JUDGMENT = [
     rule("Judgment for Plaintiff - ${1} Damages", "judgment is directed for her to recover " + _PAID),
     rule(
         "Judgment for Plaintiff - ${1}",
-        r"judgment may be entered in favor of the plaintiff against the defendants? [\w\s]+ for " + _PAID,
+        r"judgment may be entered in favor of the plaintiff against the defendants? [\p{L}\p{N}_\s]+ for " + _PAID,
     ),
     rule("Judgment for Plaintiff", "judgment may be entered in favor of the plaintiff"),
     rule(
@@ -490,12 +490,12 @@ PARTY_JUDGMENT = [
 ]
 
 CLAIM_AMOUNTS = [
-    rule("Award Granted (${1})", r"hereby award the claimants? [\w\s]+ the sum of " + _PAID),
-    rule("Award Granted (${1})", r"award is hereby made to the claimants? [\w\s]+ in the amount of " + _PAID),
-    rule("Award Granted (${1})", r"award is therefore entered in favor of claimant [\w\s]+ for the said sum of " + _PAID),
+    rule("Award Granted (${1})", r"hereby award the claimants? [\p{L}\p{N}_\s]+ the sum of " + _PAID),
+    rule("Award Granted (${1})", r"award is hereby made to the claimants? [\p{L}\p{N}_\s]+ in the amount of " + _PAID),
+    rule("Award Granted (${1})", r"award is therefore entered in favor of claimant [\p{L}\p{N}_\s]+ for the said sum of " + _PAID),
     rule("Award Granted (${1})", "we therefore award the claimant the sum of " + _PAID),
     rule("Award Granted (${1})", "an award in that amount is hereby made to the claimant for " + _PAID),
-    rule("Award Granted (${1})", r"award to [\w\s]+ " + _PAID),
+    rule("Award Granted (${1})", r"award to [\p{L}\p{N}_\s]+ " + _PAID),
     rule(
         "Multiple Awards Granted (${amt})",
         r"award to william c\. mclver",
