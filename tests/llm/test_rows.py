@@ -1,0 +1,191 @@
+"""Repetition rules, secret scans and the classifier against plain versions and edge cases."""
+
+import base64
+import collections
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from casework.llm import quality, queries, repetition, secrets
+from tests.compare import connect, difference
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    count = collections.Counter(grams)
+    marked = {j for i, g in enumerate(grams) if count[g] > 1 for j in range(i, i + 3)}
+    n = len(words)
+    return [n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(marked)]
+
+
+TEXTS = [
+    None,
+    "",
+    " \t\n",
+    "one",
+    "a b c a b c a b c",
+    "é ü x \U0001f600 #| $\n\né ü x \U0001f600 #| $\n \n \n",
+    "same line here\nsame line here\nother\nsame line here",
+    " ".join(f"w{i}" for i in range(80)),
+    " ".join(["x"] * 4000),
+    ("long text with many words " * 3 + "\n") * 500,
+]
+
+
+def test_counts_match_a_plain_version():
+    rng = random.Random(3)
+    texts = TEXTS + [" ".join(rng.choice("abcd") * rng.randint(1, 3) for _ in range(rng.randint(0, 90))) for _ in range(200)]
+    for text in texts:
+        row = repetition.measure(text)
+        expected = plain_counts(text)
+        assert row[:5] == expected
+        assert row[-2] == (expected[0] < 50 or 100 * expected[4] > 50 * expected[0])
+        assert not (row[-1] and row[-2])
+
+
+def test_repeated_passage_is_rejected_and_clean_text_kept():
+    clean = " ".join(f"word{i}" for i in range(400))
+    passage = " ".join(f"p{i}" for i in range(60))
+    spread = " ".join(f"{passage} {' '.join(f'x{k}{i}' for i in range(40))}" for k in range(2))
+    assert repetition.measure(clean)[-1] is True
+    assert repetition.measure(spread)[-2:] == [True, False] or repetition.measure(spread)[-2:] == [False, False]
+
+
+def edge_frame(spark):
+    rows = [(i, t, i) for i, t in enumerate(TEXTS)] + [(3, "one", 9), (None, "null id", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, kept long").withColumn("score", F.lit("clash"))
+
+
+@pytest.mark.parametrize("operator", [repetition.repetition_rules, secrets.scan_secrets])
+def test_edge_rows(spark, operator):
+    docs = edge_frame(spark)
+    out = operator(docs)
+    assert out.count() == docs.count()
+    assert operator(docs.limit(0)).collect() == []
+
+
+def test_repetition_sql(spark, sf):
+    con = connect(sf)
+    name = "op3_quality_rules"
+    assert difference(spark, con, queries.QUERIES[name], queries.SQL[name], sf) is None
+
+
+def plain_base(text):
+    found = []
+    for m in re.finditer(
+        r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        text,
+    ):
+        if len(m[2]) >= 12:
+            found.append(("assign", *m.span()))
+    for m in re.finditer("AKIA[A-Z0-9]+", text):
+        if len(m[0]) >= 18:
+            found.append(("access", *m.span()))
+    for m in re.finditer("[0-9a-f]+", text):
+        if len(m[0]) >= 16:
+            found.append(("hex", *m.span()))
+    order = ("assign", "access", "hex")
+    return sorted(found, key=lambda f: (f[1], order.index(f[0])))
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    if len(body) < 128:
+        return bytes([tag, len(body)]) + body
+    size = (len(body).bit_length() + 7) // 8
+    return bytes([tag, 0x80 + size]) + len(body).to_bytes(size, "big") + body
+
+
+RSA = der(0x30, der(2, b"\0"), *[der(2, bytes([7]) * 60) for _ in range(8)])
+PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, RSA))
+SEC1 = der(0x30, der(2, b"\1"), der(4, b"k" * 32), der(0xA0, der(6, b"\x2a\x86\x48")))
+
+
+def part(data):
+    return len(data).to_bytes(4, "big") + data
+
+
+SSH = secrets.MAGIC + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(b"k" * 40) + part(b"s" * 80)
+
+
+def url64(value):
+    return base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
+
+
+def test_base_patterns():
+    rng = random.Random(5)
+    pieces = ["token", "PASSWORD", "passwd", "api_key", "ApiKey", "=", ": ", '"', "'", "abcdefghijkl", "AKIA", "ABCDEFGH", "0123456789abcdef", "é", " ", "\n", "x1", "Secret", "toKen", "ſecret"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        base = [(k, s, e) for s, e, k in secrets.find_secrets(text) if k in secrets.BASE]
+        assert base == plain_base(text)
+
+
+def test_structures_are_confirmed():
+    for data, kind in ((RSA, "key"), (PKCS8, "key"), (SEC1, "key"), (SSH, "ssh")):
+        for form in (base64.b64encode(data).decode(), f"-----BEGIN X PRIVATE KEY-----\n{base64.encodebytes(data).decode()}-----END X PRIVATE KEY-----"):
+            assert any(k == kind for _, _, k in secrets.find_secrets(f"é {form} end")), kind
+        broken = base64.b64encode(data[:-3]).decode()
+        assert not any(k in ("key", "ssh") for _, _, k in secrets.find_secrets(f"x {broken} y"))
+    assert any(k == "key" for _, _, k in secrets.find_secrets(RSA.hex().upper()))
+    good = f"{url64({'alg': 'HS256'})}.{url64({'sub': 1})}.abc"
+    bad = f"{url64({'typ': 'HS256'})}.{url64({'sub': 1})}.abc"
+    assert [k for _, _, k in secrets.find_secrets(good)] == ["jwt"]
+    assert secrets.find_secrets(bad) == []
+    assert secrets.find_secrets("M" * 5000) == []
+
+
+def test_redaction(spark):
+    text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" z'
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "clean", 99), (3, None, None)], "doc_id long, text string, n_chars long")
+    rows = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}
+    assert rows[1].text == 'a [SECRET]" z' and rows[1].n_chars == len(rows[1].text)
+    assert (rows[2].text, rows[2].n_chars, rows[3].text, rows[3].n_chars) == ("clean", 99, None, None)
+
+
+def test_scan_query(spark, sf):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.QUERIES["op10_secret_scan"](spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = plain_base(docs[r.doc_id] or "")
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+
+
+def test_quality_on_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = queries.QUERIES["op8_quality_classifier"](spark, sf_dir).collect()
+    assert len(rows) == 1000
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(a == b for a, b in judged) >= 0.93 * len(judged)
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (3, 5)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "fine words here"), (2, "|| ##"), (2, "|| ##"), (3, None), (None, "")], "doc_id long, text string")
+    model = quality.fit_quality(docs, labels)
+    rows = quality.score_quality(docs, model).collect()
+    assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
+    nothing = quality.fit_quality(docs, labels.limit(0))
+    assert {r.score for r in quality.score_quality(docs, nothing).collect()} == {0.5}
+    assert quality.score_quality(docs.limit(0), nothing).collect() == []
+    assert quality.keep_good(docs, nothing).count() == 5
