@@ -83,18 +83,23 @@ def is_private_key(data: bytes) -> bool:
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """Cipher, key derivation, its options, a count and the public key, each of its stated length."""
+    """Cipher, key derivation, its options, then counted public keys and the private part, to the last byte."""
     if not data.startswith(MAGIC):
         return False
     at = len(MAGIC)
     for _ in range(3):
-        if at + 4 > len(data):
+        if at + 8 > len(data):
             return False
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    if at + 8 > len(data) or not 1 <= int.from_bytes(data[at : at + 4], "big") <= 16:
+    count = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= count <= 16:
         return False
     at += 4
-    return at + 4 + int.from_bytes(data[at : at + 4], "big") <= len(data)
+    for _ in range(count + 1):
+        if at + 4 > len(data):
+            return False
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at == len(data)
 
 
 def decode64(text: str) -> bytes | None:
