@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from casework.llm.licences import FILE_SHARE, LEAST_COSINE, TEMPLATES, scan_licences, terms
+from casework.llm.mixture import mix_sources, token_count
 from casework.llm.quality import fit_quality, score_quality
 from casework.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, repetition_rules
 from casework.llm.secrets import scan_secrets
+from casework.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +92,143 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+#: Production tree and weights: four groups of sources, languages, sources.
+DOMAINS = 4
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 4, 17
+
+
+def mix_path() -> dict[str, Column]:
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % DOMAINS
+    return {"domain": F.concat(F.lit("d"), number.cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
+@query
+def op5_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mix_sources(docs, mix_path(), MIX_WEIGHTS, MIX_PERCENT, MIX_EPOCHS, MIX_SEED)
+    path = [F.coalesce(c, F.lit("(none)")).alias(n) for n, c in mix_path().items()]
+    return mixed.select("doc_id", *path, token_count(F.col("text")).alias("n_tokens"), "copies")
+
+
+def mixture_sql(source: str = "documents", percent: int = MIX_PERCENT) -> str:
+    levels = ("domain", "lang", "source")
+
+    def weight(level: str) -> str:
+        whens = "".join(f" WHEN '{v}' THEN {w}" for v, w in MIX_WEIGHTS.get(level, {}).items())
+        return f"CASE {level}{whens} ELSE 1 END" if whens else "1"
+
+    steps, given = [], ""
+    for depth, level in enumerate(levels):
+        keys, parents = ", ".join(levels[: depth + 1]), ", ".join(levels[:depth])
+        part = f"PARTITION BY {parents}" if parents else ""
+        budget = f"(SELECT budget FROM total)" if not depth else "any_value(budget)"
+        join = f"JOIN {given} USING ({parents})" if depth else ""
+        steps.append(f"""
+    node{depth} AS (SELECT {keys}, CAST(sum(tokens) * {MIX_EPOCHS} AS BIGINT) AS cap, {weight(level)} AS w, {budget} AS budget
+                    FROM leaf {join} GROUP BY {keys}),
+    part{depth} AS (SELECT *, CAST(cap AS DOUBLE) / w AS ratio,
+        CAST(budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+        / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS part
+        FROM node{depth} WINDOW o AS ({part} ORDER BY CAST(cap AS DOUBLE) / w, {level})),
+    given{depth} AS (SELECT {keys}, CASE WHEN ratio <= part THEN cap ELSE
+        least(cap, CAST(floor(w * max(part) FILTER (WHERE NOT ratio <= part) OVER ({part})) AS BIGINT)) END AS budget
+        FROM part{depth})""")
+        given = f"given{depth}"
+    return f"""
+    docs AS (SELECT doc_id, coalesce('d' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % {DOMAINS} AS VARCHAR), '(none)') AS domain,
+                    coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source,
+                    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM {source}),
+    leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM docs GROUP BY ALL),
+    total AS (SELECT CAST(floor(sum(tokens) * {percent} / 100) AS BIGINT) AS budget FROM leaf),
+    {",".join(steps)},
+    plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN CAST(budget // tokens AS BIGINT) ELSE 0 END AS epochs,
+                    budget - CASE WHEN tokens > 0 THEN CAST(budget // tokens AS BIGINT) ELSE 0 END * tokens AS rest
+             FROM leaf JOIN {given} USING (domain, lang, source)),
+    places AS (SELECT *, md5(concat_ws(':', '{MIX_SEED}', CAST(epochs AS VARCHAR), CAST(doc_id AS VARCHAR))) AS h
+               FROM docs JOIN plan USING (domain, lang, source)),
+    mixed AS (SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens,
+              CAST(epochs + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+              FROM places)"""
+
+
+SQL["op5_source_mixture"] = f"WITH {mixture_sql()} SELECT * FROM mixed"
+
+
+def doc_path() -> Column:
+    """Documents as files of a tree: source, language and a folder for every hundred ids."""
+    folder = F.floor(F.col("doc_id") / 100).cast("string")
+    return F.concat_ws("/", "source", "lang", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+
+
+@query
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"), doc_path())
+
+
+def _licence_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(
+        f"({n}, {quote(name)}, {quote(term.decode())})"
+        for n, (name, text) in enumerate((name, text) for name in sorted(TEMPLATES) for text in TEMPLATES[name])
+        for term in terms(text.encode())
+    )
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH tt(tid, name, term) AS (VALUES {values}),
+    lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS l FROM documents),
+    split AS (SELECT doc_id, l, regexp_extract_all(translate(line, '{upper}', '{lower}'), '[0-9a-z]+') AS ts FROM lines),
+    words AS (SELECT doc_id, l, unnest(ts) AS term FROM split),
+    n AS (SELECT count(*) AS n FROM documents),
+    vocabulary AS (SELECT DISTINCT term FROM tt),
+    df AS (SELECT v.term, count(DISTINCT doc_id) AS df FROM vocabulary v LEFT JOIN words w USING (term) GROUP BY v.term),
+    weight AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS w FROM df, n),
+    tf AS (SELECT tid, name, term, count(*) * any_value(w) AS v FROM tt JOIN weight USING (term) GROUP BY ALL),
+    tn AS (SELECT tid, sqrt(sum(v * v)) AS norm FROM tf GROUP BY tid),
+    lt AS (SELECT doc_id, l, term, count(*) AS c FROM words GROUP BY ALL),
+    lv AS (SELECT doc_id, l, term, c, c * coalesce(w, ln(1 + n) + 1) AS v FROM lt LEFT JOIN weight USING (term), n),
+    ln AS (SELECT doc_id, l, sqrt(sum(v * v)) AS norm, sum(c) AS terms FROM lv GROUP BY ALL),
+    dot AS (SELECT doc_id, l, tid, name, sum(lv.v * tf.v) AS d FROM lv JOIN tf USING (term) GROUP BY ALL),
+    cosines AS (SELECT doc_id, l, name, round(d / tn.norm / ln.norm, 6) AS cosine FROM dot JOIN tn USING (tid) JOIN ln USING (doc_id, l)),
+    best AS (SELECT * FROM cosines WHERE cosine >= {LEAST_COSINE}
+             QUALIFY row_number() OVER (PARTITION BY doc_id, l ORDER BY cosine DESC, name) = 1),
+    own AS (SELECT doc_id, name AS own_licence, cosine FROM best
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, name) = 1),
+    inside AS (SELECT doc_id, sum(terms) AS inside FROM best JOIN ln USING (doc_id, l) GROUP BY doc_id),
+    total AS (SELECT doc_id, sum(terms) AS total FROM ln GROUP BY doc_id),
+    files AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 100 AS VARCHAR)) AS dir, CAST(doc_id AS VARCHAR) || '.txt' AS leaf,
+                     own_licence, coalesce(cosine, 0.0) AS cosine,
+                     own_licence IS NOT NULL AND 100 * inside >= {FILE_SHARE} * total AS licence_file
+              FROM documents LEFT JOIN own USING (doc_id) LEFT JOIN inside USING (doc_id) LEFT JOIN total USING (doc_id)),
+    spoken AS (SELECT dir AS ancestor, own_licence AS dir_licence FROM files WHERE licence_file
+               QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, own_licence) = 1),
+    dirs AS (SELECT DISTINCT dir FROM files),
+    near AS (SELECT dir, ancestor, dir_licence FROM dirs JOIN spoken ON ancestor = '' OR dir = ancestor OR starts_with(dir, ancestor || '/')
+             QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(ancestor) DESC) = 1)
+    SELECT doc_id, dir || '/' || leaf AS path, own_licence, CAST(cosine AS DOUBLE) AS cosine, licence_file,
+           coalesce(own_licence, dir_licence) AS licence, CASE WHEN own_licence IS NULL THEN ancestor END AS inherited_from
+    FROM files LEFT JOIN near USING (dir)
+    """
+
+
+SQL["op6_licence_scan"] = _licence_sql()
+
+
+@query
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+SQL["op9_exact_top_k"] = """
+    WITH usable AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v
+                    FROM embeddings
+                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)]) AS BIGINT) AS score
+               FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
