@@ -23,18 +23,20 @@ import base64
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-WORDS = 50_000
-CACHE = 800_000
+WORDS = 20_000
+CACHE = 150_000
 LONG = 256
-TOKENS = 1_000_000  # token rows that one decoding query takes, unless one text has more
+TOKENS = 250_000  # token rows that one decoding query takes, unless one text has more
 
 ENCODE = """
 WITH RECURSIVE step(word, toks, round) AS (
@@ -72,20 +74,9 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pattern = regex.compile(pattern)
         self.latin = re.compile(latin_pattern) if latin_pattern else None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        left, right, merged = [], [], []
-        for token, rank in self.ranks.items():
-            for cut in range(1, len(token)):
-                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    left.append(a)
-                    right.append(b)
-                    merged.append(rank)
-        self.merges = dict(zip(zip(left, right), merged))
-        ints = lambda v: pa.array(v, pa.int32())
-        self.load("merges", pa.table({"l": ints(left), "r": ints(right), "id": ints(merged)}))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         hexes = pa.array([t.hex() for t in self.ranks])
-        self.load("vocabulary", pa.table({"id": ints(list(self.ranks.values())), "hex": hexes}))
+        self.load("vocabulary", pa.table({"id": np.array(list(self.ranks.values()), np.int32), "hex": hexes}))
         self.single = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
 
@@ -94,6 +85,19 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM arriving")
         self.db.unregister("arriving")
 
+    @cached_property
+    def merges(self) -> dict[tuple[int, int], int]:
+        """Id of every pair of tokens that make a token; also the table of the recursive query."""
+        found = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                pair = (self.ranks.get(token[:cut]), self.ranks.get(token[cut:]))
+                if None not in pair:
+                    found[pair] = rank
+        rows = np.array([(*pair, rank) for pair, rank in found.items()], np.int32).reshape(-1, 3)
+        self.load("merges", pa.table({"l": rows[:, 0], "r": rows[:, 1], "id": rows[:, 2]}))
+        return found
+
     def split(self, text: str) -> list[str]:
         if self.latin and not BEYOND_LATIN.search(text):
             return self.latin.findall(text)
@@ -101,6 +105,7 @@ class Codec:
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word by the recursive query."""
+        self.merges  # noqa: B018  builds the table at first use; decoding does without it
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -113,12 +118,13 @@ class Codec:
 
     def merge_long(self, word: bytes) -> bytes:
         """The same contractions for one long word, with a heap of (rank, place)."""
+        merges = self.merges
         tok: list[int | None] = [self.ranks[word[i : i + 1]] for i in range(len(word))]
         after, before = list(range(1, len(tok) + 1)), list(range(-1, len(tok) - 1))
 
         def rank(i: int) -> int | None:
             j = after[i]
-            return self.merges.get((tok[i], tok[j])) if j < len(tok) else None
+            return merges.get((tok[i], tok[j])) if j < len(tok) else None
 
         heap = [(r, i) for i in range(len(tok)) if (r := rank(i)) is not None]
         heapq.heapify(heap)
@@ -195,16 +201,17 @@ def codec(path: str, pattern: str, latin_pattern: str | None = None) -> Codec:
     return _codecs[key]
 
 
-def _parts(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about *limit* characters, at least one row each."""
+def _parts(texts: pa.Array, limit: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about *limit* bytes, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start = held = 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text or "") > limit:
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
             yield start, i
             start, held = i, 0
-        held += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -231,9 +238,9 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, latin_pattern)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(place)
             for start, end in _parts(texts):
-                ids = own.encode(texts[start:end])
+                ids = own.encode(texts.slice(start, end - start).to_pylist())
                 columns = [c.slice(start, end - start) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*columns, ids], names=names)
 

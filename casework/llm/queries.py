@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.llm.bpe import LATIN_PATTERN, decode_ids, encode_texts
+from casework.llm.jaccard import similar_documents
 from casework.llm.licences import FILE_SHARE, LEAST_COSINE, TEMPLATES, scan_licences, terms
 from casework.llm.mixture import mix_sources, token_count
 from casework.llm.quality import fit_quality, score_quality
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
