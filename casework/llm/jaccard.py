@@ -17,11 +17,12 @@ How it holds at scale:
   a third of all rows being copies sends as many rows as there are tasks.
 - A signature of up to COLD sets gives all pairs. More frequent ones ("hot") are
   needed only for sets that have few others: a linked pair agrees on more ranges than
-  a set has hot signatures, unless its other signatures are at most k. What is left
-  are groups of near copies. They are joined by stars: each set with the group's
-  smallest, then groups that still hold several components with their next
-  smallest, until every two sets of a group are in one component or were compared
-  through it. No group's pairs are enumerated, and none is left out.
+  a set has hot signatures, unless its other signatures are at most k. Such sets are
+  joined again by the finest ranges, one for each element, of which a set needs the
+  rarest quarter. What is frequent there are groups of near copies, joined by stars:
+  each set with the group's smallest; then, in groups that still hold several components,
+  the sets of the smallest components with all others, until every two sets of a group
+  are in one component or were compared. No group's pairs are enumerated, and none is left out.
 - Before sets are fetched, candidates are compared by histograms of their hashes, whose
   distance never exceeds that of the sets.
 - Components are found by minimum labels with pointer jumping over written tables.
@@ -46,7 +47,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +55,7 @@ from casework.llm.arrays import U, mix, shingle_set
 from casework.session import cut_lineage
 
 COLD = 16
+LEADERS = 64  # sets of an open group that meet all others in one round
 SENT = 50_000  # set keys that a task remembers having sent
 PACK = 1_000_000  # signatures that a task gathers before it sends them
 NO_ID = -(1 << 63)
@@ -279,24 +281,27 @@ def shared_signatures(packed: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, hot int")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys that link."""
+def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) of set keys that sizes and sketches do not rule out."""
     side = lambda c: classes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb = (batch.column(i).to_pylist() for i in range(4))
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = [
                 sketch_distance(x.as_py(), y.as_py()) <= differences(p + q, percent)
                 for p, q, x, y in zip(na, nb, batch.column(4), batch.column(5))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(2)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    fitting = (F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100).alias("fits")
+    fitting = F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(fitting)
-    likely = cut_lineage(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"), "jaccard-likely")
-    wanted = likely.select(F.col("a").alias("k")).union(likely.select("b")).distinct()
-    wanted = cut_lineage(wanted.join(classes.select("k", "id"), "k"), "jaccard-wanted")
+    return cut_lineage(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"), "jaccard-likely")
+
+
+def fetch_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(k, elements) of the wanted set keys, from the text of the smallest id that has the set."""
+    wanted = cut_lineage(wanted.distinct().join(classes.select("k", "id"), "k"), "jaccard-wanted")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,9 +312,12 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                     rows.append((k, hashes.tobytes()))
             yield _columns(rows, [pa.int64(), pa.binary()], ["k", "elements"])
 
-    sets = texts.join(wanted, "id").select("k", "text").mapInArrow(elements, "k long, elements binary")
-    sets = cut_lineage(sets, "jaccard-sets").dropDuplicates(["k"])
-    sets = cut_lineage(sets, "jaccard-distinct-sets")
+    found = texts.join(wanted, "id").select("k", "text").mapInArrow(elements, "k long, elements binary")
+    return cut_lineage(found.dropDuplicates(["k"]), "jaccard-sets")
+
+
+def linked_pairs(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose exact sets reach the similarity."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,6 +333,28 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     return cut_lineage(joined.mapInArrow(linked, "a long, b long"), "jaccard-links")
 
 
+def finest(sets: DataFrame, percent: int) -> DataFrame:
+    """(sign, k, sets): the signatures of the finest ranges, one for each element, that the sets need.
+
+    A set shares all but a part of its elements with any set it links to, so of one more than that
+    part it shares one; both sides take the elements that the fewest of these sets have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, elements in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(elements.as_py(), np.int64)
+                need = len(found) - -(-percent * len(found) // 100) + 1
+                columns = [found, np.full(len(found), k, np.int64), np.full(len(found), need, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sign", "k", "need"])
+
+    rows = cut_lineage(sets.mapInArrow(run, "sign long, k long, need long"), "jaccard-elements")
+    counts = cut_lineage(rows.groupBy("sign").agg(F.count(F.lit(1)).alias("sets")), "jaccard-element-counts")
+    rank = F.row_number().over(Window.partitionBy("k").orderBy("sets", "sign"))
+    chosen = rows.join(counts, "sign").withColumn("rank", rank).where("rank <= need AND sets > 1")
+    return cut_lineage(chosen.select("sign", "k", "sets"), "jaccard-finest")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(k, label): the smallest key that each linked key can reach."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -345,7 +375,7 @@ def components(links: DataFrame) -> DataFrame:
 def _pairs_within(rows: DataFrame) -> DataFrame:
     """All pairs of different labels in groups of at most COLD rows."""
     other = rows.select("sign", F.col("k").alias("b"), F.col("label").alias("other"))
-    return rows.join(other, "sign").where("k < b AND label <> other").select(F.col("k").alias("a"), "b").distinct()
+    return rows.select("sign", "k", "label").join(other, "sign").where("k < b AND label <> other").select(F.col("k").alias("a"), "b").distinct()
 
 
 def linked_sets(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
@@ -377,27 +407,34 @@ def linked_sets(docs: DataFrame, id_column: str, text_column: str, size: int, pe
     many = hot.where(f"sets > {COLD}")
     own = many.groupBy("k", "parity").agg(F.count(F.lit(1)).alias("many"))
     slack = F.when(F.col("parity") == 0, F.col("slack0")).otherwise(F.col("slack1"))
-    needed = own.join(classes, "k").where(F.col("many") >= slack).select("k", "parity")
-    group = cut_lineage(many.join(cut_lineage(needed, "jaccard-needed"), ["k", "parity"]).select("sign", "k"), "jaccard-groups")
-    group = group.withColumn("label", F.col("k"))
-    stars = _stars(group)
-    links = verified(cut_lineage(pairs.union(few).union(stars).distinct(), "jaccard-pairs"), classes, texts, size, percent)
+    needed = cut_lineage(own.join(classes, "k").where(F.col("many") >= slack).select("k").distinct(), "jaccard-needed")
+    likely = likely_pairs(cut_lineage(pairs.union(few).distinct(), "jaccard-pairs"), classes, percent)
+    wanted = needed.union(likely.select(F.col("a").alias("k"))).union(likely.select(F.col("b").alias("k")))
+    sets = fetch_sets(wanted, classes, texts, size)
+    group = finest(sets.join(needed, "k", "left_semi"), percent).withColumn("label", F.col("k"))
+    fresh = _stars(group.where(f"sets > {COLD}")).union(_pairs_within(group.where(f"sets <= {COLD}")))
+    likely = likely.union(likely_pairs(cut_lineage(fresh.distinct(), "jaccard-pairs"), classes, percent)).distinct()
+    links = linked_pairs(likely, sets, percent)
     labels = cut_lineage(components(links), "jaccard-labels")
+    group = group.where(f"sets > {COLD}").select("sign", "k")
+    leaders = cut_lineage(group.groupBy("sign").agg(F.min("k").alias("k")), "jaccard-leaders")
     while True:
-        # the leaders have met all others of their group
-        first = cut_lineage(group.groupBy("sign").agg(F.min("k").alias("k")), "jaccard-leaders")
-        group = group.drop("label").join(first, ["sign", "k"], "left_anti").join(labels, "k", "left")
+        # the leaders have met all others of their group; groups of one component are done
+        group = group.join(leaders, ["sign", "k"], "left_anti").join(labels, "k", "left")
         group = cut_lineage(group.withColumn("label", F.coalesce("label", "k")), "jaccard-group")
-        state = group.groupBy("sign").agg(F.count(F.lit(1)).alias("sets"), F.min("label").alias("low"), F.max("label").alias("high"))
-        state = cut_lineage(state.where("low <> high").select("sign", "sets"), "jaccard-open")
+        state = group.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        state = cut_lineage(state.where("low <> high").select("sign"), "jaccard-open")
         group = cut_lineage(group.join(state, "sign"), "jaccard-open-group")
         if group.isEmpty():
             break
-        fresh = _stars(group).union(_pairs_within(group.where(f"sets <= {COLD}").select("sign", "k", "label"))).distinct()
-        more = verified(cut_lineage(fresh, "jaccard-pairs"), classes, texts, size, percent)
-        group = cut_lineage(group.where(f"sets > {COLD}").select("sign", "k", "label"), "jaccard-left")
-        links = cut_lineage(links.union(more).distinct(), "jaccard-links")
-        labels = cut_lineage(components(links), "jaccard-labels")
+        leaders = _leaders(group)
+        met = group.join(leaders.select("sign", F.col("k").alias("b"), F.col("label").alias("other")), "sign")
+        fresh = met.where("label <> other").select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
+        more = linked_pairs(likely_pairs(cut_lineage(fresh, "jaccard-pairs"), classes, percent), sets, percent)
+        group, leaders = group.select("sign", "k"), leaders.select("sign", "k")
+        if not more.isEmpty():
+            links = cut_lineage(links.union(more).distinct(), "jaccard-links")
+            labels = cut_lineage(components(links), "jaccard-labels")
     named = table.join(labels, "k", "left").select("id", "n", "k", F.coalesce("label", "k").alias("label"))
     return cut_lineage(named, "jaccard-named")
 
@@ -455,6 +492,20 @@ def drop_similar(
     return keyed.where("_doubt IS NULL").select(*docs.columns).unionByName(looked.select(*docs.columns))
 
 
+def _leaders(group: DataFrame) -> DataFrame:
+    """(sign, k, label): up to LEADERS sets of each group, those of its smallest components first.
+
+    Once all sets outside a group's largest component have met the others, the group is done.
+    """
+    parts = cut_lineage(group.groupBy("sign", "label").agg(F.count(F.lit(1)).alias("part")), "jaccard-parts")
+    sized = group.join(parts, ["sign", "label"])
+    # the first of each of many shares, then the first of those, so that no group is sorted whole
+    for keys in (["sign", F.pmod("k", F.lit(64))], ["sign"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "label", "k"))
+        sized = sized.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank")
+    return cut_lineage(sized.select("sign", "k", "label"), "jaccard-leaders")
+
+
 def _stars(group: DataFrame) -> DataFrame:
     """The smallest key of each group with every key of another component."""
     lead = cut_lineage(group.groupBy("sign").agg(F.min(F.struct("k", "label")).alias("lead")), "jaccard-lead")
