@@ -16,6 +16,7 @@ from casework.llm.quality import fit_quality, score_quality
 from casework.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, repetition_rules
 from casework.llm.secrets import scan_secrets
 from casework.llm.topk import top_k
+from casework.llm.warc import LEAST, archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,6 +119,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op4_warc_archive"] = f"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+    f AS (SELECT *, payload_bytes >= {LEAST} AND first <> page_id AS again FROM m)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN again THEN first END AS refers_to FROM f
+"""
+
 #: Production tree and weights: four groups of sources, languages, sources.
 DOMAINS = 4
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
