@@ -13,6 +13,7 @@ from casework.llm.jaccard import similar_documents
 from casework.llm.licences import FILE_SHARE, LEAST_COSINE, TEMPLATES, scan_licences, terms
 from casework.llm.mixture import mix_sources, token_count
 from casework.llm.quality import fit_quality, score_quality
+from casework.llm.repeats import remove_repeats
 from casework.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, repetition_rules
 from casework.llm.secrets import scan_secrets
 from casework.llm.topk import top_k
@@ -36,6 +37,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
