@@ -27,9 +27,12 @@ def build_session(app: str = "casework", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); a local one only where unset."""
+    """The folder the cluster shares (``spark.checkpoint.dir``); a local one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="casework-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
