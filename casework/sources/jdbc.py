@@ -54,11 +54,11 @@ def bulk_load(
 ) -> None:
     """Insert in batches over a bounded number of connections. A failed batch raises.
 
-    ``coalesce`` only lowers the number of writers; it moves no rows between executors.
+    The rows are dealt to the writers by a shuffle, so that what computes them keeps its own tasks.
     """
     writer = (
         table_rows(df)
-        .coalesce(connections)
+        .repartition(connections)
         .write.format("jdbc")
         .options(url=url, dbtable=TABLE, batchsize=batch_size, **(properties or {}))
     )
