@@ -145,7 +145,7 @@ MIX_PERCENT, MIX_EPOCHS, MIX_SEED = 60, 4, 17
 
 
 def mix_path() -> dict[str, Column]:
-    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % DOMAINS
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % DOMAINS
     return {"domain": F.concat(F.lit("d"), number.cast("string")), "lang": F.col("lang"), "source": F.col("source")}
 
 
