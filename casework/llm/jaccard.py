@@ -22,7 +22,9 @@ How it holds at scale:
   rarest quarter. What is frequent there are groups of near copies, joined by stars:
   each set with the group's smallest; then, in groups that still hold several components,
   the sets of the smallest components with all others, until every two sets of a group
-  are in one component or were compared. No group's pairs are enumerated, and none is left out.
+  are in one component or were compared. Each such round meets several times as many sets
+  as the one before, a bounded tile of elements against another in one task, and hands on
+  links between components only. No group's pairs become rows, and none is left out.
 - Before sets are fetched, candidates are compared by histograms of their hashes, whose
   distance never exceeds that of the sets.
 - Components are found by minimum labels with pointer jumping over written tables.
@@ -55,7 +57,9 @@ from casework.llm.arrays import U, mix, shingle_set
 from casework.session import cut_lineage
 
 COLD = 16
-LEADERS = 64  # sets of an open group that meet all others in one round
+LEADERS = 128  # sets of an open group that meet all others in the first round; GROWTH times as many in the next
+GROWTH = 4
+TILE = 1 << 18  # elements of a side that meet in one task, unless one set has more
 SENT = 50_000  # set keys that a task remembers having sent
 PACK = 1_000_000  # signatures that a task gathers before it sends them
 NO_ID = -(1 << 63)
@@ -334,7 +338,7 @@ def linked_pairs(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def finest(sets: DataFrame, percent: int) -> DataFrame:
-    """(sign, k, sets): the signatures of the finest ranges, one for each element, that the sets need.
+    """(sign, k, n, sets): the signatures of the finest ranges, one for each element, that the sets need.
 
     A set shares all but a part of its elements with any set it links to, so of one more than that
     part it shares one; both sides take the elements that the fewest of these sets have.
@@ -345,14 +349,14 @@ def finest(sets: DataFrame, percent: int) -> DataFrame:
             for k, elements in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = np.frombuffer(elements.as_py(), np.int64)
                 need = len(found) - -(-percent * len(found) // 100) + 1
-                columns = [found, np.full(len(found), k, np.int64), np.full(len(found), need, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sign", "k", "need"])
+                columns = [found, *(np.full(len(found), v, np.int64) for v in (k, len(found), need))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sign", "k", "n", "need"])
 
-    rows = cut_lineage(sets.mapInArrow(run, "sign long, k long, need long"), "jaccard-elements")
+    rows = cut_lineage(sets.mapInArrow(run, "sign long, k long, n long, need long"), "jaccard-elements")
     counts = cut_lineage(rows.groupBy("sign").agg(F.count(F.lit(1)).alias("sets")), "jaccard-element-counts")
     rank = F.row_number().over(Window.partitionBy("k").orderBy("sets", "sign"))
     chosen = rows.join(counts, "sign").withColumn("rank", rank).where("rank <= need AND sets > 1")
-    return cut_lineage(chosen.select("sign", "k", "sets"), "jaccard-finest")
+    return cut_lineage(chosen.select("sign", "k", "n", "sets"), "jaccard-finest")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -416,25 +420,24 @@ def linked_sets(docs: DataFrame, id_column: str, text_column: str, size: int, pe
     likely = likely.union(likely_pairs(cut_lineage(fresh.distinct(), "jaccard-pairs"), classes, percent)).distinct()
     links = linked_pairs(likely, sets, percent)
     labels = cut_lineage(components(links), "jaccard-labels")
-    group = group.where(f"sets > {COLD}").select("sign", "k")
+    group = group.where(f"sets > {COLD}").select("sign", "k", "n")
     leaders = cut_lineage(group.groupBy("sign").agg(F.min("k").alias("k")), "jaccard-leaders")
+    most = LEADERS
     while True:
         # the leaders have met all others of their group; groups of one component are done
         group = group.join(leaders, ["sign", "k"], "left_anti").join(labels, "k", "left")
         group = cut_lineage(group.withColumn("label", F.coalesce("label", "k")), "jaccard-group")
-        state = group.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        state = cut_lineage(state.where("low <> high").select("sign"), "jaccard-open")
+        state = group.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+        state = cut_lineage(state.where("low <> high").select("sign", "size"), "jaccard-open")
         group = cut_lineage(group.join(state, "sign"), "jaccard-open-group")
         if group.isEmpty():
             break
-        leaders = _leaders(group)
-        met = group.join(leaders.select("sign", F.col("k").alias("b"), F.col("label").alias("other")), "sign")
-        fresh = met.where("label <> other").select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
-        more = linked_pairs(likely_pairs(cut_lineage(fresh, "jaccard-pairs"), classes, percent), sets, percent)
-        group, leaders = group.select("sign", "k"), leaders.select("sign", "k")
-        if not more.isEmpty():
-            links = cut_lineage(links.union(more).distinct(), "jaccard-links")
-            labels = cut_lineage(components(links), "jaccard-labels")
+        leaders = _leaders(group, most)
+        most *= GROWTH
+        met = _meet(group, leaders, sets, percent)
+        group, leaders = group.select("sign", "k", "n"), leaders.select("sign", "k")
+        if not met.isEmpty():
+            labels = _relabelled(labels, cut_lineage(components(met), "jaccard-merged"))
     named = table.join(labels, "k", "left").select("id", "n", "k", F.coalesce("label", "k").alias("label"))
     return cut_lineage(named, "jaccard-named")
 
@@ -492,8 +495,8 @@ def drop_similar(
     return keyed.where("_doubt IS NULL").select(*docs.columns).unionByName(looked.select(*docs.columns))
 
 
-def _leaders(group: DataFrame) -> DataFrame:
-    """(sign, k, label): up to LEADERS sets of each group, those of its smallest components first.
+def _leaders(group: DataFrame, most: int) -> DataFrame:
+    """(sign, k, label, n): up to *most* sets of each group, those of its smallest components first.
 
     Once all sets outside a group's largest component have met the others, the group is done.
     """
@@ -502,8 +505,65 @@ def _leaders(group: DataFrame) -> DataFrame:
     # the first of each of many shares, then the first of those, so that no group is sorted whole
     for keys in (["sign", F.pmod("k", F.lit(64))], ["sign"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("part", "label", "k"))
-        sized = sized.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank")
-    return cut_lineage(sized.select("sign", "k", "label"), "jaccard-leaders")
+        sized = sized.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    return cut_lineage(sized.select("sign", "k", "label", "n"), "jaccard-leaders")
+
+
+def _meet(group: DataFrame, leaders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels of different components that a leader and a set of its group link.
+
+    Sets of near copies are in many groups together, so a set travels once, with the largest of its
+    groups, and meets there the leaders of all of them. The sets of such a home are dealt into pieces
+    and the leaders that come to a piece into blocks of about TILE elements; each block meets its
+    piece in one task.
+    """
+
+    def unpack(side: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        found = [np.frombuffer(e.as_py(), U) for e in side.column("elements")]
+        return side.column("label").to_numpy(), np.array([len(f) for f in found], np.int64), found
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        links: set[tuple[int, int]] = set()
+        if len(left) and len(right):
+            label, size, elements = unpack(right)
+            values, place = np.unique(np.concatenate(elements), return_inverse=True)
+            owner = np.repeat(np.arange(len(size)), size)
+            for own, n, found in zip(*unpack(left)):
+                at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+                has = np.zeros(len(values), bool)
+                has[at[values[at] == found]] = True
+                both = np.bincount(owner[has[place]], minlength=len(size))
+                linked = (100 * both >= percent * (n + size - both)) & (label != own)
+                links.update((min(own, x), max(own, x)) for x in np.unique(label[linked]))
+        rows = np.array(sorted(links), np.int64).reshape(-1, 2)
+        return pa.table({"a": rows[:, 0], "b": rows[:, 1]})
+
+    tile = ["home", "piece", "block"]
+    home = F.min(F.struct(-F.col("size"), "sign"))["sign"].alias("home")
+    members = cut_lineage(group.groupBy("k", "label", "n").agg(home), "jaccard-homes")
+    tiles = lambda rows, *keys: rows.groupBy(*keys).agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    # different bits of the key for pieces and blocks
+    members = members.join(tiles(members, "home"), "home").withColumn("piece", F.pmod("k", "tiles").cast("int")).drop("tiles")
+    members = cut_lineage(members, "jaccard-members")
+    calls = group.select("sign", "k").join(members.select("k", "home", "piece"), "k").select("sign", "home", "piece").distinct()
+    called = calls.join(leaders, "sign").select("home", "piece", "k", "label", "n").distinct()
+    called = cut_lineage(called, "jaccard-called")
+    blocks = cut_lineage(tiles(called, "home", "piece"), "jaccard-blocks")
+    dealt = called.join(blocks, ["home", "piece"]).withColumn("block", F.pmod(F.shiftright("k", 24), "tiles").cast("int"))
+    members = members.join(blocks, ["home", "piece"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left, right = (side.join(sets, "k").select(*tile, "label", "elements").toDF(*tile, "label", "elements") for side in (members, dealt))
+    met = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(compare, "a long, b long")
+    return cut_lineage(met.distinct(), "jaccard-met")
+
+
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """The (k, label) of all linked keys after components, named by their labels, have merged.
+
+    Sets without links so far are their own component; only *merged* has them.
+    """
+    kept = labels.join(merged.select(F.col("k").alias("label"), F.col("label").alias("new")), "label", "left")
+    kept = kept.select("k", F.coalesce("new", "label").alias("label"))
+    return cut_lineage(kept.union(merged.join(labels.select("k"), "k", "left_anti").select("k", "label")), "jaccard-labels")
 
 
 def _stars(group: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casework.llm import queries
+from casework.llm import jaccard, queries
 from casework.llm.arrays import U, shingle_set
 from casework.llm.jaccard import COLD, drop_similar, set_key, signatures, similar_documents, sketch, sketch_distance
 
@@ -81,6 +81,27 @@ def test_as_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
 
 
+def test_groups_at_the_border_of_similarity(spark, monkeypatch):
+    """Copies of a base whose differences lie about the threshold: many components in one group."""
+    monkeypatch.setattr(jaccard, "LEADERS", 4)
+    monkeypatch.setattr(jaccard, "GROWTH", 2)
+    monkeypatch.setattr(jaccard, "TILE", 300)
+    met, meet = [], jaccard._meet
+    monkeypatch.setattr(jaccard, "_meet", lambda *a: met.append(meet(*a)) or met[-1])
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(90)], []
+    for i in range(20 * COLD):
+        copy = list(base)
+        copy[18 * (i % 5) : 18 * (i % 5) + 14] = [f"v{i % 5}-{j}" for j in range(14)]  # unlike the other variants
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        rows.append((rng.randrange(10**9) * 100 + i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar_documents(docs).collect())
+    assert got == sorted(brute(rows))
+    assert any(not m.isEmpty() for m in met)
+
+
 def test_edges(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "quite another text of some words"), (None, "a b c d e f g"), (None, None), (None, "only here one two three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
