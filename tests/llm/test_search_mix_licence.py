@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casework.llm import queries
-from casework.llm.licences import Matcher, TEMPLATES, scan_licences
+from casework.llm.licences import TEMPLATES, Matcher, scan_licences, whole_texts
 from casework.llm.mixture import leaf_budgets, mix_sources, take_mixture
 from casework.llm.topk import Block, top_k
 from tests.compare import connect, difference
@@ -112,3 +112,33 @@ def test_every_template_names_itself():
         for text in texts:
             assert matcher.text(f"intro words\n{text}\nmore")[0] == name
     assert matcher.text("the work of the people under the law")[0] is None
+
+
+def test_licences_in_wrapped_headers_inline_notices_and_whole_files(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+"""
+    apache = TEMPLATES["Apache-2.0"][1]
+    whole = whole_texts()
+    mit = whole["MIT"].replace("<year> <copyright holders>", "2019 Some Person")
+    code = "def run(x):\n    return x + 1\n" * 40
+    rows = [
+        (1, "wrapped/a.py", gpl.format(3) + code),
+        (2, "wrapped/b.py", gpl.format(2) + code),
+        (3, "inline/a.txt", f"{'plain words go here ' * 30} {apache} {'and others follow ' * 30}"),
+        (4, "mit/LICENSE", mit),
+        (5, "mit/src/a.py", code),
+        (6, "gpl/COPYING", whole["GPL-3.0"]),
+        (7, "bsd/LICENSE", whole["BSD-2-Clause"]),
+        (8, "head/a.c", "/* " + whole["MIT"].replace("\n", "\n * ") + " */\n" + code),
+        (9, "apache/LICENSE", whole["Apache-2.0"]),
+        (10, "none/a.py", code),
+    ]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, p string, text string"), F.col("p")).collect()}
+    own = ["GPL-3.0", "GPL-2.0", "Apache-2.0", "MIT", None, "GPL-3.0", "BSD-2-Clause", "MIT", "Apache-2.0", None]
+    assert [got[i].own_licence for i in range(1, 11)] == own
+    assert {i for i in got if got[i].licence_file} >= {4, 6, 7, 9}
+    assert not got[1].licence_file and not got[3].licence_file
+    assert (got[5].licence, got[5].inherited_from) == ("MIT", "mit")
