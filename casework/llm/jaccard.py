@@ -184,14 +184,14 @@ def set_table(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def packed_signatures(texts: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
-    """(bucket, signatures, ids): the next 32 bits of each signature of a bucket and whose they are.
+    """(bucket, signatures, keys): the next 32 bits of each signature of a bucket and the keys of the sets that have them.
 
-    Both are stored byte by byte, all first bytes together, so that the bytes that ids have in
-    common compress away. The lowest bit of a signature is the parity of its instance.
+    The set owns a signature, not the id: ids can be null or repeated. Both are stored byte by byte,
+    all first bytes together. The lowest bit of a signature is the parity of its instance.
     """
 
-    def packs(signs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        sign, owner = np.concatenate(signs), np.concatenate(ids)
+    def packs(signs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+        sign, owner = np.concatenate(signs), np.concatenate(keys)
         order = np.argsort(sign, kind="stable")
         sign, owner = sign[order], owner[order]
         bucket = (sign >> U(64 - bits)).astype(np.int64)
@@ -202,13 +202,13 @@ def packed_signatures(texts: DataFrame, size: int, percent: int, bits: int) -> D
             part |= (sign[a:b] & U(1)).astype(np.uint32)
             planes = part.view(np.uint8).reshape(-1, 4).T.tobytes()
             rows.append((int(bucket[a]), planes, owner[a:b].copy().view(np.uint8).reshape(-1, 8).T.tobytes()))
-        return _columns(rows, [pa.int32(), pa.binary(), pa.binary()], ["bucket", "signs", "ids"])
+        return _columns(rows, [pa.int32(), pa.binary(), pa.binary()], ["bucket", "signs", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: OrderedDict[int, None] = OrderedDict()
-        signs, ids, held = [], [], 0
+        signs, keys, held = [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text in batch.column(0):
                 hashes = shingle_set(text.as_py(), size)
                 if not len(hashes):
                     continue
@@ -221,24 +221,24 @@ def packed_signatures(texts: DataFrame, size: int, percent: int, bits: int) -> D
                     sent.popitem(last=False)
                 for band, _, found in signatures(hashes, percent):
                     signs.append((found & ~U(1)) | U(band & 1))
-                    ids.append(np.full(len(found), i, np.int64))
+                    keys.append(np.full(len(found), key, np.int64))
                     held += len(found)
                 if held > PACK:
-                    yield packs(signs, ids)
-                    signs, ids, held = [], [], 0
+                    yield packs(signs, keys)
+                    signs, keys, held = [], [], 0
         if held:
-            yield packs(signs, ids)
+            yield packs(signs, keys)
 
-    return texts.mapInArrow(run, "bucket int, signs binary, ids binary")
+    return texts.select("text").mapInArrow(run, "bucket int, signs binary, keys binary")
 
 
 def shared_signatures(packed: DataFrame, partitions: int) -> DataFrame:
-    """(a, b, hot): pairs of ids that share a signature of at most COLD ids (hot is null), and
-    for the more frequent ones a row (signature, id, parity)."""
+    """(a, b, hot): pairs a < b of set keys that share a signature of at most COLD sets (hot is null),
+    and for the more frequent ones a row (signature, set key, parity)."""
 
-    def close(bucket: int, signs: list[bytes], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def close(bucket: int, signs: list[bytes], keys: list[bytes]) -> Iterator[pa.RecordBatch]:
         sign = np.concatenate([np.frombuffer(s, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel() for s in signs])
-        owner = np.concatenate([np.frombuffer(s, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for s in ids])
+        owner = np.concatenate([np.frombuffer(s, np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for s in keys])
         ordered = np.sort(sign)
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         keep = np.isin(sign, again)
@@ -269,17 +269,17 @@ def shared_signatures(packed: DataFrame, partitions: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(owner[hot]), pa.array(parity)], names=["a", "b", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, signs, ids = None, [], []
+        now, signs, keys = None, [], []
         for batch in batches:
-            for bucket, s, i in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, s, k in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now and signs:
-                    yield from close(now, signs, ids)
-                    signs, ids = [], []
+                    yield from close(now, signs, keys)
+                    signs, keys = [], []
                 now = bucket
                 signs.append(s)
-                ids.append(i)
+                keys.append(k)
         if signs:
-            yield from close(now, signs, ids)
+            yield from close(now, signs, keys)
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "a long, b long, hot int")
@@ -304,19 +304,27 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 
 
 def fetch_sets(wanted: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(k, elements) of the wanted set keys, from the text of the smallest id that has the set."""
+    """(k, elements) of the wanted set keys, from the texts of the smallest ids that have the sets.
+
+    Other rows may have the same id, so a text meets the ids once, however many sets an id has, and
+    its set the keys. Rows without an id do not meet by id.
+    """
     wanted = cut_lineage(wanted.distinct().join(classes.select("k", "id"), "k"), "jaccard-wanted")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text in batch.column(0):
                 hashes = shingle_set(text.as_py(), size)
-                if len(hashes) and set_key(hashes) == k:  # other rows may have the same id
-                    rows.append((k, hashes.tobytes()))
+                if len(hashes):
+                    rows.append((set_key(hashes), hashes.tobytes()))
             yield _columns(rows, [pa.int64(), pa.binary()], ["k", "elements"])
 
-    found = texts.join(wanted, "id").select("k", "text").mapInArrow(elements, "k long, elements binary")
+    named = F.col("id") != NO_ID
+    asked = texts.join(wanted.where(named).select("id").distinct(), "id", "left_semi").select("text")
+    if not wanted.where(~named).isEmpty():
+        asked = asked.union(texts.where(~named).select("text"))
+    found = asked.mapInArrow(elements, "k long, elements binary").join(wanted.select("k"), "k", "left_semi")
     return cut_lineage(found.dropDuplicates(["k"]), "jaccard-sets")
 
 
@@ -393,26 +401,19 @@ def linked_sets(docs: DataFrame, id_column: str, text_column: str, size: int, pe
     texts = _documents(docs, id_column, text_column)
     table = cut_lineage(set_table(texts, size, percent), "jaccard-table")
     full = table.where("k IS NOT NULL")
+    named = F.min(F.when(F.col("id") != NO_ID, F.col("id")))
     classes = full.groupBy("k").agg(
-        F.min("id").alias("id"), *[F.min(c).alias(c) for c in ("n", "slack0", "slack1", "sketch")]
+        F.coalesce(named, F.lit(NO_ID)).alias("id"), *[F.min(c).alias(c) for c in ("n", "slack0", "slack1", "sketch")]
     )
     classes = cut_lineage(classes, "jaccard-classes")
     shared = cut_lineage(shared_signatures(packed_signatures(texts, size, percent, bits), partitions), "jaccard-shared")
-    keys = full.select("id", "k")
     pairs = shared.where("hot IS NULL").select("a", "b").distinct()
-    pairs = pairs.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
-    pairs = pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).where("a <> b").distinct()
-    # frequent signatures: by set, without those that enough rarer ones make needless
-    hot = shared.where("hot IS NOT NULL").select(F.col("a").alias("sign"), F.col("b").alias("id"), F.col("hot").alias("parity"))
-    hot = cut_lineage(hot.join(keys, "id").select("sign", "k", "parity").distinct(), "jaccard-hot")
-    counts = cut_lineage(hot.groupBy("sign").agg(F.count(F.lit(1)).alias("sets")), "jaccard-hot-counts")
-    hot = cut_lineage(hot.join(counts, "sign").where("sets > 1"), "jaccard-hot-sized")
-    few = _pairs_within(hot.where(f"sets <= {COLD}").select("sign", "k", F.col("k").alias("label")))
-    many = hot.where(f"sets > {COLD}")
+    # frequent signatures, without those that enough rarer ones make needless
+    many = shared.where("hot IS NOT NULL").select(F.col("b").alias("k"), F.col("hot").alias("parity"))
     own = many.groupBy("k", "parity").agg(F.count(F.lit(1)).alias("many"))
     slack = F.when(F.col("parity") == 0, F.col("slack0")).otherwise(F.col("slack1"))
     needed = cut_lineage(own.join(classes, "k").where(F.col("many") >= slack).select("k").distinct(), "jaccard-needed")
-    likely = likely_pairs(cut_lineage(pairs.union(few).distinct(), "jaccard-pairs"), classes, percent)
+    likely = likely_pairs(cut_lineage(pairs, "jaccard-pairs"), classes, percent)
     wanted = needed.union(likely.select(F.col("a").alias("k"))).union(likely.select(F.col("b").alias("k")))
     sets = fetch_sets(wanted, classes, texts, size)
     group = finest(sets.join(needed, "k", "left_semi"), percent).withColumn("label", F.col("k"))

@@ -136,3 +136,27 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.QUERIES["op1_jaccard_join"](spark, sf).collect())
     assert got == sorted(brute(rows))
+
+
+def test_near_copies_under_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    rows, groups = [], []
+    for i in (7, None, None, 8):
+        base = [word() for _ in range(60)]
+        texts = [" ".join([*base, word()]) for _ in range(2)]
+        rows += [(i, t) for t in texts]
+        groups.append(texts)
+    ends = [word() for _ in range(40)]
+    bridge = [" ".join([*ends[n:], *[f"{n}x{j}" for j in range(n)]]) for n in (0, 4)]
+    rows += [(9, bridge[0]), (None, bridge[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = {}
+    for r in jaccard.linked_sets(docs, "doc_id", "text", 5, 75).collect():
+        labels[r.k] = r.label
+    for texts in [*groups, bridge]:
+        assert len({labels[set_key(shingle_set(t))] for t in texts}) == 1
+    assert len(set(labels.values())) == 5
+    got = similar_documents(docs).where("doc_id IS NULL AND component_id = 9").count()
+    assert got == 1
+    assert drop_similar(docs).count() == 5
