@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from casework.functions.text import SPACES, STORED_CITATIONS
+from casework.functions.text import SPACES
 
 # The six citation forms.
 CITATION_PATTERNS = (
@@ -32,12 +32,13 @@ def extract_citations(text: Column, sidecar: Column | None = None) -> Column:
 
 
 def citation_count(citations: Column) -> Column:
-    """Counted before the storage cap."""
+    """Counted before any cut of the joined list."""
     return F.size(citations)
 
 
-def joined_citations(citations: Column) -> Column:
-    return F.array_join(F.slice(citations, 1, STORED_CITATIONS), "; ")
+def joined_citations(citations: Column, limit: int | None = None) -> Column:
+    """All citations in one cell; with *limit* (``STORED_CITATIONS`` for display) only the first ones."""
+    return F.array_join(citations if limit is None else F.slice(citations, 1, limit), "; ")
 
 
 def parse_citation_list(cell: Column) -> Column:

@@ -60,7 +60,7 @@ def truncate(c: Column, limit: int) -> Column:
 
 
 def stored_text(c: Column) -> Column:
-    """The text as the case table stores it (the rules themselves read all of it)."""
+    """The head of the text for display; the case table keeps all of it unless asked to cut."""
     return F.substring(c, 1, STORED_CHARS)
 
 

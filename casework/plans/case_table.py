@@ -14,7 +14,9 @@ from casework.schemas import CASE
 from casework.session import compute_once
 
 
-def label_cases(df: DataFrame, text: str = "case_text", block_out: str | None = None) -> DataFrame:
+def label_cases(
+    df: DataFrame, text: str = "case_text", block_out: str | None = None, citation_limit: int | None = None
+) -> DataFrame:
     """Add case_type, sub_type, verdict and the citation columns to rows that hold a text."""
     df = labels.with_case_type(df, text)
     df = labels.with_sub_type(df, text)
@@ -23,13 +25,16 @@ def label_cases(df: DataFrame, text: str = "case_text", block_out: str | None =
     return df.withColumns(
         {
             "num_citations": cites.citation_count(F.col("citations")),
-            "legal_citations": cites.joined_citations(F.col("citations")),
+            "legal_citations": cites.joined_citations(F.col("citations"), citation_limit),
         }
     )
 
 
-def process_cases(raw: DataFrame) -> DataFrame:
-    """(source, stem, html, json) rows to the sixteen-column case table; pages without text drop out."""
+def process_cases(raw: DataFrame, cut_text: bool = False, citation_limit: int | None = None) -> DataFrame:
+    """(source, stem, html, json) rows to the sixteen-column case table; pages without text drop out.
+
+    Texts and citation lists are whole. *cut_text* and *citation_limit* give the forms for display.
+    """
     df = compute_once(raw, {"_page": page_text(F.col("html"))}).drop("html")
     df = compute_once(df, {"_text": txt.clean_text(F.col("_page"))}).filter(F.col("_text") != "")
     df = parse_sidecar(df, "json")
@@ -44,10 +49,10 @@ def process_cases(raw: DataFrame) -> DataFrame:
         "source_folder": F.col("source"),
         "year": txt.extract_year(F.col("decision_date"), text),
         "court": txt.extract_court(F.col("court_name"), text),
-        "case_text": txt.stored_text(text),
+        "case_text": txt.stored_text(text) if cut_text else text,
         "case_text_full_length": F.length("_page"),
         "num_citations": cites.citation_count(F.col("_cites")),
-        "legal_citations": cites.joined_citations(F.col("_cites")),
+        "legal_citations": cites.joined_citations(F.col("_cites"), citation_limit),
     }
     return df.select(
         *[columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in CASE.fields]

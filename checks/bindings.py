@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions.citations import citation_count, extract_citations, joined_citations
-from casework.functions.text import SPACES, collapse_spaces
+from casework.functions.text import SPACES, STORED_CITATIONS, collapse_spaces
 from casework.plans.case_table import clean_cases, label_cases
 from casework.session import compute_once, cut_lineage, spread
 
@@ -96,7 +96,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled case table, written once per session as an extraction run would, then read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        _written[key] = cut_lineage(label_cases(cases(spark, sf_dir)), "cases")
+        _written[key] = cut_lineage(label_cases(cases(spark, sf_dir), citation_limit=STORED_CITATIONS), "cases")
     return _written[key]
 
 
@@ -104,7 +104,7 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with their citation columns only."""
     df = compute_once(cases(spark, sf_dir), {"citations": extract_citations(F.col("case_text"))})
     return df.withColumns(
-        {"num_citations": citation_count(F.col("citations")), "legal_citations": joined_citations(F.col("citations"))}
+        {"num_citations": citation_count(F.col("citations")), "legal_citations": joined_citations(F.col("citations"), STORED_CITATIONS)}
     )
 
 

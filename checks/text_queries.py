@@ -17,7 +17,7 @@ from casework.session import spread
 from checks import bindings as b
 from checks import rule_sql as rs
 from checks.bindings import collapse, lit
-from checks.registry import register
+from checks.registry import SQL, register
 
 # -- pages and sidecars ---------------------------------------------------------
 
@@ -117,11 +117,15 @@ SELECT lpad(CAST(page_id AS VARCHAR), 4, '0') AS case_id,
 FROM full_ WHERE case_text <> ''""",
 )
 def _(spark, sf):
+    return process_cases(_raw_cases(spark, sf), cut_text=True, citation_limit=txt.STORED_CITATIONS)
+
+
+def _raw_cases(spark, sf):
     pages = spread(b.table(spark, sf, "pages"), "page_id")
     key = F.col("page_id")
     name = F.when(key % 3 == 0, "Doe v. Roe").otherwise("")
     day = F.when(key % 2 == 0, F.format_string("18%02d-03-01", key % 90)).otherwise("")
-    raw = pages.select(
+    return pages.select(
         F.lit("src").alias("source"),
         F.format_string("src_%04d", key).alias("stem"),
         F.concat("html", F.lit("<p>"), b._pick(b.PHRASES, "page_id"), F.lit("</p>")).alias("html"),
@@ -131,7 +135,14 @@ def _(spark, sf):
             )
         ).alias("json"),
     )
-    return process_cases(raw)
+
+
+@register(
+    "process_cases_whole",
+    SQL["process_cases"].replace("substr(case_text, 1, 10000)", "case_text").replace("list_slice(citations, 1, 20)", "citations"),
+)
+def _(spark, sf):
+    return process_cases(_raw_cases(spark, sf))
 
 
 # -- scalar text functions ------------------------------------------------------

@@ -91,3 +91,13 @@ def test_jdbc_rows(spark):
     df = spark.createDataFrame([("1", 5, "x")], "case_id string, case_text_full_length int, other string")
     assert jdbc.table_rows(df).columns == ["case_id", "case_text_length", "created_at"]
     assert jdbc.column_types(df) == "case_id VARCHAR(64)"
+
+
+def test_case_table_keeps_whole_texts_and_citations(spark):
+    html = "<p>" + "judgment affirmed and more words " * 1000 + "</p>"
+    body = json.dumps({"cites_to": [f"{n} Ind. {n}" for n in range(1, 31)]})
+    raw = spark.createDataFrame([("src", "a_0001", html, body)], "source string, stem string, html string, json string")
+    whole, cut = process_cases(raw).first(), process_cases(raw, cut_text=True, citation_limit=20).first()
+    assert len(whole.case_text) == 33 * 1000 - 1 and len(whole.legal_citations.split("; ")) == whole.num_citations == 30
+    assert len(cut.case_text) == 10_000 and len(cut.legal_citations.split("; ")) == 20 and cut.num_citations == 30
+    assert clean_cases(process_cases(raw)).first().word_count == 5000
