@@ -16,7 +16,7 @@ from casework.streaming.resume import Ledger, resume_batch, stream_cases
 from checks import bindings as b
 from checks import rule_sql as rs
 from checks.bindings import collapse, lit, r_even
-from checks.registry import register
+from checks.registry import SQL, register
 
 P, CASES = b.PREDICTIONS, b.CASES
 
@@ -529,25 +529,39 @@ ctx AS (SELECT query_id, string_agg('[Case ' || rank || '] ID=' || id || format(
     || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS sources FROM hit GROUP BY 1)"""
 
 
-def _contexts(spark, sf):
+def _contexts(spark, sf, slots=None):
+    """Every vector stands for the case its number falls on, of the first *slots* cases or of all."""
     vectors = _vectors(spark, sf)
-    # every vector stands for the case its number falls on
     facts = b.labelled(spark, sf).select(
         F.col("case_id").cast("bigint").alias("slot"),
         F.col("case_text").alias("text"),
         F.create_map(F.lit("case_type"), F.col("case_type"), F.lit("verdict"), F.col("verdict")).alias("metadata"),
     )
-    vectors = vectors.withColumn("slot", F.col("id") % 150).join(facts, "slot")
+    slots = facts.count() if slots is None else slots
+    vectors = vectors.withColumn("slot", F.col("id") % slots).join(facts, "slot")
     hits = retrieve.search(vectors.filter("id % 25 = 3"), vectors, 3)
     return retrieve.format_context(hits)
 
 
 @register("format_context", f"WITH {rs.LABELLED}, {_HITS} SELECT query_id, context, sources FROM ctx")
 def _(spark, sf):
-    df = _contexts(spark, sf)
+    return _with_sources(_contexts(spark, sf, 150))
+
+
+def _with_sources(df):
     return df.select("query_id", "context", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 
 
+def _over_all(name):
+    """The query's SQL with vectors dealt over the whole table."""
+    return SQL[name].replace("h.id % 150", "h.id % (SELECT count(*) FROM labelled)")
+
+
+@register("format_context_all", _over_all("format_context"))
+def _(spark, sf):
+    return _with_sources(_contexts(spark, sf))
+
+
 _HEAD = "You are an expert legal analyst. Use the following retrieved case excerpts to answer the question.\n\nRETRIEVED CASES:\n"
 _TAIL = "\n\nProvide a concise, accurate legal answer citing the relevant cases where applicable.\nANSWER:"
 
@@ -558,9 +572,21 @@ _TAIL = "\n\nProvide a concise, accurate legal answer citing the relevant cases
 FROM embeddings e JOIN ctx ON ctx.query_id = e.vec_id JOIN benchmark b ON b.item_id = e.vec_id % 40""",
 )
 def _(spark, sf):
-    asked = b.table(spark, sf, "embeddings").filter("vec_id % 25 = 3").select("vec_id", (F.col("vec_id") % 40).alias("item_id"))
+    return _prompts(spark, sf, 40, _contexts(spark, sf, 150))
+
+
+def _prompts(spark, sf, items, contexts):
+    asked = b.table(spark, sf, "embeddings").filter("vec_id % 25 = 3").select("vec_id", (F.col("vec_id") % items).alias("item_id"))
     questions = asked.join(b.table(spark, sf, "benchmark"), "item_id").select(F.col("vec_id").alias("id"), F.col("text").alias("question"))
-    return retrieve.build_prompts(questions, _contexts(spark, sf)).select("id", "prompt")
+    return retrieve.build_prompts(questions, contexts).select("id", "prompt")
+
+
+@register(
+    "build_prompts_all",
+    _over_all("build_prompts").replace("e.vec_id % 40", "e.vec_id % (SELECT count(*) FROM benchmark)"),
+)
+def _(spark, sf):
+    return _prompts(spark, sf, b.table(spark, sf, "benchmark").count(), _contexts(spark, sf))
 
 
 def _rag(spark, sf):

@@ -82,3 +82,15 @@ def test_context_and_scores(spark):
     df = spark.createDataFrame([("what is {context}", ["what was"], "nothing")], "question string, docs array<string>, answer string")
     scored = retrieve.rag_scores(df).first()
     assert (scored.context_precision, scored.answer_relevance) == (0.333, 0.0)
+
+
+def test_contexts_take_cases_of_the_whole_table(spark, sf):
+    from __spark_entry__ import oracle_sql, queries
+
+    head = {r.query_id: r for r in queries()["format_context"](spark, sf).collect()}
+    whole = {r.query_id: r for r in queries()["format_context_all"](spark, sf).collect()}
+    cases = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert head.keys() == whole.keys()
+    changed = [q for q, r in whole.items() if r.context != head[q].context]
+    assert changed and all(any(int(x) % cases != int(x) % 150 for x in whole[q].sources.split(",")) for q in changed)
+    assert all("% 150" not in oracle_sql()[n] for n in ("format_context_all", "build_prompts_all"))
