@@ -363,9 +363,6 @@ def _(spark, sf):
 
 # -- models -----------------------------------------------------------------------------
 
-_TINY = feat.TfidfSpec((1, 1), 800, 2)
-_FAST = {"spec": _TINY, "options": {"maxIter": 20}}
-
 
 def _split(df, label):
     out = sampling.stratified_split(df, label, "case_id", 0.2, 0.0001)
@@ -379,14 +376,14 @@ def _training(spark, sf):
 @register("case_classifier")
 def _(spark, sf):
     train, test = _split(_training(spark, sf), "case_type")
-    return models.case_classifier("logistic", **_FAST).fit(train).evaluate(test)
+    return models.case_classifier("logistic").fit(train).evaluate(test)
 
 
 @register("calibrated_svm")
 def _(spark, sf):
     rows = b.documents(spark, sf).join(b.table(spark, sf, "labels"), "doc_id")
     rows = rows.select(F.col("doc_id").alias("case_id"), F.col("text").alias("case_text"), F.col("quality").cast("string").alias("label0"))
-    model = models.TextClassifier("label0", "svm", spec=_TINY, options={"maxIter": 10}).fit(rows)
+    model = models.TextClassifier("label0", "svm").fit(rows)
     scored = model.score(rows, "label0")
     total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
     return scored.select("case_id", "label0", "predicted", feat.round_even(total, 6).alias("probability_sum"))
@@ -396,13 +393,13 @@ def _(spark, sf):
 def _(spark, sf):
     rows = _training(spark, sf).withColumn("g", labels.verdict_group(F.col("verdict")))
     train, test = _split(rows, "g")
-    return models.VerdictPredictor("naive_bayes", spec=_TINY).fit(train).evaluate(test)
+    return models.VerdictPredictor().fit(train).evaluate(test)
 
 
 @register("subtype_classifier")
 def _(spark, sf):
     rows = _training(spark, sf)
-    model = models.SubtypeClassifier("naive_bayes", _TINY).fit(rows)
+    model = models.SubtypeClassifier().fit(rows)
     return model.predict(rows).select("case_id", "case_type", "predicted_sub_type", "sub_type_confidence")
 
 
@@ -410,21 +407,21 @@ def _(spark, sf):
 def _(spark, sf):
     rows = _training(spark, sf)
     rows = rows.withColumns(labels.hierarchy_labels(F.col("sub_type")))
-    model = models.HierarchyClassifier("naive_bayes", _TINY).fit(rows)
+    model = models.HierarchyClassifier().fit(rows)
     return model.predict(rows.select("case_id", "case_text")).drop("case_text")
 
 
 @register("batch_predict")
 def _(spark, sf):
     rows = _training(spark, sf)
-    fitted = {t: models.TextClassifier(t, "naive_bayes", _TINY).fit(rows) for t in ("case_type", "verdict")}
+    fitted = {t: models.TextClassifier(t, "naive_bayes").fit(rows) for t in ("case_type", "verdict")}
     asked = rows.select(F.col("case_id").alias("id"), F.when(F.col("case_id").cast("int") % 20 == 0, "short").otherwise(F.col("case_text")).alias("case_text"))
     return models.batch_predict(asked, fitted)
 
 
 @register("cross_validate")
 def _(spark, sf):
-    result = models.TextClassifier("case_type", "naive_bayes", _TINY).cross_validate(_training(spark, sf), 3)
+    result = models.TextClassifier("case_type", "naive_bayes").cross_validate(_training(spark, sf))
     rows = [(i, s) for i, s in enumerate(result["scores"])]
     return spark.createDataFrame(rows, "fold int, f1_macro double")
 
@@ -432,27 +429,26 @@ def _(spark, sf):
 @register("compare_models")
 def _(spark, sf):
     train, test = _split(_training(spark, sf), "case_type")
-    options = {"logistic": {"maxIter": 15}, "random_forest": {"numTrees": 10}}
-    return models.compare_models(train, test, "case_type", ["logistic", "naive_bayes", "random_forest"], options, spec=_TINY)
+    return models.compare_models(train, test, "case_type", list(models.ESTIMATORS))
 
 
 @register("model_explanation")
 def _(spark, sf):
-    model = models.case_classifier("logistic", **_FAST).fit(_training(spark, sf))
+    model = models.case_classifier("logistic").fit(_training(spark, sf))
     return explain.feature_importance(explain.linear_weights(model))
 
 
 @register("preset_classifier")
 def _(spark, sf):
     rows = feat.numeric_features(labels.with_four_class(b.labelled(spark, sf), "verdict"))
-    model = models.preset_classifier("outcome", "naive_bayes", _TINY).fit(rows)
+    model = models.preset_classifier("outcome").fit(rows)
     return model.evaluate(rows)
 
 
 @register("saved_model")
 def _(spark, sf):
     rows = _training(spark, sf)
-    model = models.TextClassifier("case_type", "naive_bayes", _TINY).fit(rows)
+    model = models.TextClassifier("case_type", "naive_bayes").fit(rows)
     path = scratch_path(spark, "model")
     model.save(path)
     again = models.TextClassifier.load(spark, path)

@@ -62,3 +62,30 @@ def test_batch_predict_marks_bad_rows(spark, cases):
     )
     out = {r.id: r for r in models.batch_predict(asked, fitted).collect()}
     assert len(out) == 62 and out["bad"].case_type == out["none"].verdict == "ERROR" and out["0000"].error is None
+
+
+def test_registered_models_are_whole(spark, sf, monkeypatch):
+    """What the registered queries fit, without fitting it: the operators' own specs, options and folds."""
+    from __spark_entry__ import queries
+    from casework.operators.features import PRESETS
+
+    class Seen(BaseException):  # an exception would be taken for a type that cannot be fitted
+        pass
+
+    def fit(self, df):
+        raise Seen(self.spec, self.options)
+
+    monkeypatch.setattr(models.TextClassifier, "fit", fit)
+    own = {n: TfidfSpec() for n in ("case_classifier", "calibrated_svm", "verdict_predictor", "batch_predict", "cross_validate")}
+    own |= {n: TfidfSpec() for n in ("compare_models", "model_explanation", "saved_model")}
+    own |= {"subtype_classifier": PRESETS["sub_type"], "hierarchy_classifier": PRESETS["hierarchy"], "preset_classifier": PRESETS["outcome"]}
+    for name, spec in own.items():
+        with pytest.raises(Seen) as seen:
+            queries()[name](spark, sf)
+        assert seen.value.args == (spec, {}), name
+    given = []
+    monkeypatch.setattr(models, "compare_models", lambda train, test, label, kinds, *a, **k: given.append((sorted(kinds), a, k)))
+    monkeypatch.setattr(models.TextClassifier, "cross_validate", lambda self, df, k=5: given.append(k) or {"scores": []})
+    queries()["compare_models"](spark, sf)
+    queries()["cross_validate"](spark, sf)
+    assert given == [(sorted(models.ESTIMATORS), (), {}), 5]
