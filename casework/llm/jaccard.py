@@ -469,15 +469,19 @@ def drop_similar(
     """The rows of *docs* without all but one document of each component.
 
     The document with the smallest id stays (a null id counts as the largest, then the smallest
-    set key). Rows of equal id and equal set are one document and stay or go together.
+    set key). Rows of equal id and equal set are one document and stay or go together; rows without
+    an id are documents of their own, of which one stays, the first by the digest of the row.
     """
     named = linked_sets(docs, id_column, text_column, size, percent).where("label IS NOT NULL")
     rank = F.struct((F.col("id") == NO_ID).alias("unnamed"), "id", "k")
     best = cut_lineage(named.groupBy("label").agg(F.min(rank).alias("best")), "jaccard-best")
     gone = named.join(best, "label").where(rank != F.col("best")).select("id", "k").distinct()
     gone = cut_lineage(gone.select(F.col("id").alias("_id"), F.col("k").alias("_k")), "jaccard-gone")
-    # only rows whose id is gone for some text need their set looked at
-    doubtful = gone.select("_id").distinct().withColumn("_doubt", F.lit(True))
+    unnamed = best.where("best.unnamed").select("best.k").join(named.where(F.col("id") == NO_ID).select("k"), "k")
+    tied = unnamed.groupBy(F.col("k").alias("_k")).agg(F.count(F.lit(1)).alias("_tied")).where("_tied > 1")
+    tied = cut_lineage(tied.withColumn("_id", F.lit(NO_ID)), "jaccard-tied")
+    # only rows whose id is gone or tied for some text need their set looked at
+    doubtful = gone.select("_id").union(tied.select("_id")).distinct().withColumn("_doubt", F.lit(True))
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
     keyed = docs.withColumn("_id", key).join(doubtful, "_id", "left")
     place = keyed.columns.index(text_column)
@@ -493,7 +497,11 @@ def drop_similar(
 
     schema = T.StructType([*keyed.schema.fields, T.StructField("_k", T.LongType())])
     looked = keyed.where("_doubt").mapInArrow(run, schema).join(gone, ["_id", "_k"], "left_anti")
-    return keyed.where("_doubt IS NULL").select(*docs.columns).unionByName(looked.select(*docs.columns))
+    looked = looked.join(tied, ["_id", "_k"], "left")
+    row = F.struct(*docs.columns)
+    ones = looked.where("_tied IS NOT NULL").groupBy("_k").agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_one"))
+    kept = keyed.where("_doubt IS NULL").select(*docs.columns)
+    return kept.unionByName(looked.where("_tied IS NULL").select(*docs.columns)).unionByName(ones.select("_one.*"))
 
 
 def _leaders(group: DataFrame, most: int) -> DataFrame:

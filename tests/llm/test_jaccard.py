@@ -160,3 +160,14 @@ def test_near_copies_under_null_and_repeated_ids(spark):
     got = similar_documents(docs).where("doc_id IS NULL AND component_id = 9").count()
     assert got == 1
     assert drop_similar(docs).count() == 5
+
+
+def test_one_of_the_copies_without_ids_stays(spark):
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, "a b c d e f g", n) for n in (3, 1, 2)] + [(None, near, 1), (None, near, 1), (None, None, 1), (None, None, 1), (5, "x y z", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, "a b c d e f g"), (None, near), (None, None), (None, None), (5, "x y z")], key=str
+    )
