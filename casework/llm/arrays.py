@@ -8,7 +8,11 @@ combined wherever equality decides a result over the whole corpus.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 SPACES = np.zeros(256, bool)
@@ -94,3 +98,16 @@ def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + length, n), -1)
     return np.cumsum(step[:n]) > 0
+
+
+def slices(texts: pa.Array, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about *limit* bytes of text, at least one row each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -16,6 +16,7 @@ from casework.llm.quality import fit_quality, score_quality
 from casework.llm.repeats import remove_repeats
 from casework.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, repetition_rules
 from casework.llm.secrets import scan_secrets
+from casework.llm.substrings import LENGTH, remove_substrings
 from casework.llm.topk import top_k
 from casework.llm.warc import LEAST, archive_round_trip
 
@@ -276,3 +277,24 @@ SQL["op9_exact_top_k"] = """
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_substrings(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_substring_dedup"] = f"""
+    WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {LENGTH} + 2)) AS i FROM texts),
+    windows AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + {LENGTH - 1}], ' ')) AS w FROM places),
+    again AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+    gone AS (SELECT DISTINCT doc_id, i + unnest(range({LENGTH})) AS i FROM again),
+    words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM texts),
+    kept AS (SELECT doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed,
+                    coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL), '') AS kept
+             FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+"""
