@@ -12,12 +12,14 @@ from casework.llm.bpe import LATIN_PATTERN, decode_ids, encode_texts
 from casework.llm.jaccard import similar_documents
 from casework.llm.licences import FILE_SHARE, LEAST_COSINE, TEMPLATES, scan_licences, terms
 from casework.llm.mixture import mix_sources, token_count
+from casework.llm.periods import periodic_runs
 from casework.llm.quality import fit_quality, score_quality
 from casework.llm.repeats import remove_repeats
 from casework.llm.repetition import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, repetition_rules
 from casework.llm.secrets import scan_secrets
 from casework.llm.substrings import LENGTH, remove_substrings
 from casework.llm.topk import top_k
+from casework.llm.variants import LEAST_COUNT, LEAST_LENGTH, TIMES, spelling_variants
 from casework.llm.warc import LEAST, archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,3 +300,45 @@ SQL["op11_substring_dedup"] = f"""
            sha256(coalesce(kept, '')) AS kept_sha256
     FROM texts LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_spelling_variants"] = f"""
+    WITH RECURSIVE crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+    by_doc AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+    bytes AS (SELECT doc_id, run, n, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS x FROM by_doc),
+    summed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(x), 2),
+                        lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+                        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h FROM bytes, crc),
+    spelt AS (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+                        ELSE run END AS word FROM summed),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 2)) AS i FROM words),
+    skips AS (SELECT word, n, substr(word, i + 1) || '$' || substr(word, 1, i - 1) AS key FROM places WHERE i <= length(word)),
+    wholes AS (SELECT word, n, substr(word, i) || '$' || substr(word, 1, i - 1) AS key FROM places),
+    pairs AS (
+      SELECT a.word, b.word AS other, b.n AS m FROM skips a JOIN skips b ON a.key = b.key AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM skips a JOIN wholes b ON a.key = b.key
+      UNION SELECT b.word, a.word, a.n FROM skips a JOIN wholes b ON a.key = b.key),
+    best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM pairs
+             QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+    forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * n THEN other END AS form,
+                     CASE WHEN m >= {TIMES} * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS root, form AS next FROM forms
+              UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON f.word = c.next)
+    SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+    FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
