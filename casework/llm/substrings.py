@@ -13,12 +13,12 @@ at the same word, going on with the same word, have a longer seed in common and
 themselves, until every window has met the earliest equal one.
 
 Scale: the scan writes its anchors once; they are counted by partial aggregation, and only
-repeated ones meet. Anchors with more occurrences than a millionth of all words (10,000 at least) are told
-apart by the count: there are a million of them at most, they are broadcast, their occurrences are
-aggregated before they move and joined by skew-splitting joins. Seeds with more different
-stretches than a task should hold are split by longer seeds, at last by the window itself, which is aggregated.
-Texts move to the open anchors and to the removals only where a document has any. Tables are
-deleted when their last reader is done.
+repeated ones meet. Counts and first places are aggregated before they move, and a seed in a third of
+all texts meets them in joins that split skewed keys. Seeds with more different stretches than a task
+should hold (GROUP, or a millionth of all, so that their number is bounded and they can be broadcast)
+are split by longer seeds, at last by the window itself, which is aggregated. Texts move twice, once to
+the open anchors and once to the removals; documents without any are left out by their keys where these
+are few enough to broadcast (FEW), else by the join. Tables are deleted when their last reader is done.
 
 Order: smaller doc_id first, rows without one last; rows of one id as they are read. Words are
 compared by 64-bit hashes, a stretch by 112 bits, whole texts by MD5.
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.llm.arrays import U, mix, slices, window_hashes, word_bounds, word_hashes
@@ -44,9 +44,8 @@ LENGTH = 20
 SEED = 8
 REACH = LENGTH - SEED  # words that a window can have on either side of its seed
 PIECE = 1 << 19  # grams that are searched for anchors at a time
-SHARE = 1_000_000  # a key is hot if it has more than this share of all words or stretches
-OCCURRENCES, GROUP = 10_000, 20_000  # and more than so many of them
-FEW = 2_000_000  # document keys (24 bytes each) that may be broadcast
+SHARE, GROUP = 1_000_000, 20_000  # a group is crowded with more than this share of all stretches, and more than so many
+FEW = 500_000  # document keys that may be broadcast
 LAST = (1 << 63) - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -126,24 +125,20 @@ def _scan(texts: DataFrame) -> DataFrame:
 PLACE = ("id", "uid", "p")  # in the order of documents
 
 
-def _meet(tables: Tables, occurrences: DataFrame, words: int) -> DataFrame:
+def _meet(tables: Tables, occurrences: DataFrame) -> DataFrame:
     """(h, id, uid, p, first, kinds) of the occurrences of repeated seeds.
 
     *first*: the earliest with its stretch; *kinds*: different stretches around the seed.
     """
     seeds = tables.keep("seeds", occurrences.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    limit = max(OCCURRENCES, words // SHARE)
-    cold = occurrences.join(seeds.where(F.col("n") <= limit).select("h"), "h", "left_semi")
-    first = (F.row_number().over(Window.partitionBy("h", "w").orderBy(*PLACE)) == 1).alias("first")
-    cold = cold.select("h", *PLACE, first)
-    cold = cold.withColumn("kinds", F.sum(F.col("first").cast("long")).over(Window.partitionBy("h")))
-    hot = occurrences.join(F.broadcast(seeds.where(F.col("n") > limit).select("h")), "h", "left_semi")
-    firsts = tables.keep("firsts", hot.groupBy("h", "w").agg(F.min(F.struct(*PLACE)).alias("least")))
+    again = tables.keep("again", occurrences.join(seeds.select("h"), "h", "left_semi"))
+    tables.drop("seeds")
+    firsts = tables.keep("firsts", again.groupBy("h", "w").agg(F.min(F.struct(*PLACE)).alias("least")))
     kinds = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    hot = hot.join(firsts, ["h", "w"]).join(F.broadcast(kinds), "h")
-    hot = hot.select("h", *PLACE, (F.struct(*PLACE) == F.col("least")).alias("first"), "kinds")
-    met = tables.keep("met", cold.union(hot))
-    tables.drop("seeds", "firsts")
+    firsts = tables.keep("kinds", firsts.join(kinds, "h"))
+    met = again.join(firsts, ["h", "w"])
+    met = tables.keep("met", met.select("h", *PLACE, (F.struct(*PLACE) == F.col("least")).alias("first"), "kinds"))
+    tables.drop("again", "firsts", "kinds")
     return met
 
 
@@ -349,8 +344,7 @@ def remove_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: s
     scan = tables.keep("scan", _scan(texts).withColumn("uid", F.monotonically_increasing_id()))
     rows = tables.keep("rows", scan.select("uid", "id", "no_id", "d", "n", "sha"))
     anchor = F.inline(F.arrays_zip("seeds", "stretches", "places")).alias("h", "w", "p")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    met = _meet(tables, scan.select("id", "uid", anchor), total)
+    met = _meet(tables, scan.select("id", "uid", anchor))
     tables.drop("scan")
     found = met.where("first AND kinds > 1").groupBy("uid").agg(F.collect_list(F.struct("h", "p")).alias("found"))
     wanted = tables.keep("open", found.join(rows.select("uid", "id", "d"), "uid"))

@@ -70,11 +70,10 @@ def test_as_brute_force(spark):
     assert found(got) == expected(rows)
 
 
-def test_crowded_seeds_and_hot_seeds(spark, monkeypatch):
-    """The ways for crowded groups and hot seeds give the same rows."""
+def test_crowded_seeds(spark, monkeypatch):
+    """The ways for crowded groups and for many documents give the same rows."""
     rows = corpus()
     monkeypatch.setattr(substrings, "GROUP", 3)
-    monkeypatch.setattr(substrings, "OCCURRENCES", 5)
     monkeypatch.setattr(substrings, "FEW", 0)
     assert found(remove_substrings(frame(spark, rows))) == expected(rows)
 
