@@ -6,10 +6,12 @@ neighbouring tokens with the merge table and contracts, in every word, the leftm
 pair of least rank, until no word changes. Decoding joins token positions with the
 vocabulary and puts the bytes together by ordered aggregation.
 
-Scale: every row is encoded in its own task; nothing is shuffled. Only distinct
-words go through the recursion, at most WORDS of them at a time, and a task keeps at
-most CACHE of them. The query does one contraction a round, so its cost grows with
-the square of a word's length; words over LONG bytes take the same steps in a heap.
+Scale: every row is encoded in its own task, and decoded there too if asked; nothing is
+shuffled. Only distinct words go through the recursion, in parts whose rounds hold at most
+STEPS tokens, and a task keeps at most CACHE words. Decoding takes TOKENS tokens at a time,
+however long a text is. So the database needs no disk and may use none. The query does one
+contraction a round, so its cost grows with the square of a word's length; words over LONG
+bytes take the same steps in a heap.
 
 Defined results: a null text counts as empty and has no tokens; an id that the
 vocabulary does not have raises; null ids decode to nothing; repeated rows get
@@ -33,10 +35,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-WORDS = 20_000
-CACHE = 150_000
+from casework.llm.arrays import slices
+
+STEPS = 3_000_000  # sum of the squares of the word lengths in one recursion
+CACHE = 400_000
 LONG = 256
-TOKENS = 250_000  # token rows that one decoding query takes, unless one text has more
+SLICE = 1_500_000  # bytes of text that are encoded at a time
+TOKENS = 250_000  # token rows that one decoding query takes
 
 ENCODE = """
 WITH RECURSIVE step(word, toks, round) AS (
@@ -53,9 +58,8 @@ WITH RECURSIVE step(word, toks, round) AS (
 SELECT word, arg_max(toks, round) AS ids FROM step GROUP BY word ORDER BY word
 """
 DECODE = """
-SELECT t.r, array_to_string(list(v.hex ORDER BY t.pos), '') AS hex, count(*) AS n
-FROM (SELECT r, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM given) t JOIN vocabulary v ON v.id = t.id
-GROUP BY t.r
+SELECT t.r, string_agg(v.bytes, '' ORDER BY t.pos) AS bytes, count(*) AS n
+FROM given t JOIN vocabulary v ON v.id = t.id GROUP BY t.r
 """
 
 #: For texts without a character beyond U+024F: classes of that range written out for the faster engine.
@@ -74,9 +78,10 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pattern = regex.compile(pattern)
         self.latin = re.compile(latin_pattern) if latin_pattern else None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
-        hexes = pa.array([t.hex() for t in self.ranks])
-        self.load("vocabulary", pa.table({"id": np.array(list(self.ranks.values()), np.int32), "hex": hexes}))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        # a byte is the code point of its number, so that tokens are strings to the database
+        tokens = pa.array([t.decode("latin-1") for t in self.ranks])
+        self.load("vocabulary", pa.table({"id": np.array(list(self.ranks.values()), np.int32), "bytes": tokens}))
         self.single = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
 
@@ -153,10 +158,13 @@ class Codec:
                 self.known[word] = self.merge_long(data)
             else:
                 todo.append((word, data))
-        for at in range(0, len(todo), WORDS):
-            part = todo[at : at + WORDS]
-            for (word, _), ids in zip(part, self.merge_words([d for _, d in part])):
-                self.known[word] = ids
+        weight = np.cumsum([len(d) ** 2 for _, d in todo])
+        edges = [0, *(np.flatnonzero(np.diff(weight // STEPS)) + 1).tolist(), len(todo)]
+        for at, end in zip(edges, edges[1:]):
+            part = todo[at:end]
+            if part:
+                for (word, _), ids in zip(part, self.merge_words([d for _, d in part])):
+                    self.known[word] = ids
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """The ids of each whole text, as lists."""
@@ -173,20 +181,20 @@ class Codec:
 
     def decode(self, rows: pa.Array) -> list[bytes]:
         """Bytes of each list of ids."""
-        lengths = [len(r) - r.values.null_count if r.is_valid else 0 for r in rows]
-        given = pa.table({"r": pa.array(range(len(rows)), pa.int32()), "ids": rows})
+        row, ids = pc.list_parent_indices(rows), rows.flatten()
+        if ids.null_count:
+            row, ids = row.filter(ids.is_valid()), ids.drop_null()
         out = [b""] * len(rows)
-        start = held = 0
-        for i, n in enumerate([*lengths, TOKENS]):
-            if i > start and held + n > TOKENS:
-                self.db.register("given", given.slice(start, i - start))
-                for r, text, count in self.db.execute(DECODE).fetchall():
-                    if count != lengths[r]:
-                        raise ValueError("an id is not in the vocabulary")
-                    out[r] = bytes.fromhex(text)
-                self.db.unregister("given")
-                start, held = i, 0
-            held += n
+        for start in range(0, len(ids), TOKENS):
+            part = ids.slice(start, TOKENS)
+            pos = pa.array(np.arange(len(part), dtype=np.int32))
+            self.db.register("given", pa.table({"r": row.slice(start, TOKENS), "pos": pos, "id": part}))
+            found = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("given")
+            if pc.sum(found["n"]).as_py() != len(part):
+                raise ValueError("an id is not in the vocabulary")
+            for r, text in zip(found["r"].to_pylist(), found["bytes"].to_pylist()):
+                out[r] += text.encode("latin-1")
         return out
 
 
@@ -201,19 +209,6 @@ def codec(path: str, pattern: str, latin_pattern: str | None = None) -> Codec:
     return _codecs[key]
 
 
-def _parts(texts: pa.Array, limit: int = 1_500_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about *limit* bytes, at least one row each."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if i > start and held + size > limit:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     if name in df.columns:
         raise ValueError(f"column {name} is there already; choose another name")
@@ -227,24 +222,31 @@ def encode_texts(
     text_column: str = "text",
     ids_column: str = "token_ids",
     latin_pattern: str | None = None,
+    bytes_column: str | None = None,
 ) -> DataFrame:
-    """The rows of *df* with the token ids of the whole text.
+    """The rows of *df* with the token ids of the whole text, and in *bytes_column*, if given, what they decode to.
 
     *latin_pattern*, if given, must split texts up to U+024F as *pattern* does.
     """
     place = df.columns.index(text_column)
-    names = [*df.columns, ids_column]
+    schema = _added(df, ids_column, T.ArrayType(T.IntegerType()))
+    if bytes_column:
+        if bytes_column in schema.names:
+            raise ValueError(f"column {bytes_column} is there already; choose another name")
+        schema = T.StructType([*schema.fields, T.StructField(bytes_column, T.BinaryType())])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, latin_pattern)
         for batch in batches:
             texts = batch.column(place)
-            for start, end in _parts(texts):
+            for start, end in slices(texts, SLICE):
                 ids = own.encode(texts.slice(start, end - start).to_pylist())
                 columns = [c.slice(start, end - start) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, ids], names=names)
+                added = [ids, pa.array(own.decode(ids), pa.binary())] if bytes_column else [ids]
+                yield pa.RecordBatch.from_arrays([*columns, *added], names=names)
 
-    return df.mapInArrow(run, _added(df, ids_column, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, pattern: str, ids_column: str = "token_ids", bytes_column: str = "decoded") -> DataFrame:

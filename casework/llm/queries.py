@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.bpe import LATIN_PATTERN, decode_ids, encode_texts
+from casework.llm.bpe import LATIN_PATTERN, encode_texts
 from casework.llm.jaccard import similar_documents
 from casework.llm.licences import FILE_SHARE, LEAST_COSINE, TEMPLATES, scan_licences, terms
 from casework.llm.mixture import mix_sources, token_count
@@ -107,9 +107,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_texts(docs, VOCABULARY, public_tokenizers.PATTERN, latin_pattern=LATIN_PATTERN)
-    decoded = decode_ids(encoded.drop("text"), VOCABULARY, public_tokenizers.PATTERN)
-    return decoded.select(
+    encoded = encode_texts(docs, VOCABULARY, public_tokenizers.PATTERN, latin_pattern=LATIN_PATTERN, bytes_column="decoded")
+    return encoded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from casework.llm import queries
+from casework.llm import bpe, queries
 from casework.llm.bpe import LATIN_PATTERN, Codec, decode_ids, encode_texts
 
 PATH, PATTERN = queries.VOCABULARY, public_tokenizers.PATTERN
@@ -46,6 +46,22 @@ def test_query_and_heap_contract_alike(both):
     assert own.merge_words(words) == [own.merge_long(w) for w in words]
 
 
+def test_decoding_in_pieces(both, monkeypatch):
+    texts = list(random_texts())[::7]
+    ids = both[0].encode(texts)
+    monkeypatch.setattr(bpe, "TOKENS", 7)
+    assert both[0].decode(ids) == [t.encode() for t in texts]
+    assert both[0].decode(ids.slice(5, 9)) == [t.encode() for t in texts[5:14]]
+
+
+def test_encoded_and_decoded_at_once(spark):
+    df = spark.createDataFrame([(1, "é twice"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.back) for r in encode_texts(df, PATH, PATTERN, bytes_column="back").collect()}
+    assert got == {1: "é twice".encode(), 2: b"", 3: b""}
+    with pytest.raises(ValueError):
+        encode_texts(df, PATH, PATTERN, bytes_column="text")
+
+
 def test_edges(spark):
     rows = [(1, None, 1), (2, "", 2), (2, "", 2), (None, "twice twice", 3), (4, "long " * 30000, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids long").withColumn("n_tokens", F.lit("clash"))
