@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casework.llm.arrays import U, mix, shingle_set
+from casework.llm.arrays import U, mix, shingle_set, slices
 from casework.session import cut_lineage
 
 COLD = 16
@@ -61,7 +61,7 @@ LEADERS = 128  # sets of an open group that meet all others in the first round;
 GROWTH = 4
 TILE = 1 << 18  # elements of a side that meet in one task, unless one set has more
 SENT = 50_000  # set keys that a task remembers having sent
-PACK = 1_000_000  # signatures that a task gathers before it sends them
+PACK = 250_000  # signatures that a task gathers before it sends them
 NO_ID = -(1 << 63)
 
 
@@ -169,16 +169,18 @@ def set_table(texts: DataFrame, size: int, percent: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes = shingle_set(text.as_py(), size)
-                if not len(hashes):
-                    rows.append((i, 0, None, 0, 0, None))
-                    continue
-                slack = {band & 1: s for band, s, _ in signatures(hashes, percent)}
-                rows.append((i, len(hashes), set_key(hashes), slack[0], slack[1], sketch(hashes)))
-            yield _columns(rows, kinds, names)
+        for whole in batches:
+            for begin, end in slices(whole.column(1)):
+                batch = whole.slice(begin, end - begin)
+                rows = []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    hashes = shingle_set(text.as_py(), size)
+                    if not len(hashes):
+                        rows.append((i, 0, None, 0, 0, None))
+                        continue
+                    slack = {band & 1: s for band, s, _ in signatures(hashes, percent)}
+                    rows.append((i, len(hashes), set_key(hashes), slack[0], slack[1], sketch(hashes)))
+                yield _columns(rows, kinds, names)
 
     return texts.mapInArrow(run, "id long, n long, k long, slack0 int, slack1 int, sketch binary")
 

@@ -3,15 +3,15 @@
 A document is the average of learned vectors of its hashed words, word pairs and
 character n-grams; a softmax over that average gives the label. The vectors are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled
-documents (``sample_rows``, chosen by a hash of the id), of which only hashed
-counts (at most ``buckets`` numbers each) reach the driver. Scoring covers every
-row: the softmax of an average is linear in the vectors, so one weight per bucket
-is sent to the tasks, and no text is shuffled.
+documents (``sample_rows``, chosen by a hash of the id, and of those as many in that
+order as have ``sample_features`` hashed counts together), of which only the hashed
+counts reach the driver. Scoring covers every row: the softmax of an average is linear
+in the vectors, so one weight per bucket is sent to the tasks, and no text is shuffled.
 
 Defined results: an empty or null text has no features and gets the score of
 the bias alone; rows whose label is null do not train; without any labelled row,
 or with one class only, the score is the share of label 1 (0.5 without rows);
-repeated rows get equal scores; a row with a null id is never held out; other
+repeated rows get equal scores, and of all rows with one id and label one trains; a row with a null id is never held out; other
 columns of the input are not read.
 """
 
@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.arrays import U, powers, prefix_hash, range_hash, window_hashes, word_bounds
+from casework.llm.arrays import U, powers, prefix_hash, range_hash, slices, window_hashes, word_bounds
+from casework.session import cut_lineage
 
-#: Production parameters. sample_rows bounds the labelled rows that train.
+#: Production parameters. sample_rows and sample_features bound the labelled rows that train.
 BITS, DIM, EPOCHS, RATE = 17, 8, 5, 4.0
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS, SAMPLE_FEATURES = 2500, 40_000_000
 CHAR_NGRAMS = (2, 3, 4)
 THRESHOLD = 0.3
 
@@ -120,6 +121,7 @@ def fit_quality(
     text_column: str = "text",
     label_column: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
+    sample_features: int = SAMPLE_FEATURES,
 ) -> QualityModel:
     """Learns from at most *sample_rows* labelled documents outside the held-out fold."""
     key = F.col(id_column)
@@ -132,24 +134,33 @@ def fit_quality(
     )
     # bounded by sample_rows, so it may travel to every task
     picked = docs.select(key.alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = picked.join(F.broadcast(sample), "id").select("id", "label", "text")
+    labelled = picked.join(F.broadcast(sample), "id").groupBy("id", "label")
+    rows = labelled.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, counts = [], []
-            for text in batch.column(2):
-                i, c = np.unique(features(text.as_py()), return_counts=True)
-                index.append(i.astype(np.int32))
-                counts.append(c.astype(np.float32))
-            arrays = [
-                batch.column(0),
-                batch.column(1),
-                pa.array(index, pa.list_(pa.int32())),
-                pa.array(counts, pa.list_(pa.float32())),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "label", "buckets", "counts"])
-
+        for whole in batches:
+            for begin, end in slices(whole.column(2)):
+                batch = whole.slice(begin, end - begin)
+                index, counts = [], []
+                for text in batch.column(2):
+                    i, c = np.unique(features(text.as_py()), return_counts=True)
+                    index.append(i.astype(np.int32))
+                    counts.append(c.astype(np.float32))
+                arrays = [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(index, pa.list_(pa.int32())),
+                    pa.array(counts, pa.list_(pa.float32())),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "label", "buckets", "counts"])
+
+    place = F.xxhash64("id", F.lit(11))
     counted = rows.mapInArrow(count, "id long, label int, buckets array<int>, counts array<float>")
+    counted = cut_lineage(counted.withColumn("place", place), "quality-sample")
+    sizes = counted.select("place", F.size("buckets").alias("n")).toArrow().sort_by("place")
+    fits = np.cumsum(sizes["n"].to_numpy().astype(np.int64)) <= sample_features
+    if not fits.all():
+        counted = counted.where(F.col("place") < int(sizes["place"][int(fits.sum())].as_py()))
     table = counted.toArrow()
     examples = []
     for i in range(table.num_rows):
@@ -185,11 +196,10 @@ def score_quality(
 def keep_good(docs: DataFrame, model: QualityModel, text_column: str = "text") -> DataFrame:
     """The rows, unchanged, whose score reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [shared.value.score(t.as_py()) >= THRESHOLD for t in batch.column(place)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t.as_py()) >= THRESHOLD for t in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    # only the text goes through Python, and only the verdict comes back
+    return docs.where(good(F.col(text_column).cast("string")))

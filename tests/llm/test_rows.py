@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +190,92 @@ def test_quality_edges(spark):
     assert {r.score for r in quality.score_quality(docs, nothing).collect()} == {0.5}
     assert quality.score_quality(docs.limit(0), nothing).collect() == []
     assert quality.keep_good(docs, nothing).count() == 5
+
+
+def plain_model(examples, bits, dim, epochs, rate, seed):
+    """Features, training and score once more: whole numbers, dense vectors, loops."""
+    whole, bases = 1 << 64, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    def mixed(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % whole
+        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) % whole
+        return x ^ (x >> 32)
+
+    def buckets(text):
+        data = (text or "").encode()
+        sums = lambda part: sum((c + 1) * pow(bases[0], i, whole) for i, c in enumerate(part)) % whole
+        words = [mixed(sums(w)) for w in data.split()]
+        if not words:
+            return []
+        keys = words + [1 if a == b else mixed((a * bases[0] + b) % whole) for a, b in zip(words, words[1:])]
+        for n in (2, 3, 4):
+            keys += [sums(data[i : i + n]) * (2 * n + 1) for i in range(len(data) - n + 1)]
+        return [(k * 0xD6E8FEB86659FD93) % whole >> (64 - bits) for k in keys]
+
+    rng = np.random.default_rng(seed)
+    counts = [collections.Counter(buckets(t)) for t, _ in examples]
+    share = sum(y for _, y in examples) / len(examples)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim))
+    out = rng.uniform(-0.5, 0.5, (dim, 2))
+    bias = np.log([1 - share, share])
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(examples)):
+            step = rate * (1 - done / (epochs * len(examples)))
+            done += 1
+            total = sum(counts[i].values())
+            if not total:
+                continue
+            part = np.zeros(1 << bits)
+            for b, c in counts[i].items():
+                part[b] = c / total
+            mean = part @ vectors
+            p = np.exp(mean @ out + bias)
+            p /= p.sum()
+            p[examples[i][1]] -= 1
+            p *= 0.5 / (share if examples[i][1] else 1 - share)
+            back = out @ p
+            out -= 0.1 * step * np.outer(mean, p)
+            bias -= 0.01 * step * p
+            vectors -= 0.5 * step * np.outer(part / np.sqrt(part @ part), back)
+
+    def score(text):
+        found = buckets(text)
+        mean = np.mean([vectors[b] for b in found], axis=0) if found else np.zeros(dim)
+        p = np.exp(mean @ out + bias)
+        return p[1] / p.sum()
+
+    return score
+
+
+def test_quality_against_a_plain_version(monkeypatch):
+    words = ["good", "fine", "prose", "über", "junk", "zzz", "###"]
+    rng = random.Random(2)
+    examples = [(" ".join(rng.choice(words[:5] if k % 3 else words[4:]) for _ in range(rng.randint(0, 9))), int(k % 3 > 0)) for k in range(24)]
+    bits = 9
+    counted = []
+    for text, y in examples:
+        i, c = np.unique(quality.features(text, bits), return_counts=True)
+        counted.append((i, c.astype(np.float32), y))
+    model = quality.train(counted, bits=bits)
+    plain = plain_model(examples, bits, quality.DIM, quality.EPOCHS, quality.RATE, 7)
+    for text in [t for t, _ in examples] + ["", "never seen words"]:
+        assert abs(model.score(text) - plain(text)) < 1e-3
+
+
+def test_quality_sample_is_bounded(spark):
+    """One id on many rows sends one row to the driver; few features allowed, few rows train."""
+    docs = spark.range(20_000).selectExpr("CAST(1 AS BIGINT) AS doc_id", "concat('same id ', id) AS text")
+    docs = docs.unionByName(spark.range(2, 400).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 50) AS text"))
+    labels = spark.range(1, 400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    seen = []
+    original = quality.train
+    try:
+        quality.train = lambda examples, **k: seen.append(examples) or original(examples, **k)
+        quality.fit_quality(docs, labels)
+        quality.fit_quality(docs, labels, sample_features=1000)
+    finally:
+        quality.train = original
+    all_rows, few = seen
+    assert len(all_rows) == labels.where(~quality.held_out(F.col("doc_id"))).count()
+    assert 0 < len(few) < 100 and sum(len(e[0]) for e in few) <= 1000
