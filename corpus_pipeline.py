@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm.bpe import LATIN_PATTERN, decode_ids, encode_texts
+from casework.llm.bpe import LATIN_PATTERN, encode_texts
 from casework.llm.jaccard import drop_similar
 from casework.llm.mixture import mix_sources, take_mixture
 from casework.llm.quality import fit_quality, keep_good
@@ -50,9 +50,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids, their number and the digest of the decoded bytes."""
     kept = docs.select("doc_id", "lang", "source", "text")
-    encoded = encode_texts(kept, VOCABULARY, public_tokenizers.PATTERN, latin_pattern=LATIN_PATTERN).drop("text")
-    decoded = decode_ids(encoded, VOCABULARY, public_tokenizers.PATTERN)
-    return decoded.select(
+    encoded = encode_texts(
+        kept, VOCABULARY, public_tokenizers.PATTERN, latin_pattern=LATIN_PATTERN, bytes_column="decoded"
+    )
+    return encoded.select(
         "doc_id",
         "lang",
         "source",
