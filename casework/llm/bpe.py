@@ -26,6 +26,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -37,6 +38,7 @@ from pyspark.sql import types as T
 
 from casework.llm.arrays import slices
 
+KEPT = 50_000  # words that a worker remembers between tasks, those it met first
 STEPS = 3_000_000  # sum of the squares of the word lengths in one recursion
 CACHE = 400_000
 LONG = 256
@@ -78,13 +80,31 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         self.pattern = regex.compile(pattern)
         self.latin = re.compile(latin_pattern) if latin_pattern else None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        # a byte is the code point of its number, so that tokens are strings to the database
-        tokens = pa.array([t.decode("latin-1") for t in self.ranks])
-        self.load("vocabulary", pa.table({"id": np.array(list(self.ranks.values()), np.int32), "bytes": tokens}))
         self.single = np.array([self.ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
 
+    @cached_property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        """The database with the merge table and the vocabulary, from the first use to the end of the task."""
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
+        # a byte is the code point of its number, so that tokens are strings to the database
+        tokens = pa.array([t.decode("latin-1") for t in self.ranks])
+        vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "bytes": tokens})
+        rows = np.array([(*pair, rank) for pair, rank in self.merges.items()], np.int32).reshape(-1, 3)
+        merges = pa.table({"l": rows[:, 0], "r": rows[:, 1], "id": rows[:, 2]})
+        for name, arriving in (("vocabulary", vocabulary), ("merges", merges)):
+            db.register("arriving", arriving)
+            db.execute(f"CREATE TABLE {name} AS SELECT * FROM arriving")
+            db.unregister("arriving")
+        return db
+
+    def rest(self) -> None:
+        """Gives memory back at the end of a task; the worker process may do other work next."""
+        if "db" in self.__dict__:
+            self.__dict__.pop("db").close()
+        if len(self.known) > KEPT:
+            self.known = dict(islice(self.known.items(), KEPT))
+
     def load(self, name: str, rows: pa.Table) -> None:
         self.db.register("arriving", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM arriving")
@@ -92,15 +112,13 @@ class Codec:
 
     @cached_property
     def merges(self) -> dict[tuple[int, int], int]:
-        """Id of every pair of tokens that make a token; also the table of the recursive query."""
+        """Id of every pair of tokens that make a token."""
         found = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 pair = (self.ranks.get(token[:cut]), self.ranks.get(token[cut:]))
                 if None not in pair:
                     found[pair] = rank
-        rows = np.array([(*pair, rank) for pair, rank in found.items()], np.int32).reshape(-1, 3)
-        self.load("merges", pa.table({"l": rows[:, 0], "r": rows[:, 1], "id": rows[:, 2]}))
         return found
 
     def split(self, text: str) -> list[str]:
@@ -110,7 +128,6 @@ class Codec:
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word by the recursive query."""
-        self.merges  # noqa: B018  builds the table at first use; decoding does without it
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -209,6 +226,13 @@ def codec(path: str, pattern: str, latin_pattern: str | None = None) -> Codec:
     return _codecs[key]
 
 
+def resting(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    try:
+        yield from batches
+    finally:
+        own.rest()
+
+
 def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     if name in df.columns:
         raise ValueError(f"column {name} is there already; choose another name")
@@ -238,6 +262,9 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern, latin_pattern)
+        yield from resting(own, each(own, batches))
+
+    def each(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place)
             for start, end in slices(texts, SLICE):
@@ -256,6 +283,9 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids_column: str = "token_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        yield from resting(own, each(own, batches))
+
+    def each(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = pa.array(own.decode(batch.column(place)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=names)

@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casework.llm.arrays import U, mix, shingle_set, slices
+from casework.llm.shared import small_batches
 from casework.session import cut_lineage
 
 COLD = 16
@@ -397,6 +398,11 @@ def linked_sets(docs: DataFrame, id_column: str, text_column: str, size: int, pe
 
     A null id is NO_ID here; k and label are null for empty sets.
     """
+    with small_batches(docs.sparkSession):
+        return _linked_sets(docs, id_column, text_column, size, percent)
+
+
+def _linked_sets(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, math.ceil(math.log2(4 * partitions)))
