@@ -1,32 +1,34 @@
-"""Suffix-array dedup by depth-limited radix passes.
-
-The suffixes of all texts are ordered only through their first ``length`` bytes, most
-significant digit first; groups of equal suffixes that a pass leaves with one member
-drop out, and groups that are equal through the depth are exactly the repeated strings.
-
-Neighbouring suffixes are moved together, so that a pass costs rows for runs and not for
-bytes. The first digit of a suffix is the least-hashed 58-byte string inside its first
-400 bytes, at its place (an anchor): equal suffixes have it in common, and all suffixes
-around one anchor are one run of 343 starts. A pass compares what all starts of a run
-share (its core; unique means that no start is repeated) and what they span (its whole;
-repeated means that every start is). Runs that are neither are cut into seven, so
-that three more passes reach single suffixes.
-
-Scale: two rows in 343 bytes leave the scan; texts move once, to the runs that are still
-open, and later passes work on their 742 bytes of context. Groups are smallest and
-largest members, aggregated before they are shuffled, so a passage in a third of all
-texts is no larger than one in two. Texts that occur twice are covered whole.
-
-Equality of whole strings rests on two 64-bit hashes, of texts on their MD5.
+"""Repeated strings by depth-limited radix passes.
+
+The suffixes of all texts are compared through their first ``length`` bytes only, in passes that each
+look further; groups of equal suffixes that a pass leaves with one member drop out, and groups that are
+equal through the depth are exactly the repeated strings.
+
+Departures from the plain form, because a row for each byte would be 20 times the input: neighbouring
+suffixes are moved together, and passes compare digests of the next bytes, so that groups are formed
+but not put in byte order. The first digit of a suffix is the least-hashed 58-byte string inside its
+first 400 bytes, at its place (an anchor): equal suffixes have it in common, and all suffixes around one
+anchor are one run of 343 starts. A pass compares what all starts of a run share (its core; unique means
+that no start is repeated) and what they span (its whole; equal means that every start is repeated).
+What is neither is cut into seven runs with longer cores, so that three more passes reach single suffixes.
+
+Scale: the scan writes its anchors once; cores are counted by partial aggregation, and only repeated
+ones meet, in joins that split skewed keys. Of equal wholes the first goes on for the others, with the
+742 bytes of its context, to the task that holds its core; there the passes go on in memory. Cores with
+more wholes than a task should hold (GROUP, or a millionth of all, so that their number is bounded and
+they can be broadcast) are cut by a pass over all tasks first, at last to single suffixes, which are
+counted. Texts move twice, once to the open anchors and once to the removals. Tables are deleted when
+their last reader is done.
+
+Equality of strings rests on two 64-bit hashes, of texts on their MD5.
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing;
-repeated rows are each other's copies and lose everything from ``length`` bytes on; null
-ids are allowed; an empty table gives an empty one; other columns are not read.
+repeated rows are each other's copies and lose everything from ``length`` bytes on, whether their id is
+null, the same or not; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.arrays import U, mix, powers, prefix_hash, range_hash
-from casework.session import cut_lineage
+from casework.llm.arrays import U, mix, powers, prefix_hash, range_hash, slices
+from casework.llm.seeds import bring, keyed_texts, list_array, meet, raw_bytes
+from casework.llm.shared import Tables
 
 LENGTH = 400
 CUTS = 7
 STARTS = CUTS**3  # starts of one run
 GRAM = LENGTH - STARTS + 1  # bytes that all of them share
 PIECE = 1 << 19  # bytes of a text that are searched for anchors at a time
-SENT = 50_000
-NO_ID = -(1 << 63)
+SHARE, GROUP = 1_000_000, 4000  # a core is crowded with more than this share of all wholes, and more than so many
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def identity(data: bytes) -> tuple[int, int]:
-    digest = hashlib.md5(data, usedforsecurity=False).digest()
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
-
-
 def anchors(data: np.ndarray) -> np.ndarray:
     """Places of the least-hashed gram (the first of equals) of every window of LENGTH bytes."""
     out = []
@@ -72,203 +69,259 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def _documents(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
-    return docs.select(key.alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-
-
-def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+def _scan(texts: DataFrame) -> DataFrame:
+    """One row per document: id, no_id, d, n, sha and its anchors (core, whole, place)."""
+    names = ["id", "no_id", "d", "n", "sha", "cores", "wholes", "places"]
+    schema = "id long, no_id boolean, d binary, n long, sha string, cores array<long>, wholes array<long>, places array<int>"
 
-
-def _bytes(text: pa.Scalar) -> bytes:
-    return text.as_py().encode("utf-8", "surrogatepass")
-
-
-def _texts(texts: DataFrame) -> DataFrame:
-    """(id, d1, d2, n, sha) of every row."""
+    def found(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = anchors(data)
+        if not len(at):
+            return at, at, at
+        low, high = np.maximum(at - STARTS + 1, 0), np.minimum(at + LENGTH, len(data))
+        core = range_hash(prefix_hash(data), at, at + GRAM)
+        whole = range_hash(prefix_hash(data, 1), low, high, 1)
+        # where the text ends inside the run, only runs that end alike are equal
+        whole = mix(whole + mix(((at - low) * 1024 + high - at).astype(U)))
+        return core.view(np.int64), whole.view(np.int64), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = _bytes(text)
-                rows.append((i, *identity(data), len(data), hashlib.sha256(data).hexdigest()))
-            yield _batch(rows, [pa.int64()] * 4 + [pa.string()], ["id", "d1", "d2", "n", "sha"])
+        for whole in batches:
+            for begin, end in slices(whole.column(3)):
+                batch = whole.slice(begin, end - begin)
+                raws = [raw_bytes(t) for t in batch.column(3)]
+                lists = zip(*(found(np.frombuffer(r, np.uint8)) for r in raws))
+                kinds = (pa.int64(), pa.int64(), pa.int32())
+                head = [
+                    *batch.columns[:3],
+                    pa.array([len(r) for r in raws], pa.int64()),
+                    pa.array([hashlib.sha256(r).hexdigest() for r in raws], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*head, *(list_array(x, k) for x, k in zip(lists, kinds))], names=names)
 
-    return texts.mapInArrow(run, "id long, d1 long, d2 long, n long, sha string")
+    return texts.select("id", "no_id", "d", "text").mapInArrow(run, schema)
 
 
-def _first_digit(texts: DataFrame) -> DataFrame:
-    """(d1, d2, a, core, w1, w2) of every anchor; w1 and w2 are null where the text ends inside the run."""
-    names = ["d1", "d2", "a", "core", "w1", "w2"]
+ROW = {"key": "long", "key2": "long", "c": "int", "width": "int", "uid": "long", "p": "int", "left": "int", "context": "binary"}
+ROW_SCHEMA = ", ".join(f"{n} {t}" for n, t in ROW.items())
+ROW_KINDS = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t] for t in ROW.values()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: OrderedDict[tuple[int, int], None] = OrderedDict()
-        for batch in batches:
-            for text in batch.column(1):
-                raw = _bytes(text)
-                data = np.frombuffer(raw, np.uint8)
-                at = anchors(data)
-                if not len(at):
-                    continue
-                d = identity(raw)
-                if d in sent:  # a copy has the same anchors
-                    sent.move_to_end(d)
-                    continue
-                sent[d] = None
-                if len(sent) > SENT:
-                    sent.popitem(last=False)
-                h, h2 = prefix_hash(data), prefix_hash(data, 1)
-                low, high = at - STARTS + 1, at + LENGTH
-                inside = (low >= 0) & (high <= len(data))
-                safe_low, safe_high = np.where(inside, low, 0), np.where(inside, high, 0)
-                whole = [range_hash(x, safe_low, safe_high, w).view(np.int64) for w, x in enumerate((h, h2))]
-                full = lambda v: pa.array(np.full(len(at), v, np.int64))
-                arrays = [full(d[0]), full(d[1]), pa.array(at), pa.array(range_hash(h, at, at + GRAM).view(np.int64))]
-                arrays += [pa.array(w, mask=~inside) for w in whole]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-PLACE = ("d1", "d2", "s")  # a text and the first start of a run; different anchors may have the same run
-CARRIED = ("a", "c")  # the anchor, and which of its starts comes first
-
-
-def _repeated(runs: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur at two different places, with the first of them."""
-    place = F.struct(*PLACE)
-    groups = runs.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    return cut_lineage(groups.where("low <> high").select(*keys, "low"), "repeats-groups")
-
-
-def _pass(runs: DataFrame) -> DataFrame:
-    """Runs with a repeated core: (place, done, open); done runs are repeated in every start.
-
-    Open runs go on to the next digit; of equal whole runs the first goes on for the others.
-    """
-    runs = cut_lineage(runs.dropDuplicates(list(PLACE)), "repeats-runs")
-    cores, wholes = _repeated(runs, "core"), _repeated(runs, "w1", "w2")
-    alive = runs.join(cores.select("core"), "core")
-    judged = alive.join(wholes, ["w1", "w2"], "left")
-    done = F.col("low").isNotNull()
-    goes_on = ~done | (F.col("low") == F.struct(*PLACE))
-    return cut_lineage(judged.select(*PLACE, *CARRIED, done.alias("done"), goes_on.alias("open")), "repeats-pass")
 
+def _contexts(brought: DataFrame) -> DataFrame:
+    """A row (ROW) for each open anchor: the run of *width* starts from the *c*th around the anchor at p, and its bytes.
 
-def _cut(contexts: DataFrame, width: int) -> DataFrame:
-    """The runs of *width* starts inside the given runs: (place, core, w1, w2)."""
-    names = [*PLACE, *CARRIED, "core", "w1", "w2"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d1, d2, a, c, begin, context in zip(*batch.columns):
-                data = np.frombuffer(context.as_py(), np.uint8)
-                shift = a.as_py() - STARTS + 1 - begin.as_py()  # place in the context of the first start of the whole run
-                starts = shift + c.as_py() + width * np.arange(CUTS)
-                last = starts + width - 1
-                # a run counts if it holds a start whose string lies inside the text
-                some = (last >= 0) & (starts + LENGTH <= len(data))
-                if not some.any():
-                    continue
-                starts, last, offset = starts[some], last[some], (c.as_py() + width * np.arange(CUTS))[some]
-                h, h2 = prefix_hash(data), prefix_hash(data, 1)
-                core = range_hash(h, last, starts + LENGTH).view(np.int64)
-                inside = (starts >= 0) & (last + LENGTH <= len(data))
-                low, high = np.where(inside, starts, 0), np.where(inside, last + LENGTH, 0)
-                whole = [range_hash(x, low, high, w).view(np.int64) for w, x in enumerate((h, h2))]
-                full = lambda v: pa.array(np.full(len(offset), v.as_py(), np.int64))
-                begins = pa.array(a.as_py() - STARTS + 1 + offset)
-                arrays = [full(d1), full(d2), begins, full(a), pa.array(offset), pa.array(core), *(pa.array(w, mask=~inside) for w in whole)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    picked = contexts.select("d1", "d2", "a", "c", "begin", "context")
-    return picked.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-def _open_texts(texts: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(d1, d2, text, places): the text of every class with runs left, once, with its open anchors."""
-    first = rows.groupBy("d1", "d2").agg(F.min("id").alias("id"))
-    places = found.groupBy("d1", "d2").agg(F.collect_list(F.when(F.col("open"), F.col("a"))).alias("places"))
-    wanted = cut_lineage(places.join(first, ["d1", "d2"]), "repeats-wanted")
+    *left*: bytes of the context before the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # other rows may have the same id
-            same = [identity(_bytes(t)) == (a.as_py(), b.as_py()) for a, b, t in zip(*batch.columns[:3])]
-            yield batch.filter(pa.array(same, pa.bool_()))
+            for uid, text, found in zip(*batch.columns):
+                raw, rows = raw_bytes(text), []
+                for x in found.as_py():
+                    low = max(x["p"] - STARTS + 1, 0)
+                    rows.append((x["h"], 0, 0, STARTS, uid.as_py(), x["p"], x["p"] - low, raw[low : x["p"] + LENGTH]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ROW_KINDS)], names=list(ROW))
+
+    return brought.select("uid", "text", "found").mapInArrow(run, ROW_SCHEMA)
+
+
+class Runs:
+    """Hashes of the runs inside some contexts."""
+
+    def __init__(self, contexts: list[bytes], left: np.ndarray):
+        self.left = left.astype(np.int64)
+        self.size = np.array([len(c) for c in contexts], np.int64)
+        width = int(self.size.max(initial=0))
+        data = np.zeros((len(contexts), width), np.uint8)
+        data[np.arange(width) < self.size[:, None]] = np.frombuffer(b"".join(contexts), np.uint8)
+        self.sums, self.inverse = [], []
+        for which in (0, 1):
+            power, inverse = powers(width + 1, which)
+            total = np.zeros((len(contexts), width + 1), U)
+            np.cumsum((data.astype(U) + U(1)) * power[:width], axis=1, out=total[:, 1:])
+            self.sums.append(total)
+            self.inverse.append(inverse)
+
+    def hashes(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        return [mix((h[rows, end] - h[rows, start]) * inverse[start]) for h, inverse in zip(self.sums, self.inverse)]
+
+    def limits(self, rows: np.ndarray, c: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the run's first start, and of the first and last start whose string lies in the text."""
+        start = self.left[rows] - (STARTS - 1) + c
+        return start, np.maximum(start, 0), np.minimum(start + width - 1, self.size[rows] - LENGTH)
+
+
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each row's group, whether it is the first in it, and the group's size."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.empty(len(order), bool)
+    first[order] = new
+    return number, first, np.bincount(number)[number] if len(order) else number
+
+
+def passes(runs: Runs, keys: np.ndarray, c: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end in its context) of the runs that are repeated in every start; *keys* are the groups of the rows."""
+    rows, label = np.arange(len(keys)), keys
+    out: list[tuple[np.ndarray, ...]] = []
+    while len(rows):
+        start, low, high = runs.limits(rows, c, width)
+        some = low <= high
+        rows, c, label, start, low, high = (x[some] for x in (rows, c, label, start, low, high))
+        label, _, size = groups(*runs.hashes(rows, start + width - 1, start + LENGTH), c, label)
+        shared = size > 1
+        rows, c, label, start, low, high = (x[shared] for x in (rows, c, label, start, low, high))
+        _, first, alike = groups(*runs.hashes(rows, low, high + LENGTH), low - start, high - start, label)
+        done = alike > 1
+        out.append((rows[done], low[done], high[done] + LENGTH))
+        if width == 1:
+            break
+        # of equal wholes the first goes on, to meet the parts of other wholes
+        rows, c, label = rows[first], c[first], label[first]
+        if len(rows):
+            several = np.bincount(label)[label] > 1
+            rows, c, label = rows[several], c[several], label[several]
+        width //= CUTS
+        c = (c[:, None] + width * np.arange(CUTS)).ravel()
+        rows, label = np.repeat(rows, CUTS), np.repeat(label, CUTS)
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out))
 
-    joined = texts.join(wanted, "id").select("d1", "d2", "text", "places")
-    return cut_lineage(joined.mapInArrow(run, joined.schema), "repeats-texts")
 
+def _within(grouped: DataFrame) -> DataFrame:
+    """(uid, begin, end) of the repeated runs, from rows of one width that are grouped by key."""
 
-def _contexts(open_texts: DataFrame) -> DataFrame:
-    """(d1, d2, a, begin, context): the bytes that the starts of an anchor's run span."""
+    def spans(held: pa.Table) -> pa.RecordBatch:
+        held = held.combine_chunks()
+        column = lambda name: held[name].to_numpy()
+        runs = Runs(held["context"].to_pylist(), column("left"))
+        row, begin, end = passes(runs, column("key"), column("c").astype(np.int64), int(column("width")[0]))
+        shift = column("p")[row] - runs.left[row]
+        return pa.RecordBatch.from_arrays([pa.array(column("uid")[row]), pa.array(shift + begin), pa.array(shift + end)], names=["uid", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d1", "d2", "a", "begin", "context"]
-        for batch in batches:
-            for d1, d2, text, places in zip(*batch.columns):
-                data, rows = _bytes(text), []
-                for a in places.as_py():
-                    begin = max(a - STARTS + 1, 0)
-                    rows.append((d1.as_py(), d2.as_py(), a, begin, data[begin : a + LENGTH]))
-                yield _batch(rows, [pa.int64()] * 4 + [pa.binary()], names)
+        held: list[pa.RecordBatch] = []
+        for whole in batches:
+            for begin, end in slices(whole.column(7), 1_500_000):
+                batch = whole.slice(begin, end - begin)
+                keys = batch.column(0).to_numpy()
+                change = np.flatnonzero(keys[1:] != keys[:-1])
+                last = int(change[-1]) + 1 if len(change) else 0
+                if held and not last and keys[0] != held[-1].column(0)[-1].as_py():
+                    yield spans(pa.Table.from_batches(held))
+                    held = []
+                if last:
+                    yield spans(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                    held = []
+                held.append(batch.slice(last))
+        if held:
+            yield spans(pa.Table.from_batches(held))
+
+    return grouped.mapInArrow(run, "uid long, begin long, end long")
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The runs of crowded groups cut into CUTS, each under its own core."""
 
-    return open_texts.mapInArrow(run, "d1 long, d2 long, a long, begin long, context binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin, end in slices(whole.column(7), 1_500_000):
+                batch = whole.slice(begin, end - begin)
+                contexts = batch.column(7).to_pylist()
+                runs = Runs(contexts, batch.column(6).to_numpy())
+                width = int(batch.column(3)[0].as_py()) // CUTS
+                for j in range(CUTS):
+                    c = batch.column(2).to_numpy().astype(np.int64) + j * width
+                    start, low, high = runs.limits(np.arange(len(c)), c, width)
+                    some = np.flatnonzero(low <= high)
+                    if not len(some):
+                        continue
+                    first, second = runs.hashes(some, start[some] + width - 1, start[some] + LENGTH)
+                    key = mix(first + c[some].astype(U)).view(np.int64)
+                    pieces = [contexts[i][low[i] : high[i] + LENGTH] for i in some.tolist()]
+                    taken = batch.take(pa.array(some))
+                    columns = [key, second.view(np.int64), c[some], np.full(len(some), width), taken.column(4), taken.column(5), (runs.left - low)[some], pieces]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, ROW_KINDS)], names=list(ROW))
+
+    return rows.mapInArrow(run, ROW_SCHEMA)
+
+
+def _inside(tables: Tables, rows: DataFrame) -> DataFrame:
+    """Spans (uid, begin, end) of repeated strings around open anchors."""
+    limit = max(GROUP, rows.count() // SHARE)
+    out, width = [], STARTS
+    while True:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        crowded = tables.keep(f"crowded-{width}", sizes.where(F.col("n") > limit).select("key"))
+        calm = rows.join(F.broadcast(crowded), "key", "left_anti").select(*ROW)
+        out.append(_within(calm.repartition("key").sortWithinPartitions("key")))
+        if crowded.isEmpty():
+            break
+        width //= CUTS
+        rows = tables.keep(f"rows-{width}", _cut(rows.join(F.broadcast(crowded), "key", "left_semi").select(*ROW)))
+        if width == 1:
+            # a core of one start is the string itself
+            again = rows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            begin = (F.col("p") - (STARTS - 1) + F.col("c")).cast("long")
+            out.append(rows.join(again, ["key", "key2"]).select("uid", begin.alias("begin"), (begin + LENGTH).alias("end")))
+            break
+    spans = out[0]
+    for more in out[1:]:
+        spans = spans.union(more)
+    return spans
 
 
-def _remove(open_texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(d1, d2, n_removed, n_spans, kept_sha): each text without its covered bytes."""
-    gathered = spans.groupBy("d1", "d2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    joined = open_texts.select("d1", "d2", "text").join(cut_lineage(gathered, "repeats-spans"), ["d1", "d2"])
+def _remove(brought: DataFrame) -> DataFrame:
+    """(uid, n_removed, n_spans, kept_sha): each text without its covered bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d1, d2, text, found in zip(*batch.columns):
-                data = np.frombuffer(_bytes(text), np.uint8)
+            for uid, text, spans in zip(*batch.columns):
+                data = np.frombuffer(raw_bytes(text), np.uint8)
                 step = np.zeros(len(data) + 1, np.int64)
-                for span in found.as_py():
-                    step[span["begin"]] += 1
-                    step[span["end"]] -= 1
+                np.add.at(step, np.maximum(spans.values.field("begin").to_numpy(), 0), 1)
+                np.add.at(step, np.minimum(spans.values.field("end").to_numpy(), len(data)), -1)
                 gone = np.cumsum(step[:-1]) > 0
                 n_spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                kept = hashlib.sha256(data[~gone].tobytes()).hexdigest()
-                rows.append((d1.as_py(), d2.as_py(), int(gone.sum()), n_spans, kept))
-            yield _batch(rows, [pa.int64()] * 4 + [pa.string()], ["d1", "d2", "n_removed", "n_spans", "kept_sha"])
+                rows.append((uid.as_py(), int(gone.sum()), n_spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+            columns = zip(*rows) if rows else ((),) * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "n_removed", "n_spans", "kept_sha"])
 
-    out = joined.mapInArrow(run, "d1 long, d2 long, n_removed long, n_spans long, kept_sha string")
-    return cut_lineage(out.dropDuplicates(["d1", "d2"]), "repeats-removed")
+    return brought.select("uid", "text", "spans").mapInArrow(run, "uid long, n_removed long, n_spans long, kept_sha string")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    texts = _documents(docs, id_column, text_column)
-    rows = cut_lineage(_texts(texts), "repeats-rows")
-    first = _first_digit(texts).withColumns({"s": F.col("a") - (STARTS - 1), "c": F.lit(0).cast("long")})
-    found = _pass(first)
-    open_texts = _open_texts(texts, rows, found)
-    contexts = cut_lineage(_contexts(open_texts), "repeats-contexts")
-    runs, width, spans = found, STARTS, []
-    while True:
-        end = F.col("s") + (width + LENGTH - 1)
-        spans.append(runs.where("done").select("d1", "d2", F.col("s").alias("begin"), end.alias("end")))
-        if width == 1:
-            break
-        width //= CUTS
-        going = runs.where("open").select("d1", "d2", "a", "c").join(contexts, ["d1", "d2", "a"])
-        runs = _pass(_cut(going, width))
-    covered = spans[0].union(spans[1]).union(spans[2]).union(spans[3])
-    removed = _remove(open_texts, covered)
-    classes = cut_lineage(rows.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies")), "repeats-classes")
-    out = rows.join(classes, ["d1", "d2"]).join(removed, ["d1", "d2"], "left")
-    whole = (F.col("copies") > 1) & (F.col("n") >= LENGTH)
-    pick = lambda all_gone, some: F.when(whole, all_gone).otherwise(some)
+    tables = Tables(docs.sparkSession, "repeats")
+    texts = keyed_texts(docs, id_column, text_column)
+    scan = tables.keep("scan", _scan(texts).withColumn("uid", F.monotonically_increasing_id()))
+    rows = tables.keep("rows", scan.select("uid", "id", "no_id", "d", "n", "sha"))
+    anchor = F.inline(F.arrays_zip("cores", "wholes", "places")).alias("h", "w", "p")
+    met = meet(tables, scan.select("id", "uid", anchor))
+    tables.drop("scan")
+    found = met.where("first AND kinds > 1").groupBy("uid").agg(F.collect_list(F.struct("h", "p")).alias("found"))
+    wanted = tables.keep("open", found.join(rows.select("uid", "id", "d"), "uid"))
+    contexts = tables.keep("contexts", _contexts(bring(texts, wanted)))
+    copies = rows.where(F.col("n") >= LENGTH).groupBy("d").agg(F.count(F.lit(1)).alias("copies"))
+    judged = rows.join(copies, "d", "left").withColumn("copy", F.coalesce(F.col("copies") > 1, F.lit(False))).drop("copies")
+    judged = tables.keep("judged", judged)
+    same = met.where("alike > 1").select("uid", (F.col("p") - STARTS + 1).cast("long").alias("begin"), (F.col("p") + LENGTH).cast("long").alias("end"))
+    covered = same.union(_inside(tables, contexts)).groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = tables.keep("spans", covered.join(judged.where(~F.col("copy")).select("uid", "id", "d"), "uid"))
+    tables.drop("rows", "met", "open", *[n for n in tables.paths if n.startswith(("contexts", "crowded", "rows-"))])
+    removed = tables.keep("removed", _remove(bring(texts, spans)))
+    tables.drop("spans")
+    out = judged.join(removed, "uid", "left")
+    pick = lambda all_gone, some: F.when(F.col("copy"), all_gone).otherwise(some)
     return out.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         F.col("n").alias("n_bytes"),
         pick(F.col("n"), F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         pick(F.lit(1).cast("long"), F.coalesce("n_spans", F.lit(0).cast("long"))).alias("n_spans"),

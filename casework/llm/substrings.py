@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.llm.arrays import U, mix, slices, window_hashes, word_bounds, word_hashes
+from casework.llm.seeds import PLACE, bring, keyed_texts, list_array, meet, raw_bytes
 from casework.llm.shared import Tables
 
 LENGTH = 20
@@ -45,8 +46,6 @@ SEED = 8
 REACH = LENGTH - SEED  # words that a window can have on either side of its seed
 PIECE = 1 << 19  # grams that are searched for anchors at a time
 SHARE, GROUP = 1_000_000, 20_000  # a group is crowded with more than this share of all stretches, and more than so many
-FEW = 500_000  # document keys that may be broadcast
-LAST = (1 << 63) - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -77,20 +76,10 @@ def stretches(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total + mix((left * 64 + right + 1).astype(U)))
 
 
-def _raw(text: pa.Scalar) -> bytes:
-    return (text.as_py() or "").encode("utf-8", "surrogatepass")
-
-
-def _sha(words: list[bytes]) -> str:
+def joined_sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind))
-
-
 def _scan(texts: DataFrame) -> DataFrame:
     """One row per document: id, no_id, d, n, sha and its anchors (seed, stretch, place)."""
     names = ["id", "no_id", "d", "n", "sha", "seeds", "stretches", "places"]
@@ -102,10 +91,10 @@ def _scan(texts: DataFrame) -> DataFrame:
                 batch = whole.slice(begin, end - begin)
                 counts, shas, seeds, spans, places = [], [], [], [], []
                 for text in batch.column(3):
-                    raw = _raw(text)
+                    raw = raw_bytes(text)
                     split = raw.split()
                     counts.append(len(split))
-                    shas.append(_sha(split))
+                    shas.append(joined_sha(split))
                     found = (np.zeros(0, np.int64),) * 3
                     if len(split) >= LENGTH:
                         data = np.frombuffer(raw, np.uint8)
@@ -115,41 +104,13 @@ def _scan(texts: DataFrame) -> DataFrame:
                         found = (grams[at] >> U(16)).view(np.int64), stretches(words, at).view(np.int64), at
                     for parts, part in zip((seeds, spans, places), found):
                         parts.append(part)
-                lists = [_lists(seeds, pa.int64()), _lists(spans, pa.int64()), _lists(places, pa.int32())]
+                lists = [list_array(seeds, pa.int64()), list_array(spans, pa.int64()), list_array(places, pa.int32())]
                 head = [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(shas, pa.string())]
                 yield pa.RecordBatch.from_arrays([*head, *lists], names=names)
 
     return texts.select("id", "no_id", "d", "text").mapInArrow(run, schema)
 
 
-PLACE = ("id", "uid", "p")  # in the order of documents
-
-
-def _meet(tables: Tables, occurrences: DataFrame) -> DataFrame:
-    """(h, id, uid, p, first, kinds) of the occurrences of repeated seeds.
-
-    *first*: the earliest with its stretch; *kinds*: different stretches around the seed.
-    """
-    seeds = tables.keep("seeds", occurrences.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    again = tables.keep("again", occurrences.join(seeds.select("h"), "h", "left_semi"))
-    tables.drop("seeds")
-    firsts = tables.keep("firsts", again.groupBy("h", "w").agg(F.min(F.struct(*PLACE)).alias("least")))
-    kinds = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
-    firsts = tables.keep("kinds", firsts.join(kinds, "h"))
-    met = again.join(firsts, ["h", "w"])
-    met = tables.keep("met", met.select("h", *PLACE, (F.struct(*PLACE) == F.col("least")).alias("first"), "kinds"))
-    tables.drop("again", "firsts", "kinds")
-    return met
-
-
-def _bring(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """*wanted* (id, d and more) with the text of each row; of equal rows one gives its text."""
-    if wanted.count() <= FEW:
-        texts = texts.join(F.broadcast(wanted.select("id", "d")), ["id", "d"], "left_semi")
-    one = texts.select("id", "d", "text").groupBy("id", "d").agg(F.first("text").alias("text"))
-    return one.join(wanted, ["id", "d"])
-
-
 def _contexts(brought: DataFrame) -> DataFrame:
     """(key, lo, hi, id, uid, p, left, context): the words that the windows around an open anchor span."""
     names = ["key", "lo", "hi", "id", "uid", "p", "left", "context"]
@@ -158,7 +119,7 @@ def _contexts(brought: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, uid, text, found in zip(*batch.columns):
-                raw = _raw(text)
+                raw = raw_bytes(text)
                 starts, ends = word_bounds(np.frombuffer(raw, np.uint8))
                 rows = []
                 for x in found.as_py():
@@ -319,14 +280,14 @@ def _remove(brought: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for uid, text, spans in zip(*batch.columns):
-                words = _raw(text).split()
+                words = raw_bytes(text).split()
                 ends = spans.values.field("end").to_numpy()
                 begins = spans.values.field("begin").to_numpy()
                 step = np.zeros(len(words) + 1, np.int64)
                 np.add.at(step, np.maximum(begins, 0), 1)
                 np.add.at(step, np.minimum(ends, len(words)), -1)
                 gone = np.cumsum(step[:-1]) > 0
-                rows.append((uid.as_py(), int(gone.sum()), _sha([words[i] for i in np.flatnonzero(~gone)])))
+                rows.append((uid.as_py(), int(gone.sum()), joined_sha([words[i] for i in np.flatnonzero(~gone)])))
             columns = zip(*rows) if rows else ((),) * 3
             kinds = (pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["uid", "n_removed", "kept_sha"])
@@ -337,18 +298,15 @@ def _remove(brought: DataFrame) -> DataFrame:
 def remove_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     tables = Tables(docs.sparkSession, "substrings")
-    text = F.coalesce(docs[text_column].cast("string"), F.lit(""))
-    key = docs[id_column].cast("long")
-    texts = docs.select(F.coalesce(key, F.lit(LAST)).alias("id"), key.isNull().alias("no_id"), text.alias("text"))
-    texts = texts.withColumn("d", F.unhex(F.md5(F.col("text").cast("binary"))))
+    texts = keyed_texts(docs, id_column, text_column)
     scan = tables.keep("scan", _scan(texts).withColumn("uid", F.monotonically_increasing_id()))
     rows = tables.keep("rows", scan.select("uid", "id", "no_id", "d", "n", "sha"))
     anchor = F.inline(F.arrays_zip("seeds", "stretches", "places")).alias("h", "w", "p")
-    met = _meet(tables, scan.select("id", "uid", anchor))
+    met = meet(tables, scan.select("id", "uid", anchor))
     tables.drop("scan")
     found = met.where("first AND kinds > 1").groupBy("uid").agg(F.collect_list(F.struct("h", "p")).alias("found"))
     wanted = tables.keep("open", found.join(rows.select("uid", "id", "d"), "uid"))
-    contexts = tables.keep("contexts", _contexts(_bring(texts, wanted)))
+    contexts = tables.keep("contexts", _contexts(bring(texts, wanted)))
     same = met.where("NOT first").select("uid", (F.col("p") - REACH).cast("long").alias("begin"), (F.col("p") + SEED + REACH).cast("long").alias("end"))
     firsts = rows.where(F.col("n") >= LENGTH).groupBy("d").agg(F.min(F.struct("id", "uid")).alias("least"))
     judged = rows.join(firsts, "d", "left").withColumn("copy", F.coalesce(F.col("least.uid") != F.col("uid"), F.lit(False))).drop("least")
@@ -356,7 +314,7 @@ def remove_substrings(docs: DataFrame, id_column: str = "doc_id", text_column: s
     covered = same.union(_extended(tables, contexts)).groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     spans = tables.keep("spans", covered.join(judged.where(~F.col("copy")).select("uid", "id", "d"), "uid"))
     tables.drop("rows", "met", "open", *[name for name in tables.paths if name.startswith(("contexts", "crowded"))])
-    removed = tables.keep("removed", _remove(_bring(texts, spans)))
+    removed = tables.keep("removed", _remove(bring(texts, spans)))
     tables.drop("spans")
     out = judged.join(removed, "uid", "left")
     pick = lambda all_gone, some: F.when(F.col("copy"), all_gone).otherwise(some)

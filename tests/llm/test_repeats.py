@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from casework.llm import queries
+from casework.llm import queries, repeats
 from casework.llm.repeats import LENGTH, remove_repeats
 
 
@@ -63,3 +63,23 @@ def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.QUERIES["op2_repeated_strings"](spark, sf).collect()}
     assert [got[r.doc_id] for r in docs] == brute([r.text for r in docs])
+
+
+def test_crowded_cores(spark, monkeypatch):
+    """The passes over all tasks give what the passes in one task give."""
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(repeats, "GROUP", 2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_rows_without_ids_are_linear(spark):
+    """2,000 rows without an id, different texts and copies: no id joins them with each other."""
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    texts = [f"{i} " + "".join(rng.choice("abcdefgh ") for _ in range(450)) + (passage if i % 9 == 0 else "") for i in range(1500)]
+    texts += ["one and the same " * 40] * 500
+    docs = spark.createDataFrame([(None if i % 2 else 4, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect())
+    assert got == sorted(brute(texts))

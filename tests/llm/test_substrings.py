@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from casework.llm import queries, substrings
+from casework.llm import queries, seeds, substrings
 from casework.llm.substrings import LENGTH, remove_substrings
 
 
@@ -74,7 +74,7 @@ def test_crowded_seeds(spark, monkeypatch):
     """The ways for crowded groups and for many documents give the same rows."""
     rows = corpus()
     monkeypatch.setattr(substrings, "GROUP", 3)
-    monkeypatch.setattr(substrings, "FEW", 0)
+    monkeypatch.setattr(seeds, "FEW", 0)
     assert found(remove_substrings(frame(spark, rows))) == expected(rows)
 
 
