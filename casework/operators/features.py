@@ -1,8 +1,9 @@
 """TF-IDF and the other numeric features.
 
 Term counts are made inside each row, so the words of a document never cross
-the network to be counted. Only (term, count) partial sums do, and then the
-terms that survive the vocabulary, once, to be put back together per document.
+the network to be counted; only (term, count) partial sums do. The vocabulary, whose
+size the spec bounds, is broadcast, and each row looks its own terms up in it: no join
+and no regrouping, so that rows keep their place whether their ids are unique or not.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from casework.functions.numbers import round_even
 from casework.functions.text import strip_accents
@@ -22,20 +26,22 @@ from casework.session import compute_once
 
 WORDS_AND_APOSTROPHES = r"[\p{L}\p{N}_']+"
 WORDS_OF_TWO = r"[\p{L}\p{N}_]{2,}"
-# A vocabulary up to this many rows is broadcast; a larger one joins by exchange.
-BROADCAST_TERMS = 200_000
+ENGLISH = "english"
 
 
 @dataclass(frozen=True)
 class TfidfSpec:
-    """min_df and max_df are counts when whole numbers of type int, shares when floats."""
+    """min_df and max_df are counts when whole numbers of type int, shares when floats.
+
+    stop_words: the words, or ENGLISH for Spark's own list.
+    """
 
     ngrams: tuple[int, int] = (1, 2)
     max_features: int = 50_000
     min_df: int | float = 2
     max_df: int | float = 1.0
     sublinear: bool = True
-    stop_words: tuple[str, ...] = ()
+    stop_words: tuple[str, ...] | str = ()
     token_pattern: str = WORDS_AND_APOSTROPHES
 
 
@@ -43,11 +49,13 @@ class TfidfSpec:
 PRESETS = {
     "classifier": TfidfSpec(),
     "encoder": TfidfSpec(token_pattern=WORDS_OF_TWO),
-    "outcome": TfidfSpec((1, 2), 30_000, 2, 0.95, token_pattern=WORDS_OF_TWO),
-    "hierarchy": TfidfSpec((1, 3), 10_000, 3, 0.9, token_pattern=WORDS_OF_TWO),
-    "hierarchy_small": TfidfSpec((1, 3), 8_000, 2, 0.9, token_pattern=WORDS_OF_TWO),
-    "case_type": TfidfSpec((1, 2), 15_000, 2, 0.95, token_pattern=WORDS_OF_TWO),
+    "outcome": TfidfSpec((1, 3), 8_000, 1, sublinear=False, stop_words=ENGLISH, token_pattern=WORDS_OF_TWO),
+    "outcome_text": TfidfSpec((1, 3), 10_000, 3, 0.9, sublinear=False, stop_words=ENGLISH, token_pattern=WORDS_OF_TWO),
+    "case_type": TfidfSpec((1, 2), 30_000, 1, 0.95, stop_words=ENGLISH, token_pattern=WORDS_OF_TWO),
+    "hierarchy": TfidfSpec((1, 2), 10_000, 2, token_pattern=WORDS_OF_TWO),
+    "hierarchy_later": TfidfSpec((1, 2), 15_000, 2, 0.95, stop_words=ENGLISH, token_pattern=WORDS_OF_TWO),
     "sub_type": TfidfSpec((1, 2), 20_000),
+    "sub_type_flat": TfidfSpec((1, 2), 20_000, 2, sublinear=False, token_pattern=WORDS_OF_TWO),
 }
 
 
@@ -57,9 +65,10 @@ def tokens(text: Column, spec: TfidfSpec) -> Column:
     )
     if not spec.stop_words:
         return found
-    return F.array_compact(
-        F.transform(found, lambda t: F.when(~t.isin(*spec.stop_words), t))
-    )
+    words = spec.stop_words
+    if isinstance(words, str):
+        words = StopWordsRemover.loadDefaultStopWords(words)
+    return F.filter(found, lambda t: ~t.isin(*words))
 
 
 def ngrams(words: Column, low: int, high: int) -> Column:
@@ -88,13 +97,12 @@ def _runs(terms: str) -> Column:
     return F.when(F.size(t) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
-def term_counts(df: DataFrame, row_id: str, text: str, spec: TfidfSpec, *carry: str) -> DataFrame:
-    """One row per document with ``terms``: array of (term, tf), counted inside the row."""
+def with_terms(df: DataFrame, text: str, spec: TfidfSpec, out: str = "terms") -> DataFrame:
+    """*df* with ``terms``: array of (term, tf) in term order, counted inside the row."""
     # Each array is computed once: copied into a lambda it would be rebuilt per element.
-    df = compute_once(df.select(row_id, *carry, text), {"_words": tokens(F.col(text), spec)})
-    terms = F.sort_array(ngrams(F.col("_words"), *spec.ngrams))
-    df = compute_once(df.drop(text), {"_terms": terms})
-    df = compute_once(df.drop("_words"), {"_starts": _runs("_terms")})
+    df = compute_once(df, {"_words": tokens(F.col(text), spec)})
+    df = compute_once(df, {"_terms": F.sort_array(ngrams(F.col("_words"), *spec.ngrams))}).drop("_words")
+    df = compute_once(df, {"_starts": _runs("_terms")})
     t, s = F.col("_terms"), F.col("_starts")
     counted = F.transform(
         s,
@@ -103,22 +111,22 @@ def term_counts(df: DataFrame, row_id: str, text: str, spec: TfidfSpec, *carry:
             (F.coalesce(F.get(s, j + 1), F.size(t) + 1) - p).alias("tf"),
         ),
     )
-    return compute_once(df, {"terms": counted}).select(row_id, *carry, "terms")
+    return compute_once(df, {out: counted}).drop("_terms", "_starts")
 
 
-def vocabulary(counted: DataFrame, spec: TfidfSpec, rows: DataFrame | None = None) -> DataFrame:
-    """(term, idx, df, idf): terms within the document-frequency bounds, the most frequent
-    ``max_features`` of them (equal totals in term order), indexed in term order.
+def term_counts(df: DataFrame, row_id: str, text: str, spec: TfidfSpec, *carry: str) -> DataFrame:
+    """One row per document with ``terms``: array of (term, tf), counted inside the row."""
+    return with_terms(df.select(row_id, *carry, text), text, spec).select(row_id, *carry, "terms")
 
-    *rows*, the documents behind *counted*, spares counting terms again just to count documents.
-    """
-    docs = (counted if rows is None else rows).agg(F.count("*").alias("n"))
-    n = docs.scalar()
-    stats = (
-        counted.select(F.inline("terms"))
-        .groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    )
+
+def term_stats(counted: DataFrame, *by: str) -> DataFrame:
+    """(by, term, total, df): how often a term occurs and in how many rows."""
+    long = counted.select(*by, F.inline("terms"))
+    return long.groupBy(*by, "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+
+
+def kept_terms(stats: DataFrame, n: Column, spec: TfidfSpec) -> DataFrame:
+    """The vocabulary of *n* documents whose terms have the given (term, total, df)."""
 
     def bound(value: int | float) -> Column:
         return F.lit(value) if isinstance(value, int) else F.lit(value) * n
@@ -131,29 +139,59 @@ def vocabulary(counted: DataFrame, spec: TfidfSpec, rows: DataFrame | None = Non
     return stats.select("term", idx.alias("idx"), "df", idf.alias("idf"))
 
 
+def vocabulary(counted: DataFrame, spec: TfidfSpec, rows: DataFrame | None = None) -> DataFrame:
+    """(term, idx, df, idf): terms within the document-frequency bounds, the most frequent
+    ``max_features`` of them (equal totals in term order), indexed in term order.
+
+    *rows*, the documents behind *counted*, spares counting terms again just to count documents.
+    """
+    docs = (counted if rows is None else rows).agg(F.count("*").alias("n"))
+    return kept_terms(term_stats(counted), docs.scalar(), spec)
+
+
+class Lookup:
+    """A vocabulary in every task: at most the spec's ``max_features`` terms and their idf."""
+
+    def __init__(self, vocab: DataFrame):
+        table = vocab.select("term", "idx", "idf").toArrow().sort_by("idx")
+        self.size = table.num_rows
+        terms = table["term"].combine_chunks() if self.size else pa.array([], pa.string())
+        held = (terms, table["idf"].to_numpy().astype(np.float64))
+        self.held = vocab.sparkSession.sparkContext.broadcast(held)
+
+
+def _look_up(terms: pa.Array, held: tuple[pa.Array, np.ndarray], sublinear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, idx, w) of the known terms of each row, in index order, L2 norm 1."""
+    known, idf = held
+    row = pc.list_parent_indices(terms).to_numpy()
+    flat = terms.flatten()
+    term, tf = flat.flatten()
+    found = pc.index_in(term, value_set=known.cast(term.type))
+    keep = found.is_valid().to_numpy(zero_copy_only=False)
+    idx = found.drop_null().to_numpy().astype(np.int32)
+    row, tf = row[keep], tf.to_numpy()[keep].astype(np.float64)
+    w = (np.log(tf) + 1 if sublinear else tf) * idf[idx]
+    norm = np.sqrt(np.bincount(row, w * w, minlength=len(terms)))
+    return row, idx, w / norm[row] if len(row) else w
+
+
+def _offsets(row: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32))
+
+
 def weigh(counted: DataFrame, vocab: DataFrame, row_id: str, spec: TfidfSpec, *carry: str) -> DataFrame:
     """One row per document: ``weights``, array of (idx, term, w) in index order, L2 norm 1."""
-    table = vocab.select("term", "idx", "idf")
-    table = F.broadcast(table) if spec.max_features <= BROADCAST_TERMS else table
-    long = counted.select(row_id, *carry, F.inline_outer("terms"))
-    tf = F.log("tf") + 1 if spec.sublinear else F.col("tf").cast("double")
-    entry = F.struct("idx", "term", (tf * F.col("idf")).alias("w"))
-    grouped = (
-        long.join(table, "term", "left")
-        .groupBy(row_id, *carry)
-        # collect_list skips the nulls of terms outside the vocabulary; a group is one document
-        .agg(F.collect_list(F.when(F.col("idx").isNotNull(), entry)).alias("raw"))
-    )
-    grouped = compute_once(grouped, {"raw": F.sort_array("raw")})
-    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    grouped = compute_once(grouped, {"_norm": norm})
-    scaled = F.transform(
-        "raw",
-        lambda e: F.struct(
-            e["idx"].alias("idx"), e["term"].alias("term"), (e["w"] / F.col("_norm")).alias("w")
-        ),
-    )
-    return grouped.select(row_id, *carry, scaled.alias("weights"))
+    lookup = Lookup(vocab)
+    held, sublinear = lookup.held, spec.sublinear
+
+    @F.arrow_udf("array<struct<idx:int,term:string,w:double>>")
+    def weights(terms: pa.Array) -> pa.Array:
+        row, idx, w = _look_up(terms, held.value, sublinear)
+        names = held.value[0].take(pa.array(idx))
+        entries = pa.StructArray.from_arrays([pa.array(idx, pa.int32()), names, pa.array(w)], names=["idx", "term", "w"])
+        return pa.ListArray.from_arrays(_offsets(row, len(terms)), entries)
+
+    return counted.select(row_id, *carry, weights("terms").alias("weights"))
 
 
 def tfidf(df: DataFrame, row_id: str, text: str, spec: TfidfSpec = PRESETS["classifier"]) -> DataFrame:
@@ -165,37 +203,73 @@ def tfidf(df: DataFrame, row_id: str, text: str, spec: TfidfSpec = PRESETS["clas
     )
 
 
-_VECTOR = StructType([StructField("v", VectorUDT())])
-
-
-def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
-    """An ML vector from arrays, inside the JVM: the vector type reads its own storage form."""
-    stored = F.struct(
-        F.lit(0).cast("tinyint").alias("type"),
-        size.cast("int").alias("size"),
-        indices.cast("array<int>").alias("indices"),
-        values.cast("array<double>").alias("values"),
-    )
-    return F.from_json(F.to_json(F.struct(stored.alias("v"))), _VECTOR)["v"]
+def _vectors(row: np.ndarray, idx: np.ndarray, w: np.ndarray, n: int, size: int) -> pa.Array:
+    """Sparse vectors in their storage form, from entries in any order."""
+    order = np.lexsort((idx, row))
+    row, idx, w = row[order], idx[order].astype(np.int32), w[order]
+    offsets = _offsets(row, n)
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (idx, w)]
+    head = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32))]
+    return pa.StructArray.from_arrays([*head, *lists], names=["type", "size", "indices", "values"])
+
+
+def row_vector(
+    df: DataFrame,
+    lookup: Lookup,
+    spec: TfidfSpec,
+    numeric: Sequence[str] = (),
+    codes: dict[str, list[str]] | None = None,
+    terms: str = "terms",
+    out: str = "features",
+) -> DataFrame:
+    """*df* with one sparse vector: the text block, the numeric columns, a slot for each category in *codes*.
+
+    A null number is 0; a null or unknown category has no slot set. Everything happens inside the row.
+    """
+    codes = codes or {}
+    held, sublinear, k = lookup.held, spec.sublinear, len(numeric)
+    tables = [pa.array(v, pa.string()) for v in codes.values()]
+    bases = np.cumsum([lookup.size + k, *map(len, tables)]).tolist()
+
+    @F.arrow_udf(VectorUDT())
+    def vectors(rows: pa.Array) -> pa.Array:
+        terms, numbers, names = rows.flatten()
+        n = len(rows)
+        parts = [_look_up(terms, held.value, sublinear)]
+        if k:
+            values = numbers.flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+            at = np.nonzero(values)
+            parts.append((at[0], at[1] + len(held.value[0]), values[at]))
+        if tables:
+            flat = names.flatten()
+            place = np.arange(len(flat))
+            for i, table in enumerate(tables):
+                code = pc.index_in(flat.take(pa.array(place[i :: len(tables)])), value_set=table, skip_nulls=True)
+                has = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+                parts.append((has, code.drop_null().to_numpy() + bases[i], np.ones(len(has))))
+        row, idx, w = (np.concatenate(x) for x in zip(*parts))
+        return _vectors(row, idx, w, n, bases[-1])
+
+    numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numeric]).cast("array<double>")
+    names = F.array(*[F.col(c).cast("string") for c in codes]).cast("array<string>")
+    return df.withColumn(out, vectors(F.struct(F.col(terms).alias("t"), numbers.alias("n"), names.alias("c"))))
 
 
 def feature_vector(weighed: DataFrame, size: int, extra: Sequence[str] = (), out: str = "features") -> DataFrame:
     """Assemble text weights and numeric columns (after the text block) into one sparse vector."""
-    filled = F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(size + i).alias("idx"), F.col(c).cast("double").alias("w"))
-                for i, c in enumerate(extra)
-            ]
-        ),
-        lambda e: e["w"] != 0,
-    ) if extra else F.array().cast("array<struct<idx:int,w:double>>")
-    text = F.transform("weights", lambda e: F.struct(e["idx"].alias("idx"), e["w"].alias("w")))
-    both = F.concat(text, filled)
-    vector = sparse_vector(
-        F.lit(size + len(extra)), F.transform(both, lambda e: e["idx"]), F.transform(both, lambda e: e["w"])
-    )
-    return weighed.withColumn(out, vector).drop("weights")
+    k = len(extra)
+
+    @F.arrow_udf(VectorUDT())
+    def vectors(rows: pa.Array) -> pa.Array:
+        weights, numbers = rows.flatten()
+        idx, _, w = weights.flatten().flatten()
+        values = numbers.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), k)
+        at = np.nonzero(values)
+        row = np.concatenate((pc.list_parent_indices(weights).to_numpy(), at[0]))
+        return _vectors(row, np.concatenate((idx.to_numpy(), at[1] + size)), np.concatenate((w.to_numpy(), values[at])), len(rows), size + k)
+
+    numbers = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in extra]).cast("array<double>")
+    return weighed.withColumn(out, vectors(F.struct("weights", numbers.alias("n")))).drop("weights")
 
 
 def categories(df: DataFrame, col: str, missing: str = "unknown") -> DataFrame:

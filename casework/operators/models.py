@@ -2,7 +2,9 @@
 
 Class lists, class counts and fitted parameters are the only things that reach
 the driver; all of them are bounded by the number of classes or by the
-vocabulary size of the feature spec.
+vocabulary size of the feature spec. Rows are scored where they are: the vocabulary and
+the model travel to them, no column is joined back, and so repeated or missing ids
+do no harm. Models of one table share the row's tokens.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -24,7 +27,8 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import MaxAbsScaler, MaxAbsScalerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ from casework.operators.evaluate import classification_metrics, metrics_row
 from casework.operators.sampling import stratified_kfold
 from casework.rules.label_maps import LEVEL_2_CHILDREN
 from casework.rules.labels import verdict_group
-from casework.session import cut_lineage
+from casework.session import compute_once, cut_lineage
 
 FLAGS = tuple(FLAG_PATTERNS)
 ERROR, UNCLASSIFIED, OTHER = "ERROR", "Unclassified", "OTHER"
@@ -43,20 +47,23 @@ LEAST_ROWS, LEAST_CHARS = 10, 10
 THRESHOLD, TEXT_ONLY_THRESHOLD = 0.45, 0.35
 
 _COLS = {"featuresCol": "features", "labelCol": "label_index"}
+# Fixed value: where the solvers stop.
+TOLERANCE = 1e-4
+PARALLEL = 8  # one-against-rest fits at a time
 
 
 def _logistic(n: int, options: dict):
     penalty = 1.0 / (options.pop("C", 1.0) * n)
     return LogisticRegression(
         **_COLS, weightCol="weight", regParam=penalty, standardization=False, family="multinomial",
-        **{"maxIter": 1000, **options},
+        **{"maxIter": 1000, "tol": TOLERANCE, **options},
     )
 
 
 def _svm(n: int, options: dict):
     penalty = 1.0 / (options.pop("C", 1.0) * n)
-    single = LinearSVC(**_COLS, regParam=penalty, standardization=False, **{"maxIter": 2000, **options})
-    return OneVsRest(classifier=single, weightCol="weight", **_COLS)
+    single = LinearSVC(**_COLS, regParam=penalty, standardization=False, **{"maxIter": 2000, "tol": TOLERANCE, **options})
+    return OneVsRest(classifier=single, weightCol="weight", parallelism=PARALLEL, **_COLS)
 
 
 def _forest(n: int, options: dict):
@@ -69,7 +76,7 @@ def _bayes(n: int, options: dict):
 
 def _boosted(n: int, options: dict):
     single = GBTClassifier(**_COLS, **{"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "seed": 42, **options})
-    return OneVsRest(classifier=single, **_COLS)
+    return OneVsRest(classifier=single, parallelism=PARALLEL, **_COLS)
 
 
 ESTIMATORS: dict[str, Callable] = {
@@ -112,9 +119,24 @@ def softmax(margins: Column) -> Column:
     return F.transform(raised, lambda e: e / F.aggregate(raised, F.lit(0.0), lambda s, x: s + x))
 
 
+# Columns of a row on its way through the models; the caller's own columns travel in the first.
+_ROW, _TEXT = "_row", "_text"
+
+
+@dataclass
+class Prepared:
+    """Training rows whose terms are counted already, and the vocabulary to use."""
+
+    rows: DataFrame
+    vocab: DataFrame
+
+
 @dataclass
 class TextClassifier:
-    """TF-IDF, legal flags and one estimator for one label column."""
+    """TF-IDF, legal flags, numeric and categorical columns and one estimator for one label column.
+
+    Null texts count as empty, null numbers as 0; null and unknown categories set no slot.
+    """
 
     label: str
     kind: str = "logistic"
@@ -125,43 +147,79 @@ class TextClassifier:
     calibrate: bool = True
     options: dict = field(default_factory=dict)
     extra: tuple[str, ...] = ()
+    categorical: tuple[str, ...] = ()
+    scale: bool = False
 
     model: Model | None = None
     vocab: DataFrame | None = None
     vocab_size: int = 0
     classes: list[str] = field(default_factory=list)
     sigmoids: list[tuple[float, float]] = field(default_factory=list)
+    codes: dict[str, list[str]] = field(default_factory=dict)
+    scaler: MaxAbsScalerModel | None = None
+    lookup: feat.Lookup | None = None
 
     # -- features ---------------------------------------------------------
 
+    def _numeric(self) -> tuple[str, ...]:
+        return (*(FLAGS if self.flags else ()), *self.extra)
+
+    def _inputs(self) -> tuple[str, ...]:
+        """Columns that the features are made of, besides the text."""
+        return tuple(dict.fromkeys((*self.extra, *self.categorical)))
+
     def _counted(self, df: DataFrame, *carry: str) -> DataFrame:
+        """(id, carried columns, number and category columns, terms)."""
         if self.flags:
             df = df.withColumns(legal_flags(F.col(self.text)))
-        return feat.term_counts(df, self.row_id, self.text, self.spec, *carry, *self._numeric())
+        columns = dict.fromkeys((*carry, *self._numeric(), *self.categorical))
+        return feat.term_counts(df, self.row_id, self.text, self.spec, *columns)
 
-    def _numeric(self) -> tuple[str, ...]:
-        return (*(FLAGS if self.flags else ()), *self.extra)
+    def _vector(self, df: DataFrame, terms: str = "terms") -> DataFrame:
+        df = feat.row_vector(df, self.lookup, self.spec, self._numeric(), self.codes, terms)
+        if self.scaler:
+            df = self.scaler.transform(df).drop("features").withColumnRenamed("scaled", "features")
+        return df
 
-    def _features(self, counted: DataFrame, *carry: str) -> DataFrame:
-        numeric = self._numeric()
-        weighed = feat.weigh(counted, self.vocab, self.row_id, self.spec, *carry, *numeric)
-        return feat.feature_vector(weighed, self.vocab_size, numeric).drop(*numeric)
+    def feature_names(self) -> list[str]:
+        """A name for every slot of the vector. The vocabulary is of a size that the spec bounds."""
+        terms = [r.term for r in self.vocab.orderBy("idx").select("term").collect()]
+        return [*terms, *self._numeric(), *[f"{c}={v}" for c, values in self.codes.items() for v in values]]
 
     # -- fitting ----------------------------------------------------------
 
-    def fit(self, df: DataFrame) -> TextClassifier:
+    def fit(self, df: DataFrame | Prepared) -> TextClassifier:
+        if isinstance(df, Prepared):
+            return self._fit_counted(df.rows, df.vocab, df.rows)
         df = df.filter(F.col(self.label).isNotNull()).withColumn("label", F.col(self.label).cast("string"))
         counted = self._counted(df, "label")
         # The vocabulary and the vectors are read many times: keep them as written tables.
-        self.vocab = cut_lineage(feat.vocabulary(counted, self.spec, df), "vocabulary")
-        self.vocab_size = self.vocab.count()
-        counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}  # one per class
+        vocab = cut_lineage(feat.vocabulary(counted, self.spec, df), "vocabulary")
+        return self._fit_counted(counted, vocab, df)
+
+    def _fit_counted(self, counted: DataFrame, vocab: DataFrame, known: DataFrame) -> TextClassifier:
+        """Fits on (label, terms ...) of the rows *known*, which have a label."""
+        self.vocab, self.scaler = vocab, None
+        self.lookup = feat.Lookup(vocab)
+        self.vocab_size = self.lookup.size
+        counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # one per class
         self.classes = sorted(counts)
-        rows = self._features(counted, "label").withColumn("label_index", index_of(F.col("label"), self.classes))
+        self.codes = {c: self._values(known, c) for c in self.categorical}
+        rows = self._vector(counted).select(self.row_id, "label", "features")
+        rows = rows.withColumn("label_index", index_of(F.col("label"), self.classes))
         rows = cut_lineage(balanced_weights(rows, counts), "training")
+        if self.scale:
+            self.scaler = MaxAbsScaler(inputCol="features", outputCol="scaled").fit(rows)
+            rows = self.scaler.transform(rows).drop("features").withColumnRenamed("scaled", "features")
         self._fit_rows(rows, sum(counts.values()))
         return self
 
+    @staticmethod
+    def _values(df: DataFrame, column: str) -> list[str]:
+        """The categories in order: one row for each reaches the driver, as for classes."""
+        found = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").distinct()
+        return sorted(r.v for r in found.collect())
+
     def _fit_rows(self, rows: DataFrame, n: int) -> None:
         self.model = estimator(self.kind, n, **self.options).fit(rows)
         self.sigmoids = []
@@ -185,7 +243,7 @@ class TextClassifier:
         for i in range(len(self.classes)):
             one = margins.select(
                 (F.col("label_index") == i).cast("double").alias("label_index"),
-                feat.sparse_vector(F.lit(1), F.array(F.lit(0)), F.array(F.get("margins", F.lit(i)))).alias("features"),
+                array_to_vector(F.array(F.get("margins", F.lit(i)))).alias("features"),
             )
             line = LogisticRegression(**_COLS, maxIter=100).fit(one)
             fitted.append((float(line.coefficients[0]), float(line.intercept)))
@@ -207,25 +265,24 @@ class TextClassifier:
             F.transform(each, lambda p: F.lit(1.0 / max(1, len(self.classes))))
         )
 
-    def score(self, df: DataFrame, *carry: str) -> DataFrame:
-        """(id, carried columns, probabilities, predicted, confidence)."""
-        scored = self.model.transform(self._features(self._counted(df, *carry), *carry))
-        scored = scored.withColumn("probabilities", self._probabilities(scored))
+    def _scored(self, packed: DataFrame, terms: str = "terms") -> DataFrame:
+        """Packed rows with ``probabilities``, ``predicted`` and ``confidence``."""
+        kept = packed.columns
+        scored = self.model.transform(self._vector(packed, terms))
+        scored = compute_once(scored, {"probabilities": self._probabilities(scored)})
         best = F.array_max("probabilities")
         names = F.array(*[F.lit(c) for c in self.classes])
-        return scored.select(
-            self.row_id,
-            *carry,
-            "probabilities",
-            F.element_at(names, F.array_position("probabilities", best).cast("int")).alias("predicted"),
-            best.alias("confidence"),
-        )
+        predicted = F.element_at(names, F.array_position("probabilities", best).cast("int"))
+        return scored.select(*kept, "probabilities", predicted.alias("predicted"), best.alias("confidence"))
+
+    def score(self, df: DataFrame, *carry: str) -> DataFrame:
+        """(id, carried columns, probabilities, predicted, confidence)."""
+        scored = self._scored(pack(df, [self]))
+        return scored.select(*[f"{_ROW}.{c}" for c in (self.row_id, *carry)], "probabilities", "predicted", "confidence")
 
     def predict(self, df: DataFrame, out: str, confidence: str | None = None) -> DataFrame:
-        """*df* with the predicted label (and confidence) joined on by id."""
-        scored = self.score(df.select(self.row_id, self.text, *self.extra))
-        columns = [F.col("predicted").alias(out)] + ([F.col("confidence").alias(confidence)] if confidence else [])
-        return df.join(scored.select(self.row_id, *columns), self.row_id)
+        """*df* with the predicted label (and confidence) beside it."""
+        return predict_all(df, {out: self}, {out: confidence} if confidence else {})
 
     def evaluate(self, df: DataFrame) -> DataFrame:
         """(metric, value) on labelled rows."""
@@ -233,14 +290,25 @@ class TextClassifier:
         return classification_metrics(self.score(known, self.label), self.label, "predicted")
 
     def cross_validate(self, df: DataFrame, k: int = 5, metric: str = "f1_macro") -> dict[str, object]:
-        """Mean, population deviation and the k scores of *metric*."""
-        folds = cut_lineage(stratified_kfold(df, self.label, self.row_id, k), "folds")
+        """Mean, population deviation and the k scores of *metric*.
+
+        Texts are tokenised once. The vocabulary without a fold is that of all rows less the fold's share.
+        """
+        folds = stratified_kfold(df, self.label, self.row_id, k)
+        folds = folds.withColumn("label", F.col(self.label).cast("string"))
+        counted = cut_lineage(self._counted(folds, "label", "fold"), "folds")
+        known = counted.filter(F.col("label").isNotNull())
+        stats = cut_lineage(feat.term_stats(known, "fold"), "fold-terms")
+        sizes = {r["fold"]: r["count"] for r in known.groupBy("fold").count().collect()}  # k numbers
         scores = []
         for f in range(k):
-            model = replace(self, model=None, vocab=None, classes=[], sigmoids=[])
-            model.fit(folds.filter(F.col("fold") != f))
-            held = model.score(folds.filter(F.col("fold") == f), self.label)
-            scores.append(metrics_row(held, self.label, "predicted").first()[metric])
+            others = stats.filter(F.col("fold") != f).groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+            n = F.lit(sum(sizes.values()) - sizes.get(f, 0))
+            model = replace(self, model=None, vocab=None, classes=[], sigmoids=[], codes={}, scaler=None, lookup=None)
+            rows = known.filter(F.col("fold") != f)
+            model.fit(Prepared(rows, cut_lineage(feat.kept_terms(others, n, self.spec), "vocabulary")))
+            held = model._scored(counted.filter(F.col("fold") == f))
+            scores.append(metrics_row(held, "label", "predicted").first()[metric])
         mean = sum(scores) / k
         return {"mean": mean, "std": (sum((s - mean) ** 2 for s in scores) / k) ** 0.5, "scores": scores}
 
@@ -248,47 +316,101 @@ class TextClassifier:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
+        if self.scaler:
+            self.scaler.write().overwrite().save(f"{path}/scaler")
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
         manifest = {
             "label": self.label, "kind": self.kind, "spec": asdict(self.spec), "text": self.text,
             "row_id": self.row_id, "flags": self.flags, "calibrate": self.calibrate,
             "options": self.options, "extra": list(self.extra), "vocab_size": self.vocab_size,
-            "classes": self.classes, "sigmoids": self.sigmoids,
+            "classes": self.classes, "sigmoids": self.sigmoids, "categorical": list(self.categorical),
+            "codes": self.codes, "scale": self.scale,
         }
-        spark = self.vocab.sparkSession
-        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(
-            f"{path}/manifest"
-        )
+        write_manifest(self.vocab.sparkSession, path, manifest)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextClassifier:
-        m = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+        m = read_manifest(spark, path)
         spec = {k: tuple(v) if isinstance(v, list) else v for k, v in m.pop("spec").items()}
         sigmoids = [tuple(s) for s in m.pop("sigmoids")]
-        out = cls(**{**m, "extra": tuple(m["extra"])}, spec=feat.TfidfSpec(**spec), sigmoids=sigmoids)
+        for name in ("extra", "categorical"):
+            m[name] = tuple(m[name])
+        out = cls(**m, spec=feat.TfidfSpec(**spec), sigmoids=sigmoids)
         out.model = LOADERS[out.kind].load(f"{path}/model")
         out.vocab = spark.read.parquet(f"{path}/vocabulary")
+        out.lookup = feat.Lookup(out.vocab)
+        if out.scale:
+            out.scaler = MaxAbsScalerModel.load(f"{path}/scaler")
         return out
 
 
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    line = spark.createDataFrame([(json.dumps(manifest),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+
+
+def pack(df: DataFrame, models: Sequence[TextClassifier], keep: Column | None = None) -> DataFrame:
+    """*df* as one column, with what *models* read beside it; ``terms`` are those of the first model.
+
+    Rows where *keep* does not hold have no text.
+    """
+    first = models[0]
+    columns = dict.fromkeys(c for m in models for c in m._inputs())
+    text = F.col(first.text) if keep is None else F.when(keep, F.col(first.text))
+    packed = df.select(F.struct(*df.columns).alias(_ROW), text.alias(_TEXT), *columns)
+    if any(m.flags for m in models):
+        packed = packed.withColumns(legal_flags(F.col(_TEXT)))
+    return feat.with_terms(packed, _TEXT, first.spec).drop(_TEXT)
+
+
+def predict_all(df: DataFrame, models: dict[str, TextClassifier], confidences: dict[str, str] | None = None, keep: Column | None = None) -> DataFrame:
+    """*df* with the prediction of every model in the column of its name, in one scan.
+
+    Models that split texts alike share the row's terms, whatever their vocabularies are.
+    *confidences* names columns for confidences. Rows where *keep* does not hold are scored as empty texts.
+    """
+    tokenised = lambda m: (m.text, m.spec.ngrams, m.spec.stop_words, m.spec.token_pattern)
+    groups: dict[tuple, list[str]] = {}
+    for name, model in models.items():
+        groups.setdefault(tokenised(model), []).append(name)
+    confidences = confidences or {}
+    for names in groups.values():
+        scored = pack(df, [models[n] for n in names], keep)
+        added: list[Column] = []
+        for i, name in enumerate(names):
+            scored = models[name]._scored(scored)
+            scored = scored.withColumnsRenamed({"predicted": f"_predicted{i}", "confidence": f"_confidence{i}"}).drop("probabilities")
+            added.append(F.col(f"_predicted{i}").alias(name))
+            if name in confidences:
+                added.append(F.col(f"_confidence{i}").alias(confidences[name]))
+        new = {*names, *(confidences[n] for n in names if n in confidences)}
+        df = scored.select(*[F.col(f"{_ROW}.{c}").alias(c) for c in df.columns if c not in new], *added)
+    return df
+
+
 def case_classifier(kind: str = "svm", **options) -> TextClassifier:
     return TextClassifier("case_type", kind, **options)
 
 
-# Label column, feature preset and numeric columns (see ``features.numeric_features``) of the
-# single-table models.
+# Label column, feature preset, numeric (see ``features.numeric_features``) and
+# categorical columns of the single-table models.
 MODEL_PRESETS = {
-    "outcome": ("four_class_label", "outcome", ("f_year",)),
-    "outcome_text": ("four_class_label", "outcome", ()),
-    "case_type": ("case_type_mapped", "case_type", ("f_text_length",)),
-    "sub_type": ("sub_type_mapped", "hierarchy_small", ("f_year",)),
+    "outcome": ("four_class_label", "outcome", (), ("case_type", "sub_type", "court", "year")),
+    "outcome_text": ("four_class_label", "outcome_text", (), ()),
+    "case_type": ("case_type_mapped", "case_type", (), ()),
+    "sub_type": ("sub_type_mapped", "sub_type_flat", (), ()),
 }
 
 
 def preset_classifier(name: str, kind: str = "logistic", spec: feat.TfidfSpec | None = None, **options) -> TextClassifier:
     """One of the named models. Put ``numeric_features`` on the rows first where it has numeric columns."""
-    label, preset, extra = MODEL_PRESETS[name]
-    return TextClassifier(label, kind, spec or feat.PRESETS[preset], flags=False, extra=extra, **options)
+    label, preset, extra, categorical = MODEL_PRESETS[name]
+    spec = spec or feat.PRESETS[preset]
+    return TextClassifier(label, kind, spec, flags=False, extra=extra, categorical=categorical, **options)
 
 
 class VerdictPredictor:
@@ -318,6 +440,15 @@ class VerdictPredictor:
             return spark.createDataFrame(zeros, "metric string, value double")
         return self.inner.evaluate(known)
 
+    def save(self, path: str) -> None:
+        self.inner.save(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> VerdictPredictor:
+        out = cls()
+        out.inner = TextClassifier.load(spark, path)
+        return out
+
 
 class SubtypeClassifier:
     """One classifier per case type that has enough rows and at least two sub-types.
@@ -338,7 +469,7 @@ class SubtypeClassifier:
             model = TextClassifier("sub_type", self.kind, self.spec, **self.options)
             try:
                 self.models[row.case_type] = model.fit(known.filter(F.col("case_type") == row.case_type))
-            except Exception as error:  # a type that cannot be fitted is left out, and named
+            except IllegalArgumentException as error:  # a type that the estimator refuses is left out, and named
                 self.failed[row.case_type] = str(error)
         return self
 
@@ -356,20 +487,19 @@ class SubtypeClassifier:
         return rest
 
     def evaluate(self, df: DataFrame) -> DataFrame:
-        """Scores on the true type's model."""
+        """Scores on the true type's model; rows without a sub-type count as Unclassified."""
         scored = self.predict(df.drop("predicted_case_type"))
+        scored = scored.withColumn("sub_type", F.coalesce("sub_type", F.lit(UNCLASSIFIED)))
         return classification_metrics(scored, "sub_type", "predicted_sub_type")
 
     def save(self, path: str) -> None:
         for i, (case_type, model) in enumerate(sorted(self.models.items())):
             model.save(f"{path}/{i}")
-        spark = next(iter(self.models.values())).vocab.sparkSession
-        manifest = json.dumps({"kind": self.kind, "types": sorted(self.models)})
-        spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        write_manifest(SparkSession.active(), path, {"kind": self.kind, "types": sorted(self.models)})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SubtypeClassifier:
-        m = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+        m = read_manifest(spark, path)
         out = cls(m["kind"])
         out.models = {t: TextClassifier.load(spark, f"{path}/{i}") for i, t in enumerate(m["types"])}
         return out
@@ -416,14 +546,16 @@ def gate_hierarchy(df: DataFrame, threshold: float = THRESHOLD, agree: bool = Tr
 
 
 class HierarchyClassifier:
-    """Four classifiers, each scoring every row; ``gate_hierarchy`` decides."""
+    """Four classifiers, each scoring every row in one scan; ``gate_hierarchy`` decides."""
 
-    def __init__(self, kind: str = "logistic", spec: feat.TfidfSpec | None = None, threshold: float = THRESHOLD, **options):
+    def __init__(
+        self, kind: str = "logistic", spec: feat.TfidfSpec | None = None, threshold: float = THRESHOLD,
+        extra: tuple[str, ...] = (), categorical: tuple[str, ...] = (), **options,
+    ):
         spec = spec or feat.PRESETS["hierarchy"]
         self.threshold = threshold
-        self.models = {
-            level: TextClassifier(label, kind, spec, flags=False, **options) for level, label in LEVELS.items()
-        }
+        common = {"flags": False, "extra": extra, "categorical": categorical, **options}
+        self.models = {level: TextClassifier(label, kind, spec, **common) for level, label in LEVELS.items()}
 
     def fit(self, df: DataFrame) -> HierarchyClassifier:
         for level, label in LEVELS.items():
@@ -431,10 +563,21 @@ class HierarchyClassifier:
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        for level, model in self.models.items():
-            df = model.predict(df, f"{level}_pred", f"{level}_conf")
+        models = {f"{level}_pred": model for level, model in self.models.items()}
+        scored = predict_all(df, models, {f"{level}_pred": f"{level}_conf" for level in LEVELS})
         raw = [f"{level}_{kind}" for level in LEVELS for kind in ("pred", "conf")]
-        return gate_hierarchy(df, self.threshold).drop(*raw)
+        return gate_hierarchy(scored, self.threshold).drop(*raw)
+
+    def save(self, path: str) -> None:
+        for level, model in self.models.items():
+            model.save(f"{path}/{level}")
+        write_manifest(SparkSession.active(), path, {"threshold": self.threshold})
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> HierarchyClassifier:
+        out = cls(threshold=read_manifest(spark, path)["threshold"])
+        out.models = {level: TextClassifier.load(spark, f"{path}/{level}") for level in LEVELS}
+        return out
 
 
 # -- serving ------------------------------------------------------------------
@@ -445,22 +588,20 @@ TARGETS = ("case_type", "sub_type", "verdict")
 def batch_predict(df: DataFrame, models: dict[str, TextClassifier]) -> DataFrame:
     """(id, case_type, sub_type, verdict, error) for rows (id, case_text, court, num_citations).
 
-    Texts under ten characters get ERROR labels and a message; all other rows are
-    scored in one pass per target, however many there are.
+    Texts under ten characters get ERROR labels and a message; all other rows are scored
+    for every target in one scan. Absent or null courts and citation numbers get defaults
+    where a model reads them.
     """
     usable = F.coalesce(F.length("case_text") >= LEAST_CHARS, F.lit(False))
-    bad = df.filter(~usable).select(
-        "id", *[F.lit(ERROR).alias(t) for t in TARGETS], F.lit("case_text is too short").alias("error")
-    )
-    rows = df.filter(usable)
-    defaults = {"court": F.lit("Unknown Court"), "num_citations": F.lit(0)}
-    for name, default in defaults.items():
-        rows = rows.withColumn(name, F.coalesce(F.col(name), default) if name in rows.columns else default)
-    for target in TARGETS:
-        model = replace(models[target], row_id="id") if target in models else None
-        rows = model.predict(rows, target) if model else rows.withColumn(target, F.lit("UNKNOWN"))
-    good = rows.select("id", *TARGETS, F.lit(None).cast("string").alias("error"))
-    return good.unionByName(bad)
+    rows = df
+    for name, default in (("court", F.lit("Unknown Court")), ("num_citations", F.lit(0))):
+        if any(name in m._inputs() for m in models.values()):
+            rows = rows.withColumn(name, F.coalesce(F.col(name), default) if name in df.columns else default)
+    asked = {t: models[t] for t in TARGETS if t in models}
+    scored = predict_all(rows, {f"_{t}": m for t, m in asked.items()}, keep=usable) if asked else rows
+    label = lambda t: F.when(usable, F.col(f"_{t}") if t in asked else F.lit("UNKNOWN")).otherwise(ERROR).alias(t)
+    error = F.when(~usable, "case_text is too short").alias("error")
+    return scored.select("id", *[label(t) for t in TARGETS], error)
 
 
 def compare_models(

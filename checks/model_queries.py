@@ -370,7 +370,7 @@ def _split(df, label):
 
 
 def _training(spark, sf):
-    return b.labelled(spark, sf).select("case_id", "case_text", "case_type", "sub_type", "verdict", "court", "num_citations")
+    return b.labelled(spark, sf).select("case_id", "case_text", "case_type", "sub_type", "verdict", "court", "year", "num_citations")
 
 
 @register("case_classifier")

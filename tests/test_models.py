@@ -89,3 +89,110 @@ def test_registered_models_are_whole(spark, sf, monkeypatch):
     queries()["compare_models"](spark, sf)
     queries()["cross_validate"](spark, sf)
     assert given == [(sorted(models.ESTIMATORS), (), {}), 5]
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_repeated_and_null_ids_come_back_once(spark, cases):
+    model = models.TextClassifier("case_type", "naive_bayes", SPEC).fit(cases)
+    asked = cases.limit(2).unionByName(cases.limit(1)).withColumn("case_id", F.lit("same"))
+    asked = asked.unionByName(cases.limit(2).withColumn("case_id", F.lit(None).cast("string"))).withColumn("features", F.lit("clash"))
+    out = model.predict(asked, "kind", "sure")
+    assert _exchanges(model.predict(cases, "kind")) == 0
+    assert out.columns == [*asked.columns, "kind", "sure"]
+    assert out.count() == 5 and out.filter("case_id IS NULL").count() == 2
+    assert out.filter("kind = case_type").count() == 5
+
+
+def test_hierarchy_and_batch_scan_once(spark, cases, tmp_path):
+    rows = cases.withColumns(
+        {
+            "l0_label": F.when(F.col("case_type").startswith("Criminal"), "CRIMINAL").otherwise("CIVIL"),
+            "l1_label": F.when(F.col("case_type").startswith("Criminal"), "CRIMINAL").otherwise("CIVIL"),
+            "l2_civil": F.when(~F.col("case_type").startswith("Criminal"), F.substring("case_type", 1, 8)),
+            "l2_criminal": F.when(F.col("case_type").startswith("Criminal"), F.concat(F.lit("c"), (F.col("case_id").cast("int") % 2).cast("string"))),
+        }
+    )
+    model = models.HierarchyClassifier("naive_bayes", SPEC).fit(rows)
+    asked = cases.select("case_id", "case_text")
+    out = model.predict(asked)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Join") == 0
+    model.save(str(tmp_path / "h"))
+    again = models.HierarchyClassifier.load(spark, str(tmp_path / "h")).predict(asked)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
+    fitted = {t: models.TextClassifier(t, "naive_bayes", SPEC).fit(cases) for t in ("case_type", "verdict")}
+    served = models.batch_predict(cases.select(F.col("case_id").alias("id"), "case_text"), fitted)
+    assert _exchanges(served) == 0 and served.filter("case_type = 'ERROR'").count() == 0
+
+
+def test_cross_validation_is_that_of_separate_fits(spark, cases):
+    from dataclasses import replace
+
+    from casework.operators.evaluate import metrics_row
+    from casework.operators.sampling import stratified_kfold
+
+    spec = TfidfSpec((1, 2), 40, 2, 0.9)
+    model = models.TextClassifier("sub_type", "naive_bayes", spec)
+    got = model.cross_validate(cases, 3)
+    folds = stratified_kfold(cases, "sub_type", "case_id", 3)
+    want = []
+    for f in range(3):
+        one = replace(model).fit(folds.filter(F.col("fold") != f))
+        want.append(metrics_row(one.score(folds.filter(F.col("fold") == f), "sub_type"), "sub_type", "predicted").first()["f1_macro"])
+    assert got["scores"] == want and abs(got["mean"] - sum(want) / 3) < 1e-12
+
+
+def test_mixed_features_scaling_and_storage(spark, cases, tmp_path):
+    rows = cases.withColumns({"court": F.when(F.col("case_id") < "0030", "North").otherwise("South"), "f_year": F.lit(1880.0) + F.length("case_text")})
+    common = {"flags": False, "extra": ("f_year",), "categorical": ("court", "sub_type"), "scale": True}
+    model = models.TextClassifier("case_type", "logistic", SPEC, options={"maxIter": 20}, **common).fit(rows)
+    names = model.feature_names()
+    assert names[-6:-4] == ["court=North", "court=South"] and names[model.vocab_size] == "f_year"
+    assert model.model.numFeatures == len(names)
+    strange = rows.limit(3).withColumns({"court": F.lit("West"), "sub_type": F.lit(None).cast("string"), "f_year": F.lit(None).cast("double")})
+    assert model.predict(strange, "x").count() == 3
+    model.save(str(tmp_path / "m"))
+    again = models.TextClassifier.load(spark, str(tmp_path / "m"))
+    one, two = (sorted((r.case_id, r.p, r.c) for r in m.predict(rows, "p", "c").collect()) for m in (model, again))
+    assert one == two
+
+
+def test_features_against_plain_counts(spark):
+    """Vectors of text, numbers and categories, one by one."""
+    import math
+
+    from casework.operators import features as feat
+
+    texts = [(1, "b a b c", 2.0, "x"), (2, "a", 0.0, None), (2, "zz zz", None, "y"), (None, "", 3.0, "new"), (5, None, None, "x")]
+    df = spark.createDataFrame(texts, "id long, t string, n double, k string")
+    spec = TfidfSpec((1, 1), 10, 1)
+    counted = feat.with_terms(df, "t", spec)
+    vocab = feat.vocabulary(counted, spec)
+    got = feat.row_vector(counted, feat.Lookup(vocab), spec, ("n",), {"k": ["x", "y"]}).select("id", "t", "features").collect()
+    idf = {w: math.log(6 / (1 + d)) + 1 for w, d in {"a": 2, "b": 1, "c": 1, "zz": 1}.items()}
+    order = sorted(idf)
+    for row, (_, text, number, kind) in zip(got, texts):
+        words = (text or "").split()
+        w = {t: (1 + math.log(words.count(t))) * idf[t] for t in set(words)}
+        norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
+        want = {order.index(t): v / norm for t, v in w.items()}
+        want |= {4: number} if number else {}
+        want |= {5 + ["x", "y"].index(kind): 1.0} if kind in ("x", "y") else {}
+        assert row.features.size == 7 and dict(zip(row.features.indices.tolist(), row.features.values)) == pytest.approx(want)
+
+
+def test_verdict_predictor_is_stored(spark, cases, tmp_path):
+    model = models.VerdictPredictor("naive_bayes", spec=SPEC).fit(cases)
+    model.save(str(tmp_path / "v"))
+    again = models.VerdictPredictor.load(spark, str(tmp_path / "v"))
+    assert sorted(map(str, model.predict(cases).collect())) == sorted(map(str, again.predict(cases).collect()))
+
+
+def test_subtype_scores_unlabelled_rows_as_unclassified(spark, cases):
+    model = models.SubtypeClassifier("naive_bayes", SPEC).fit(cases)
+    odd = cases.limit(4).withColumns({"case_type": F.lit("Other"), "sub_type": F.lit(None).cast("string")})
+    scores = {r.metric: r.value for r in model.evaluate(odd).collect()}
+    assert scores["accuracy"] == 1.0
