@@ -294,16 +294,29 @@ def fill_template(name: str, **values: Column) -> Column:
         if not brace:
             break
         slot, _, rest = after.partition("}")
+        if slot not in values:
+            raise ValueError(f"template {name} needs a column {slot}")
         pieces.append(F.coalesce(values[slot], F.lit("")))
     return F.concat(*pieces)
 
 
-def build_prompts(questions: DataFrame, contexts: DataFrame, template: str = "legal_qa") -> DataFrame:
-    """(id, question, prompt, sources) for questions (id, question) and their contexts."""
-    joined = questions.join(contexts, questions["id"] == contexts["query_id"], "left")
-    slots = {"context": F.col("context"), "question": F.col("question"), "query": F.col("question")}
-    prompt = fill_template(template, **slots)
-    return joined.select("id", "question", prompt.alias("prompt"), "sources")
+def build_prompts(questions: DataFrame, contexts: DataFrame | None = None, template: str = "legal_qa") -> DataFrame:
+    """(id, question, prompt, sources) for questions (id, question ...) and their contexts.
+
+    The slots are filled from the context, the question and the other columns of *questions* by their names
+    (case_text, or facts and verdict); templates without a context need no *contexts*.
+    """
+    columns = {c: F.col(c) for c in questions.columns}
+    if contexts is not None:
+        renamed = contexts.select(F.col("query_id").alias("_query"), F.col("context").alias("_context"), F.col("sources").alias("_sources"))
+        questions = questions.join(renamed, questions["id"] == F.col("_query"), "left")
+        columns["context"] = F.col("_context")
+    else:
+        questions = questions.withColumn("_sources", F.lit(None).cast("string"))
+    if "question" in columns:
+        columns.setdefault("query", F.col("question"))
+    asked = F.col("question") if "question" in columns else F.lit(None).cast("string").alias("question")
+    return questions.select("id", asked, fill_template(template, **columns).alias("prompt"), F.col("_sources").alias("sources"))
 
 
 def _word_set(c: Column) -> Column:

@@ -296,14 +296,18 @@ def quote_plain(text: str) -> str:
     return f"'{text}'" if "'" not in text else "concat('" + text.replace("'", "', chr(39), '") + "')"
 
 
-def keyword_sql(column: str, groups: Sequence[tuple[str, Sequence[str]]], default: str) -> str:
+Keyword = str | tuple[str | tuple[str, ...], ...]
+
+
+def keyword_sql(column: str, groups: Sequence[tuple[str, Sequence[Keyword]]], default: str) -> str:
     """CASE giving the first group of which some keyword occurs in the lower-cased *column*.
 
-    A keyword ``a&&b`` needs both parts, ``a&&b|c`` needs a and one of b, c.
+    Of a tuple every part must occur; a part that is a tuple occurs if one of its words does.
     """
 
-    def holds(keyword: str) -> str:
-        return "(" + " AND ".join(contains_any(column, p.split("|")) for p in keyword.split("&&")) + ")"
+    def holds(keyword: Keyword) -> str:
+        parts = (keyword,) if isinstance(keyword, str) else keyword
+        return "(" + " AND ".join(contains_any(column, [p] if isinstance(p, str) else list(p)) for p in parts) + ")"
 
     whens = " ".join(
         f"WHEN {' OR '.join(holds(k) for k in words)} THEN {quote_plain(label)}" for label, words in groups

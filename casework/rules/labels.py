@@ -138,7 +138,7 @@ def merge_sub_type(c: Column, scheme: str) -> Column:
         return map_label(c, mapping, outcomes.OTHER)
     name = F.lower(F.coalesce(c.cast("string"), F.lit("nan")))
     name = F.trim(name) if scheme == "final" else name
-    lowered = map_label(name, {k.lower(): v for k, v in mapping.items()}, outcomes.OTHER)
+    lowered = map_label(name, mapping, outcomes.OTHER)
     return F.when(name.contains("appeal"), maps.LOWER_CASE_SCHEMES[scheme]).otherwise(lowered)
 
 

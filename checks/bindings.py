@@ -178,3 +178,34 @@ def r_even(x: str, digits: int) -> str:
 
 def pct(part: str, whole: str, digits: int = 2) -> str:
     return f"CASE WHEN {whole} > 0 THEN {r_even(f'CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE) * 100.0', digits)} ELSE 0.0 END"
+
+
+FILE_SIDES = """sides AS (SELECT 'source ' || page_id % 7 AS source, 'case-' || page_id AS stem, coalesce(html, '') AS html,
+  '{"id": ' || page_id || '}' AS json, page_id % 11 <> 0 AS has_html, page_id % 13 <> 0 AS has_json FROM pages)"""
+
+
+def write_case_files(spark: SparkSession, sf_dir: str, root: str, *kinds: str) -> None:
+    """The pages as files below *root*, one side missing here and there; every task writes its own."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.col("page_id")
+    sides = {
+        "html": (F.coalesce(F.col("html"), F.lit("")), number % 11 != 0),
+        "json": (F.concat(F.lit('{"id": '), number.cast("string"), F.lit("}")), number % 13 != 0),
+    }
+    source, stem = F.concat(F.lit("source "), (number % 7).cast("string")), F.concat(F.lit("case-"), number.cast("string"))
+
+    def write(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, place = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
+                store.create_dir(place.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(place) as out:
+                    out.write(content.encode())
+            yield batch.slice(0, 0)
+
+    for kind in kinds:
+        content, there = sides[kind]
+        path = F.concat(F.lit(f"{root}/"), source, F.lit(f"/{kind}/"), stem, F.lit(f".{kind}"))
+        pages.filter(there).select(path.alias("path"), content.alias("content")).mapInArrow(write, "path string, content string").collect()

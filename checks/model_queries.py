@@ -308,8 +308,8 @@ def _(spark, sf):
 
 @register(
     "linear_shap",
-    f"""WITH {_SMALL_SQL}, {_WEIGHTS}, nd AS (SELECT count(DISTINCT k) AS n FROM w), mean AS (SELECT term, sum(x) / (SELECT n FROM nd) AS m FROM w GROUP BY 1),
-full_ AS (SELECT d.k, term, coalesce(x, 0) AS x, m FROM (SELECT DISTINCT k FROM w) d CROSS JOIN mean LEFT JOIN w USING (k, term)),
+    f"""WITH {_SMALL_SQL}, {_WEIGHTS}, nd AS (SELECT count(*) AS n FROM documents), mean AS (SELECT term, sum(x) / (SELECT n FROM nd) AS m FROM w GROUP BY 1),
+full_ AS (SELECT d.k, term, coalesce(x, 0) AS x, m FROM (SELECT doc_id AS k FROM documents) d CROSS JOIN mean LEFT JOIN w USING (k, term)),
 sp AS (SELECT term, avg(abs(x - m)) AS spread FROM full_ GROUP BY 1), sz AS (SELECT term, avg(abs(weight)) AS size FROM wt GROUP BY 1)
 SELECT term AS feature, {r_even('size * spread', 8)} AS mean_abs_shap FROM sp JOIN sz USING (term) ORDER BY 2 DESC, 1 LIMIT 30""",
 )
@@ -318,7 +318,7 @@ def _(spark, sf):
     vocab = feat.vocabulary(counted, _SMALL)
     weighed = feat.weigh(counted, vocab, "doc_id", _SMALL)
     long = weighed.select("doc_id", F.explode("weights").alias("e")).select("doc_id", F.col("e.term").alias("term"), F.col("e.w").alias("x"))
-    return explain.linear_shap(long, _weights(vocab), "doc_id")
+    return explain.linear_shap(long, _weights(vocab), b.documents(spark, sf))
 
 
 # -- the hierarchy's gating -------------------------------------------------------------
@@ -662,10 +662,10 @@ def _(spark, sf):
     ledger, out = Ledger(spark, scratch_path(spark, "ledger")), scratch_path(spark, "resumed")
 
     def process(df):
-        return label_cases(df).select("case_id", "verdict")
+        return label_cases(df).select("source_folder", "case_id", "verdict")
 
     resume_batch(cases.filter("CAST(case_id AS INT) % 2 = 0"), ledger, process, out, "source_folder", "case_id")
-    return resume_batch(cases, ledger, process, out, "source_folder", "case_id")
+    return resume_batch(cases, ledger, process, out, "source_folder", "case_id").drop("source_folder")
 
 
 @register("resume_stream", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
@@ -707,3 +707,77 @@ def _(spark, sf):
 
     filter_cases(b.order_cases(spark, sf), verdict="P").createOrReplaceTempView("casework_orders")
     return run_sql(spark, "SELECT case_id FROM casework_orders WHERE year_numeric >= :since", since=1998)
+
+
+# -- case files -----------------------------------------------------------------------------------
+
+_PAIRS = f"WITH {b.FILE_SIDES} SELECT source, stem, md5(html) AS page, json FROM sides WHERE has_html AND has_json"
+
+
+@register("discovered_cases", _PAIRS)
+def _(spark, sf):
+    from casework.sources.case_files import discover_cases
+
+    root = scratch_path(spark, "files")
+    b.write_case_files(spark, sf, root, "html", "json")
+    return discover_cases(spark, root).select("source", "stem", F.md5(F.col("html").cast("binary")).alias("page"), "json")
+
+
+@register(
+    "unmatched_files",
+    f"""WITH {b.FILE_SIDES} SELECT source, stem, CASE WHEN has_html THEN 'html' ELSE 'json' END AS side FROM sides WHERE has_html <> has_json""",
+)
+def _(spark, sf):
+    from casework.sources.case_files import unmatched_files
+
+    root = scratch_path(spark, "files")
+    b.write_case_files(spark, sf, root, "html", "json")
+    return unmatched_files(spark, root)
+
+
+@register("streamed_case_files", _PAIRS)
+def _(spark, sf):
+    """The pages arrive before their sidecars; a third call finds nothing new."""
+    from casework.streaming.resume import stream_case_files
+
+    root, out, state = (scratch_path(spark, n) for n in ("inbox", "streamed", "state"))
+    process = lambda df: df.select("source", "stem", F.md5(F.col("html").cast("binary")).alias("page"), "json")
+    for kinds in (("html",), ("json",), ()):
+        b.write_case_files(spark, sf, root, *kinds)
+        stream_case_files(spark, root, out, state, process, 100_000)
+    return spark.read.parquet(out).drop("batch")
+
+
+@register(
+    "master_metadata",
+    """SELECT CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN doc_id % 5 < 3 THEN source END AS name FROM documents""",
+)
+def _(spark, sf):
+    """Three of five documents have an entry by id or by stem; of two entries the last one counts."""
+    from casework.sources.case_files import attach_master_metadata
+
+    docs = b.documents(spark, sf).filter("doc_id IS NOT NULL")
+    cases = docs.select(F.col("doc_id").cast("string").alias("case_id"), F.concat(F.lit("stem "), F.col("doc_id").cast("string")).alias("stem"))
+    by_id = F.when(F.col("doc_id") % 5 < 2, F.col("doc_id").cast("string"))
+    by_stem = F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("stem "), F.col("doc_id").cast("string")))
+    entries = docs.select(by_id.alias("id"), by_stem.alias("name"), F.lit(None).cast("string").alias("decision_date"), F.col("source").alias("court"), F.lit(2).cast("long").alias("position"))
+    early = entries.withColumns({"court": F.lit("early"), "position": F.lit(1).cast("long")})
+    found = attach_master_metadata(cases, entries.unionByName(early))
+    return found.select("case_id", F.col("metadata.court").alias("name"))
+
+
+@register(
+    "case_prompts",
+    f"""WITH {rs.LABELLED}, t AS (SELECT case_id, case_text, verdict FROM labelled)
+SELECT case_id AS id, 'summary' AS template, md5('Summarise the following legal case in 3-5 sentences, noting the case type, verdict, and key legal principles.' || chr(10) || chr(10)
+  || 'CASE TEXT:' || chr(10) || case_text || chr(10) || chr(10) || 'SUMMARY:') AS digest FROM t
+UNION ALL SELECT case_id, 'explanation', md5('Given the following case facts and verdict, explain the legal reasoning.' || chr(10) || chr(10)
+  || 'CASE FACTS:' || chr(10) || case_text || chr(10) || chr(10) || 'VERDICT: ' || verdict || chr(10) || chr(10) || 'LEGAL REASONING:') FROM t""",
+)
+def _(spark, sf):
+    rows = b.labelled(spark, sf).select(F.col("case_id").alias("id"), "case_text", F.col("case_text").alias("facts"), "verdict")
+    out = []
+    for name, template in (("summary", "case_summary"), ("explanation", "verdict_explanation")):
+        prompts = retrieve.build_prompts(rows, template=template)
+        out.append(prompts.select("id", F.lit(name).alias("template"), F.md5(F.col("prompt").cast("binary")).alias("digest")))
+    return out[0].unionByName(out[1])

@@ -196,3 +196,21 @@ def test_subtype_scores_unlabelled_rows_as_unclassified(spark, cases):
     odd = cases.limit(4).withColumns({"case_type": F.lit("Other"), "sub_type": F.lit(None).cast("string")})
     scores = {r.metric: r.value for r in model.evaluate(odd).collect()}
     assert scores["accuracy"] == 1.0
+
+
+def test_explanations_of_every_kind(spark, cases):
+    few = {"svm": {"maxIter": 5}, "random_forest": {"numTrees": 5}, "naive_bayes": {}, "logistic": {"maxIter": 5}}
+    for kind, options in few.items():
+        model = models.TextClassifier("case_type", kind, SPEC, calibrate=False, options=options).fit(cases)
+        weights = explain.model_weights(model)
+        terms = {r.term for r in weights.select("term").distinct().collect()}
+        assert terms <= set(model.feature_names()) and explain.feature_importance(weights, 3).count() == 3
+        if kind in ("svm", "naive_bayes"):
+            assert terms == set(model.feature_names())
+
+
+def test_shap_counts_rows_without_terms(spark):
+    features = spark.createDataFrame([(1, "a", 1.0)], "id long, term string, x double")
+    weights = spark.createDataFrame([("c", "a", 2.0)], "class string, term string, w double")
+    got = explain.linear_shap(features, weights, spark.range(4)).first()
+    assert got.mean_abs_shap == 2.0 * (0.75 + 3 * 0.25) / 4

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -101,3 +102,47 @@ def test_case_table_keeps_whole_texts_and_citations(spark):
     assert len(whole.case_text) == 33 * 1000 - 1 and len(whole.legal_citations.split("; ")) == whole.num_citations == 30
     assert len(cut.case_text) == 10_000 and len(cut.legal_citations.split("; ")) == 20 and cut.num_citations == 30
     assert clean_cases(process_cases(raw)).first().word_count == 5000
+
+
+def test_lost_ledger_write_doubles_nothing(spark, tmp_path, monkeypatch):
+    rows = spark.range(4).select(F.col("id"), F.lit("s").alias("source"))
+    out = str(tmp_path / "out")
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    monkeypatch.setattr(Ledger, "mark_done", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        resume_batch(rows, ledger, lambda df: df, out, "source", "id")
+    monkeypatch.undo()
+    assert resume_batch(rows, ledger, lambda df: df, out, "source", "id").count() == 4 and len(ledger) == 4
+
+
+def test_skipped_rows_stay_open(spark, tmp_path):
+    rows = spark.range(4).select(F.col("id"), F.lit("s").alias("source"))
+    out, ledger = str(tmp_path / "out"), Ledger(spark, str(tmp_path / "ledger"))
+    assert resume_batch(rows, ledger, lambda df: df.filter("id < 2"), out, "source", "id").count() == 2
+    assert not ledger.is_done("s/3")
+    assert resume_batch(rows, ledger, lambda df: df, out, "source", "id").count() == 4
+    with pytest.raises(ValueError):
+        resume_batch(spark.range(9).withColumn("source", F.lit("s")), ledger, lambda df: df.select("id"), out, "source", "id")
+
+
+def test_sides_that_arrive_apart(spark, tmp_path):
+    from casework.streaming.resume import stream_case_files
+
+    root, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+
+    def put(kind, stem, content):
+        folder = root / "a b" / kind
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{stem}.{kind}").write_text(content)
+
+    def seen():
+        stream_case_files(spark, str(root), out, state, lambda df: df)
+        return sorted((r.source, r.stem, r.html, r.json) for r in spark.read.parquet(out).collect())
+
+    put("html", "one", "<p>1</p>")
+    put("html", "two", "<p>2</p>")
+    put("json", "two", "{}")
+    assert seen() == [("a b", "two", "<p>2</p>", "{}")]
+    put("json", "one", '{"late": 1}')
+    both = [("a b", "one", "<p>1</p>", '{"late": 1}'), ("a b", "two", "<p>2</p>", "{}")]
+    assert seen() == both and seen() == both

@@ -63,3 +63,18 @@ def test_small_functions(spark):
     assert one(spark, txt.first_amount(F.lit("paid $1,200.00 then $3"))) == "$1,200.00"
     assert one(spark, txt.word_count(F.lit("  "))) == 0
     assert one(spark, txt.strip_accents(F.lit("Çà et là ø"))) == "Ca et la ø"
+
+
+def test_entities_and_unclosed_elements(spark):
+    from casework.functions.pages import page_text
+
+    pages = {
+        "&sect; 12 &#8217;s caf&eacute; &#x41;&amp;lt; &copy": "§ 12 ’s café A&lt; ©",
+        "a&nbsp;b &notanentity; &": "a b ¬anentity; &",
+        "before<script>if (a < b) {": "before",
+        "x<STYLE type='t'>p {}</STYLE>y<nav>menu</nav>z": "xyz",
+        "": "",
+    }
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([*pages, None])], "i int, page string")
+    got = [r.t for r in df.orderBy("i").select(page_text(F.col("page")).alias("t")).collect()]
+    assert got == [*pages.values(), None]
