@@ -10,20 +10,21 @@ of documents within its budget.
 
 Scale: the tree is one aggregated row per leaf; budgets are windows over it. The
 cut of a leaf is found by descending its order keys three digits at a time over
-partial sums, so a leaf with a third of all rows is never sorted in one task.
+partial sums, until few documents are left around it or the keys end, so a leaf or an id
+with a third of all rows is never sorted in one task; equal keys are summed before they are sorted.
 Documents meet their leaf's cut in one join; texts move only if the leaves are
 too many to broadcast.
 
 Defined results: a null path value counts as '(none)'; a null or empty text has no
 tokens, and documents without tokens follow their place in the order; unlisted
-values weigh 1, weights below 1 take nothing; repeated rows share a place and are
+values weigh 1, weights below 1 take nothing; rows of one id, or without one, follow each other
+by a digest of their texts, and only rows that are equal in both share a place and are
 taken or left together; an empty table gives an empty one. The added column is
 named by ``copies_column``; other columns pass through.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,8 +95,17 @@ def leaf_budgets(
     return out.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
 
 
-def _order_key(epochs: Column, key: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epochs.cast("string"), F.coalesce(key.cast("string"), F.lit(NONE))))
+def _order_key(epochs: Column, key: Column, text: Column, seed: int) -> Column:
+    """Digest of the id, then of the text: the second decides among rows of one id."""
+    first = F.md5(F.concat_ws(":", F.lit(str(seed)), epochs.cast("string"), F.coalesce(key.cast("string"), F.lit(NONE))))
+    return F.concat(first, text)
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+KEY_DIGITS = 64  # of an order key
 
 
 def mix_sources(
@@ -121,6 +131,7 @@ def mix_sources(
     narrow = docs.select(
         F.col(id_column).alias("_id"),
         token_count(F.col(text_column).cast("string")).alias("_n"),
+        _text_key(F.col(text_column)).alias("_t"),
         *[c.alias(n) for n, c in steps.items()],
     )
     narrow = cut_lineage(narrow, "mixture-docs")
@@ -128,21 +139,18 @@ def mix_sources(
         narrow.groupBy(*levels).agg(F.sum("_n").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixture-leaves"
     )
     plan = cut_lineage(leaf_budgets(leaves, by_level, levels, budget_percent, max_epochs), "mixture-plan")
-    largest = plan.agg(F.max("docs")).first()[0] or 0
-    # as many passes as leave about PIECE documents of the largest leaf around the cut
-    passes = max(1, math.ceil(math.log(max(largest / PIECE, 1)) / math.log(16**DIGITS)))
     cut = plan.select(*levels, "epochs", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
-    for depth in range(passes):
-        keyed = narrow.join(cut, levels).withColumn("h", _order_key(F.col("epochs"), F.col("_id"), seed))
+    for depth in range(KEY_DIGITS // DIGITS):
+        keyed = narrow.join(cut, levels).withColumn("h", _order_key(F.col("epochs"), F.col("_id"), F.col("_t"), seed))
         keyed = keyed.where(F.col("h").startswith(F.col("prefix")))
         piece = F.substring("h", depth * DIGITS + 1, DIGITS)
-        sums = keyed.groupBy(*levels, "prefix", piece.alias("piece")).agg(F.sum("_n").alias("n"))
+        sums = keyed.groupBy(*levels, "prefix", piece.alias("piece")).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("docs"))
         sums = cut_lineage(sums, "mixture-sums")
         running = F.sum("n").over(Window.partitionBy(*levels).orderBy("piece"))
         found = cut.join(sums, [*levels, "prefix"]).withColumn("upto", F.col("before") + running)
         # the first piece that does not fit; where all fit, one after the last
         first = found.where(F.col("upto") > F.col("rest")).groupBy(*levels).agg(
-            F.min(F.struct("piece", (F.col("upto") - F.col("n")).alias("before"))).alias("at")
+            F.min(F.struct("piece", (F.col("upto") - F.col("n")).alias("before"), "docs")).alias("at")
         )
         cut = cut.join(first, levels, "left").select(
             *levels,
@@ -150,17 +158,24 @@ def mix_sources(
             "rest",
             F.concat("prefix", F.coalesce("at.piece", F.lit("g"))).alias("prefix"),
             F.coalesce("at.before", "before").alias("before"),
+            F.coalesce("at.docs", F.lit(0)).alias("docs"),
         )
         cut = cut_lineage(cut, "mixture-cut")
-    keyed = narrow.join(cut, levels).withColumn("h", _order_key(F.col("epochs"), F.col("_id"), seed))
+        around = cut.agg(F.max("docs")).first()[0] or 0
+        cut = cut.drop("docs")
+        if around <= PIECE:
+            break
+    keyed = narrow.join(cut, levels).withColumn("h", _order_key(F.col("epochs"), F.col("_id"), F.col("_t"), seed))
     inside = keyed.where(F.col("h").startswith(F.col("prefix")))
-    order = Window.partitionBy(*levels).orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.groupBy(*levels, "h", "before", "rest").agg(F.sum("_n").alias("_n"))
+    order = Window.partitionBy(*levels).orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = inside.withColumn("upto", F.col("before") + F.sum("_n").over(order)).where(F.col("upto") <= F.col("rest"))
     last = fits.groupBy(*levels).agg(F.max("h").alias("last"))
     bounds = cut.join(last, levels, "left").select(*levels, "epochs", F.coalesce("last", "prefix").alias("last"))
     bounds = cut_lineage(bounds, "mixture-bounds")
     places = docs.withColumns(steps).join(bounds, levels)
-    taken = (_order_key(F.col("epochs"), F.col(id_column), seed) <= F.col("last")).cast("long")
+    key = _order_key(F.col("epochs"), F.col(id_column), _text_key(F.col(text_column)), seed)
+    taken = (key <= F.col("last")).cast("long")
     return places.select(*docs.columns, (F.col("epochs") + taken).alias(copies_column))
 
 

@@ -4,7 +4,11 @@ Three base patterns are reported as they match. Beyond them, runs that look like
 base64 or hexadecimal are decoded, and reported only if what they hold has the
 structure of a credential: a private key in DER whose nested lengths add up, an
 OpenSSH key with its length-prefixed parts, or a signed token whose header names
-an algorithm. Rows are scanned alone; nothing is shuffled and no text is cut.
+an algorithm. Keys are found in armour (with real or escaped line ends, and with header
+lines, where an encrypted body must be whole blocks of the cipher named there), in armour that
+is encoded once more, on one line, and wrapped over lines without armour (keys of up to KEY_BYTES).
+Rows are scanned alone; nothing is shuffled and no text is cut. Patterns begin at the border of a
+run or take runs whole, so that a scan is linear in the text whatever it repeats.
 
 Defined results: a null text counts as empty and has no spans; positions are
 code points, the end exclusive; repeated rows give repeated results; an empty
@@ -34,11 +38,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that have 16 characters or more
 LEAST = {"assign": 12, "access": 18}
 
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END [A-Z0-9 ]*PRIVATE KEY-----")
+RUN = re.compile(r"[A-Za-z0-9_.-]+")  # holds signed tokens
+BREAK = r"(?:\s|\\[nrt])"
+ARMOUR = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----" + BREAK + r"*((?:[A-Za-z][A-Za-z-]*: [^\r\n\\]*" + BREAK + r"+)*)"
+    r"((?:[A-Za-z0-9+/=]|" + BREAK + r")+)-----END [A-Z0-9 ]*PRIVATE KEY-----"
+)
+CIPHER = re.compile(r"DEK-Info: (DES|AES|CAMELLIA|SEED|RC2|IDEA|BF|CAST5?)-?[A-Z0-9-]*,[0-9A-Fa-f]+")
 #: Every DER sequence longer than 47 bytes starts with M in base64, and every OpenSSH key with b3BlbnNzaC1rZXkt.
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{39,}|b3BlbnNzaC1rZXkt[A-Za-z0-9+/_-]{24,})={0,2}")
+ENCODED_ARMOUR = re.compile(r"(?<![A-Za-z0-9+/_-])LS0tLS1CRUdJTi[A-Za-z0-9+/_-]{40,}={0,2}")
+LINE = re.compile(BREAK + r"+([A-Za-z0-9+/_-]+={0,2})")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+KEY_BYTES = 1 << 14
+MAGIC64 = "b3BlbnNzaC1rZXktdjEA"
 MAGIC = b"openssh-key-v1\x00"
 
 
@@ -130,23 +143,98 @@ def is_signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Three parts joined by dots, from the first ``eyJ`` of a part, whose decoded parts are a header and claims."""
+    for run in RUN.finditer(text):
+        parts = run[0].split(".")
+        at, i = run.start(), 0
+        while i + 2 < len(parts):
+            begin = parts[i].find("eyJ")
+            if begin >= 0 and len(parts[i]) > begin + 3 and parts[i + 1]:
+                token = ".".join((parts[i][begin:], parts[i + 1], parts[i + 2]))
+                if is_signed_token(token):
+                    yield at + begin, at + begin + len(token)
+                taken = 3
+            else:
+                taken = 1
+            at += sum(len(p) + 1 for p in parts[i : i + taken])
+            i += taken
+
+
+def armoured_kind(found: re.Match[str]) -> str | None:
+    label, headers, body = found.groups()
+    data = decode64(re.sub(BREAK, "", body))
+    if kind := key_kind(data):
+        return kind
+    if data and "ENCRYPTED" in headers and CIPHER.search(headers) and len(data) % 8 == 0:
+        return "key"
+    outer = elements(data, 0, len(data)) if data and "ENCRYPTED" in label else None
+    if outer and len(outer) == 1 and outer[0][0] == 0x30:
+        parts = elements(data, outer[0][1], outer[0][2]) or []
+        algorithm = elements(data, parts[0][1], parts[0][2]) if [t for t, _, _ in parts] == [0x30, 0x04] else None
+        if algorithm and algorithm[0][0] == 0x06:
+            return "key"
+    return None
+
+
+def wrapped(text: str, first: re.Match[str]) -> tuple[int, str | None]:
+    """End and kind of a key whose base64 begins with *first* and goes on over the next lines.
+
+    Lines are only gathered for what begins as a private key does; a line that begins an OpenSSH key ends one.
+    """
+    end, size, found = first.end(), len(first[0]), [first[0]]
+    head = decode64(first[0][:40])
+    if not head or first[0].endswith("="):
+        return end, None
+    need = KEY_BYTES
+    if head[0] == 0x30:
+        width = head[1] - 0x80
+        if not 1 <= width <= 4 or head[2 + width : 4 + width] != b"\x02\x01" or head[4 + width] > 1:
+            return end, None
+        need = 2 + width + int.from_bytes(head[2 : 2 + width], "big")
+        if need > KEY_BYTES:
+            return end, None
+    elif not first[0].startswith(MAGIC64):
+        return end, None
+    while size * 3 // 4 < need:
+        line = LINE.match(text, end)
+        if not line or line[1].startswith(MAGIC64):
+            break
+        found.append(line[1])
+        end, size = line.end(), size + len(line[1].rstrip("="))
+        if line[1].endswith("="):
+            break
+    return end, key_kind(decode64("".join(found)))
+
+
 def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind in the order of KINDS."""
     text = text or ""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    more = set()
-    for m in ARMOUR.finditer(text):
-        if kind := key_kind(decode64("".join(m[1].split()))):
+    more = {(m.start(), m.end(), kind) for m in ARMOUR.finditer(text) if (kind := armoured_kind(m))}
+    bodies = sorted((start, end) for start, end, _ in more)
+    for m in ENCODED_ARMOUR.finditer(text):
+        inner = (decode64(m[0]) or b"").decode("latin-1")
+        if kind := next((k for a in ARMOUR.finditer(inner) if (k := armoured_kind(a))), None):
             more.add((m.start(), m.end(), kind))
+    reached = i = 0
     for m in ENCODED.finditer(text):
-        if kind := key_kind(decode64(m[0])):
-            more.add((m.start(), m.end(), kind))
+        while i < len(bodies) and bodies[i][1] <= m.start():
+            i += 1
+        if m.start() < reached or (i < len(bodies) and bodies[i][0] <= m.start()):
+            continue
+        end, kind = m.end(), key_kind(decode64(m[0]))
+        if not kind:
+            end, kind = wrapped(text, m)
+        if kind:
+            more.add((m.start(), end, kind))
+            reached = end
     for m in HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             more.add((m.start(), m.end(), kind))
-    more |= {(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])}
+    more |= {(start, end, "jwt") for start, end in signed_tokens(text)}
     return sorted([*found, *more], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

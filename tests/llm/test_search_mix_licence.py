@@ -142,3 +142,19 @@ def test_licences_in_wrapped_headers_inline_notices_and_whole_files(spark):
     assert {i for i in got if got[i].licence_file} >= {4, 6, 7, 9}
     assert not got[1].licence_file and not got[3].licence_file
     assert (got[5].licence, got[5].inherited_from) == ("MIT", "mit")
+
+
+def test_mixture_of_rows_without_distinct_ids(spark, monkeypatch):
+    """A leaf whose rows have no id, or one id, is cut between rows, and equal rows go together."""
+    from casework.llm import mixture
+
+    monkeypatch.setattr(mixture, "PIECE", 20)
+    rows = [(None, f"text {i} of five words") for i in range(3000)] + [(7, f"other {i} of five words") for i in range(3000)]
+    rows += [(None, "the same five words here")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    mixed = mixture.mix_sources(docs, {"source": F.col("source")}, {}, budget_percent=50, max_epochs=1)
+    out = mixed.groupBy("text").agg(F.min("copies").alias("low"), F.max("copies").alias("high"), F.count("*").alias("n")).collect()
+    assert all(r.low == r.high for r in out)
+    taken = sum(r.n * r.low for r in out) * 5
+    budget = len(rows) * 5 // 2
+    assert budget - 2500 - 5 < taken <= budget
