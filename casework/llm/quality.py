@@ -4,8 +4,8 @@ A document is the average of learned vectors of its hashed words, word pairs and
 character n-grams; a softmax over that average gives the label. The vectors are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled
 documents (``sample_rows``, chosen by a hash of the id, and of those as many in that
-order as have ``sample_features`` hashed counts together), of which only the hashed
-counts reach the driver. Scoring covers every row: the softmax of an average is linear
+order as have ``sample_features`` hashed counts together), in one task; only the model
+reaches the driver. Scoring covers every row: the softmax of an average is linear
 in the vectors, so one weight per bucket is sent to the tasks, and no text is shuffled.
 
 Defined results: an empty or null text has no features and gets the score of
@@ -114,7 +114,7 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_quality(
+def training_rows(
     docs: DataFrame,
     labels: DataFrame,
     id_column: str = "doc_id",
@@ -122,8 +122,8 @@ def fit_quality(
     label_column: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
     sample_features: int = SAMPLE_FEATURES,
-) -> QualityModel:
-    """Learns from at most *sample_rows* labelled documents outside the held-out fold."""
+) -> DataFrame:
+    """(id, label, buckets, counts, place) of at most *sample_rows* labelled documents outside the held-out fold."""
     key = F.col(id_column)
     sample = (
         labels.select(key.alias("id"), F.col(label_column).cast("int").alias("label"))
@@ -161,15 +161,28 @@ def fit_quality(
     fits = np.cumsum(sizes["n"].to_numpy().astype(np.int64)) <= sample_features
     if not fits.all():
         counted = counted.where(F.col("place") < int(sizes["place"][int(fits.sum())].as_py()))
-    table = counted.toArrow()
-    examples = []
-    for i in range(table.num_rows):
-        index = table["buckets"][i].values.to_numpy()
-        counts = table["counts"][i].values.to_numpy()
-        examples.append((index, counts, int(table["label"][i].as_py()), int(table["id"][i].as_py())))
-    # the order of arrival is not fixed; the order of training is
-    examples.sort(key=lambda e: (e[3], e[2], len(e[0]), e[0].tobytes()))
-    return train([e[:3] for e in examples])
+    return counted
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, **options) -> QualityModel:
+    """Learns from the ``training_rows`` (which takes the *options*), in one task that holds them all."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = []
+        for batch in batches:
+            for i, label, buckets, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                examples.append((buckets.values.to_numpy(), counts.values.to_numpy(), label, i))
+        # the order of arrival is not fixed; the order of training is
+        examples.sort(key=lambda e: (e[3], e[2], len(e[0]), e[0].tobytes()))
+        model = train([e[:3] for e in examples])
+        arrays = [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.bits])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["weights", "bias", "bits"])
+
+    rows = training_rows(docs, labels, **options).select(F.col("id").cast("long"), "label", "buckets", "counts")
+    if rows.isEmpty():
+        return train([])
+    found = rows.coalesce(1).mapInArrow(learn, "weights binary, bias double, bits long").first()
+    return QualityModel(np.frombuffer(bytes(found.weights), np.float32), found.bias, found.bits)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
