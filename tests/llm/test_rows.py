@@ -274,185 +274,7 @@ def test_quality_sample_is_bounded(spark):
     assert 0 < len(few) < 100 and sum(r.n for r in few) <= 1000
 
 
-def der(tag, *parts):
-    body = b"".join(parts)
-    if len(body) < 128:
-        return bytes([tag, len(body)]) + body
-    size = (len(body).bit_length() + 7) // 8
-    return bytes([tag, 0x80 + size]) + len(body).to_bytes(size, "big") + body
-
-
-RSA = der(0x30, der(2, b"\0"), *[der(2, bytes([7]) * 60) for _ in range(8)])
-PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, RSA))
-SEC1 = der(0x30, der(2, b"\1"), der(4, b"k" * 32), der(0xA0, der(6, b"\x2a\x86\x48")))
-
-
-def part(data):
-    return len(data).to_bytes(4, "big") + data
-
-
-SSH = secrets.MAGIC + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(b"k" * 40) + part(b"s" * 80)
-
-
-def url64(value):
-    return base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
-
-
-def test_base_patterns():
-    rng = random.Random(5)
-    pieces = ["token", "PASSWORD", "passwd", "api_key", "ApiKey", "=", ": ", '"', "'", "abcdefghijkl", "AKIA", "ABCDEFGH", "0123456789abcdef", "é", " ", "\n", "x1", "Secret", "toKen", "ſecret"]
-    for _ in range(3000):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
-        base = [(k, s, e) for s, e, k in secrets.find_secrets(text) if k in secrets.BASE]
-        assert base == plain_base(text)
-
-
-def test_structures_are_confirmed():
-    for data, kind in ((RSA, "key"), (PKCS8, "key"), (SEC1, "key"), (SSH, "ssh")):
-        for form in (base64.b64encode(data).decode(), f"-----BEGIN X PRIVATE KEY-----\n{base64.encodebytes(data).decode()}-----END X PRIVATE KEY-----"):
-            assert any(k == kind for _, _, k in secrets.find_secrets(f"é {form} end")), kind
-        broken = base64.b64encode(data[:-3]).decode()
-        assert not any(k in ("key", "ssh") for _, _, k in secrets.find_secrets(f"x {broken} y"))
-    assert any(k == "key" for _, _, k in secrets.find_secrets(RSA.hex().upper()))
-    good = f"{url64({'alg': 'HS256'})}.{url64({'sub': 1})}.abc"
-    bad = f"{url64({'typ': 'HS256'})}.{url64({'sub': 1})}.abc"
-    assert [k for _, _, k in secrets.find_secrets(good)] == ["jwt"]
-    assert secrets.find_secrets(bad) == []
-    assert secrets.find_secrets("M" * 5000) == []
-
-
-def test_redaction(spark):
-    text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" z'
-    docs = spark.createDataFrame([(1, text, len(text)), (2, "clean", 99), (3, None, None)], "doc_id long, text string, n_chars long")
-    rows = {r.doc_id: r for r in secrets.redact_secrets(docs).collect()}
-    assert rows[1].text == 'a [SECRET]" z' and rows[1].n_chars == len(rows[1].text)
-    assert (rows[2].text, rows[2].n_chars, rows[3].text, rows[3].n_chars) == ("clean", 99, None, None)
-
-
-def test_scan_query(spark, sf):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    rows = queries.QUERIES["op10_secret_scan"](spark, sf).collect()
-    assert len(rows) == len(docs)
-    for r in rows:
-        base = plain_base(docs[r.doc_id] or "")
-        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, _, _ in base) for x in ("assign", "access", "hex")]
-        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
-
-
-def test_quality_on_held_out(spark):
-    sf_dir = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    rows = queries.QUERIES["op8_quality_classifier"](spark, sf_dir).collect()
-    assert len(rows) == 1000
-    for r in rows:
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
-        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
-    judged = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
-    assert sum(a == b for a, b in judged) >= 0.93 * len(judged)
-
-
-def test_quality_edges(spark):
-    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (3, 5)], "doc_id long, quality int")
-    docs = spark.createDataFrame([(1, "fine words here"), (2, "|| ##"), (2, "|| ##"), (3, None), (None, "")], "doc_id long, text string")
-    model = quality.fit_quality(docs, labels)
-    rows = quality.score_quality(docs, model).collect()
-    assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
-    nothing = quality.fit_quality(docs, labels.limit(0))
-    assert {r.score for r in quality.score_quality(docs, nothing).collect()} == {0.5}
-    assert quality.score_quality(docs.limit(0), nothing).collect() == []
-    assert quality.keep_good(docs, nothing).count() == 5
-
-
-def plain_model(examples, bits, dim, epochs, rate, seed):
-    """Features, training and score once more: whole numbers, dense vectors, loops."""
-    whole, bases = 1 << 64, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-    def mixed(x):
-        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % whole
-        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) % whole
-        return x ^ (x >> 32)
-
-    def buckets(text):
-        data = (text or "").encode()
-        sums = lambda part: sum((c + 1) * pow(bases[0], i, whole) for i, c in enumerate(part)) % whole
-        words = [mixed(sums(w)) for w in data.split()]
-        if not words:
-            return []
-        keys = words + [1 if a == b else mixed((a * bases[0] + b) % whole) for a, b in zip(words, words[1:])]
-        for n in (2, 3, 4):
-            keys += [sums(data[i : i + n]) * (2 * n + 1) for i in range(len(data) - n + 1)]
-        return [(k * 0xD6E8FEB86659FD93) % whole >> (64 - bits) for k in keys]
-
-    rng = np.random.default_rng(seed)
-    counts = [collections.Counter(buckets(t)) for t, _ in examples]
-    share = sum(y for _, y in examples) / len(examples)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim))
-    out = rng.uniform(-0.5, 0.5, (dim, 2))
-    bias = np.log([1 - share, share])
-    done = 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(examples)):
-            step = rate * (1 - done / (epochs * len(examples)))
-            done += 1
-            total = sum(counts[i].values())
-            if not total:
-                continue
-            part = np.zeros(1 << bits)
-            for b, c in counts[i].items():
-                part[b] = c / total
-            mean = part @ vectors
-            p = np.exp(mean @ out + bias)
-            p /= p.sum()
-            p[examples[i][1]] -= 1
-            p *= 0.5 / (share if examples[i][1] else 1 - share)
-            back = out @ p
-            out -= 0.1 * step * np.outer(mean, p)
-            bias -= 0.01 * step * p
-            vectors -= 0.5 * step * np.outer(part / np.sqrt(part @ part), back)
-
-    def score(text):
-        found = buckets(text)
-        mean = np.mean([vectors[b] for b in found], axis=0) if found else np.zeros(dim)
-        p = np.exp(mean @ out + bias)
-        return p[1] / p.sum()
-
-    return score
-
-
-def test_quality_against_a_plain_version(monkeypatch):
-    words = ["good", "fine", "prose", "über", "junk", "zzz", "###"]
-    rng = random.Random(2)
-    examples = [(" ".join(rng.choice(words[:5] if k % 3 else words[4:]) for _ in range(rng.randint(0, 9))), int(k % 3 > 0)) for k in range(24)]
-    bits = 9
-    counted = []
-    for text, y in examples:
-        i, c = np.unique(quality.features(text, bits), return_counts=True)
-        counted.append((i, c.astype(np.float32), y))
-    model = quality.train(counted, bits=bits)
-    plain = plain_model(examples, bits, quality.DIM, quality.EPOCHS, quality.RATE, 7)
-    for text in [t for t, _ in examples] + ["", "never seen words"]:
-        assert abs(model.score(text) - plain(text)) < 1e-3
-
-
-def test_quality_sample_is_bounded(spark):
-    """One id on many rows sends one row to the driver; few features allowed, few rows train."""
-    docs = spark.range(20_000).selectExpr("CAST(1 AS BIGINT) AS doc_id", "concat('same id ', id) AS text")
-    docs = docs.unionByName(spark.range(2, 400).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 50) AS text"))
-    labels = spark.range(1, 400).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
-    seen = []
-    original = quality.train
-    try:
-        quality.train = lambda examples, **k: seen.append(examples) or original(examples, **k)
-        quality.fit_quality(docs, labels)
-        quality.fit_quality(docs, labels, sample_features=1000)
-    finally:
-        quality.train = original
-    all_rows, few = seen
-    assert len(all_rows) == labels.where(~quality.held_out(F.col("doc_id"))).count()
-    assert 0 < len(few) < 100 and sum(len(e[0]) for e in few) <= 1000
-
-
-def der(tag, *parts):
+def der_value(tag, *parts):
     body = b"".join(parts)
     n = len(body)
     head = bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
@@ -461,8 +283,8 @@ def der(tag, *parts):
 
 def rsa_key(seed=1):
     rng = random.Random(seed)
-    number = lambda n: der(0x02, b"\x01" + rng.randbytes(n))
-    return der(0x30, der(0x02, b"\x00"), *[number(n) for n in (128, 3, 128, 64, 64, 64, 64, 64)])
+    number = lambda n: der_value(0x02, b"\x01" + rng.randbytes(n))
+    return der_value(0x30, der_value(0x02, b"\x00"), *[number(n) for n in (128, 3, 128, 64, 64, 64, 64, 64)])
 
 
 def lines(data, width=64, end="\n"):
@@ -475,7 +297,7 @@ def test_secret_forms():
     armour = "-----BEGIN RSA PRIVATE KEY-----\n" + lines(key) + "\n-----END RSA PRIVATE KEY-----"
     escaped = json.dumps({"private_key": armour + "\n"})
     encrypted = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF00FF00FF\n\n" + lines(random.Random(3).randbytes(640)) + "\n-----END RSA PRIVATE KEY-----"
-    pkcs8 = der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48"), der(0x30, b"")), der(0x04, bytes(200)))
+    pkcs8 = der_value(0x30, der_value(0x30, der_value(0x06, b"\x2a\x86\x48"), der_value(0x30, b"")), der_value(0x04, bytes(200)))
     sealed = "-----BEGIN ENCRYPTED PRIVATE KEY-----\n" + lines(pkcs8) + "\n-----END ENCRYPTED PRIVATE KEY-----"
     again = base64.b64encode(armour.encode()).decode()
     for secret in (armour, escaped[escaped.index("-----") : escaped.rindex("-----") + 5], encrypted, sealed, again, lines(key), lines(key, end="\r\n"), lines(key, 10_000)):
