@@ -324,11 +324,15 @@ def outcome_rates(df: DataFrame, verdict: str = "verdict") -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Equal-width bins between minimum and maximum, the last one closed; empty bins included."""
+    """Equal-width bins between minimum and maximum, the last one closed; empty bins included.
+
+    Every row carries the mean of all values, which is drawn across the bins.
+    """
     spark = df.sparkSession
     values = df.select(F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias("v"))
     # one pass for the range; the bounds are two numbers, read back as scalar subqueries
-    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
+    mean = bounds.select("mean").scalar()
     flat = F.col("lo") == F.col("hi")
     bounds = bounds.select(
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
@@ -342,6 +346,7 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
         "bin",
         round_even(lo + F.col("bin") * width, 6).alias("start"),
         F.coalesce("n", F.lit(0)).alias("n"),
+        round_even(mean, 4).alias("mean"),
     )
 
 

@@ -445,7 +445,7 @@ def _(spark, sf):
     "histogram",
     f"""WITH {CASES}, v AS (SELECT CAST(length(case_text) AS DOUBLE) AS v FROM cases), r AS (SELECT min(v) AS lo, (max(v) - min(v)) / 50 AS w FROM v)
 SELECT CAST(i AS INT) AS bin, {r_even('(SELECT lo FROM r) + i * (SELECT w FROM r)', 6)} AS start,
-  (SELECT count(*) FROM v, r WHERE least(floor((v - lo) / w), 49) = i) AS n FROM range(50) t(i)""",
+  (SELECT count(*) FROM v, r WHERE least(floor((v - lo) / w), 49) = i) AS n, {r_even('(SELECT avg(v) FROM v)', 4)} AS mean FROM range(50) t(i)""",
 )
 def _(spark, sf):
     return profile.histogram(b.cases(spark, sf).select(F.length("case_text").alias("text_length")), "text_length", 50)
@@ -455,7 +455,7 @@ def _(spark, sf):
     "histogram_citations",
     f"""WITH {OC}, v AS (SELECT CAST(coalesce(num_citations, 0) AS DOUBLE) AS v FROM oc), r AS (SELECT min(v) AS lo, (max(v) - min(v)) / 40 AS w FROM v)
 SELECT CAST(i AS INT) AS bin, {r_even('(SELECT lo FROM r) + i * (SELECT w FROM r)', 6)} AS start,
-  (SELECT count(*) FROM v, r WHERE least(floor((v - lo) / w), 39) = i) AS n FROM range(40) t(i)""",
+  (SELECT count(*) FROM v, r WHERE least(floor((v - lo) / w), 39) = i) AS n, {r_even('(SELECT avg(v) FROM v)', 4)} AS mean FROM range(40) t(i)""",
 )
 def _(spark, sf):
     return profile.histogram(b.order_cases(spark, sf), "num_citations", 40)
