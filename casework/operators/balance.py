@@ -46,7 +46,9 @@ def balance_report(df: DataFrame, col: str) -> DataFrame:
 
 
 def _advice() -> Column:
-    weights = F.format_string("use balanced class weights (ratio %.1fx)", F.col("ratio"))
+    # format_number rounds the binary value, halves to even; format_string would round its decimal text up
+    ratio = F.replace(F.format_number("ratio", 1), F.lit(","), F.lit(""))
+    weights = F.concat(F.lit("use balanced class weights (ratio "), ratio, F.lit("x)"))
     merge = F.format_string("minority class '%s' has only %d rows: merge rare classes", "minority", "min_n")
     oversample = F.lit("oversample minority classes or undersample the majority class")
     general = (F.lit("judge by macro F1, not accuracy"), F.lit("split train, validation and test by class"))

@@ -114,8 +114,9 @@ def last_years(yearly: DataFrame, n: int = 20, year: str = "year") -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first n rows in id order, without the texts; each task keeps n rows, nothing is sorted whole."""
     shown = ("case_id", "year", "court", "case_type", "sub_type", "verdict", "num_citations")
-    return df.select(*shown).limit(n)
+    return df.select(*shown).orderBy("case_id").limit(n)
 
 
 def case_base(df: DataFrame) -> DataFrame:

@@ -164,19 +164,17 @@ def with_mapped_labels(
     sub_map: Mapping[str, str] | None = None,
     verdict_map: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """The three mapped label columns; each map may be the caller's own."""
+    """The three mapped label columns, of those labels that *df* has; each map may be the caller's own."""
     sub_labels = {name: f"{group}__{name}" for name, group in maps.LEVEL_0.items()}
-    return df.withColumns(
-        {
-            "case_type_mapped": map_label(
-                F.col(case_type), type_map or maps.CASE_TYPE_MERGED, packs.UNCLASSIFIED
-            ),
-            "sub_type_mapped": map_label(F.col(sub_type), sub_map or sub_labels, "UNCLASSIFIED__General"),
-            "verdict_mapped": map_label(F.col(verdict), verdict_map, outcomes.OTHER)
-            if verdict_map
-            else default_verdict_class(F.col(verdict)),
-        }
-    )
+    mapped = {
+        "case_type_mapped": (case_type, lambda c: map_label(c, type_map or maps.CASE_TYPE_MERGED, packs.UNCLASSIFIED)),
+        "sub_type_mapped": (sub_type, lambda c: map_label(c, sub_map or sub_labels, "UNCLASSIFIED__General")),
+        "verdict_mapped": (
+            verdict,
+            lambda c: map_label(c, verdict_map, outcomes.OTHER) if verdict_map else default_verdict_class(c),
+        ),
+    }
+    return df.withColumns({out: label(F.col(c)) for out, (c, label) in mapped.items() if c in df.columns})
 
 
 def label_leak_rate(df: DataFrame, label: str, text: str) -> DataFrame:

@@ -22,7 +22,7 @@ P, CASES = b.PREDICTIONS, b.CASES
 
 # -- metrics ----------------------------------------------------------------------
 
-_PER = f"""{P}, ls AS (SELECT "true" AS label FROM p UNION SELECT pred FROM p),
+_PER_LABEL = """ls AS (SELECT "true" AS label FROM p UNION SELECT pred FROM p),
 s AS (SELECT label, (SELECT count(*) FROM p WHERE "true" = label) AS support, (SELECT count(*) FROM p WHERE pred = label) AS predicted,
   (SELECT count(*) FROM p WHERE "true" = label AND pred = label) AS hits FROM ls),
 m AS (SELECT *, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN hits / support ELSE 0 END AS recall,
@@ -30,19 +30,15 @@ m AS (SELECT *, CASE WHEN predicted > 0 THEN hits / predicted ELSE 0 END AS prec
 a AS (SELECT CAST(sum(support) AS BIGINT) AS n, sum(hits) / sum(support) AS acc, avg(f1) AS fm, sum(f1 * support) / sum(support) AS fw, avg(precision) AS pm,
   avg(recall) AS rm, sum(precision * support) / sum(support) AS pw, sum(recall * support) / sum(support) AS rw,
   sum(CAST(support AS DOUBLE) * predicted) / (sum(support) * sum(support)) AS ch, count(*) FILTER (support > 0) AS k FROM m)"""
+_PER = f"{P}, {_PER_LABEL}"
+_METRICS = {
+    "accuracy": "acc", "f1_macro": "fm", "f1_weighted": "fw", "f1_micro": "acc", "precision_macro": "pm",
+    "recall_macro": "rm", "cohen_kappa": "(acc - ch) / (1 - ch)", "support_total": "n", "num_classes": "k",
+}
+_METRIC_ROWS = " UNION ALL ".join(f"SELECT '{n}' AS metric, {r_even(e, 6)} AS value FROM a" for n, e in _METRICS.items())
 
 
-@register(
-    "classification_metrics",
-    f"WITH {_PER} "
-    + " UNION ALL ".join(
-        f"SELECT '{n}' AS metric, {r_even(e, 6)} AS value FROM a"
-        for n, e in {
-            "accuracy": "acc", "f1_macro": "fm", "f1_weighted": "fw", "f1_micro": "acc", "precision_macro": "pm",
-            "recall_macro": "rm", "cohen_kappa": "(acc - ch) / (1 - ch)", "support_total": "n", "num_classes": "k",
-        }.items()
-    ),
-)
+@register("classification_metrics", f"WITH {_PER} {_METRIC_ROWS}")
 def _(spark, sf):
     return evaluate.classification_metrics(b.predictions(spark, sf), "true", "pred")
 
@@ -99,14 +95,27 @@ SELECT 'quality' AS target, 'accuracy' AS metric, {r_even('avg(CAST(t = g AS INT
 UNION ALL SELECT 'toxic', 'accuracy', {r_even('avg(CAST(toxic = CASE WHEN doc_id % 7 = 0 THEN 1 - toxic ELSE toxic END AS INT))', 6)} FROM labels""",
 )
 def _(spark, sf):
+    return _every_metric(spark, sf).filter("metric = 'accuracy'")
+
+
+def _every_metric(spark, sf):
     df = b.table(spark, sf, "labels").withColumns(
         {
             "q": F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")),
             "t": F.when(F.col("doc_id") % 7 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")),
         }
     )
-    every = evaluate.evaluate_all(df, {"quality": ("quality", "q"), "toxic": ("toxic", "t")})
-    return every.filter("metric = 'accuracy'")
+    return evaluate.evaluate_all(df, {"quality": ("quality", "q"), "toxic": ("toxic", "t")})
+
+
+def _target_sql(name: str, step: int) -> str:
+    return f"""SELECT '{name}' AS target, * FROM (WITH p AS (SELECT {name} AS "true", CASE WHEN doc_id % {step} = 0 THEN 1 - {name} ELSE {name} END AS pred
+  FROM labels WHERE {name} IS NOT NULL), {_PER_LABEL} {_METRIC_ROWS})"""
+
+
+@register("evaluate_all_metrics", f"{_target_sql('quality', 5)} UNION ALL {_target_sql('toxic', 7)}")
+def _(spark, sf):
+    return _every_metric(spark, sf)
 
 
 # -- features ----------------------------------------------------------------------
@@ -662,7 +671,7 @@ def _(spark, sf):
     ledger, out = Ledger(spark, scratch_path(spark, "ledger")), scratch_path(spark, "resumed")
 
     def process(df):
-        return label_cases(df).select("source_folder", "case_id", "verdict")
+        return label_cases(df, columns=("verdict",)).select("source_folder", "case_id", "verdict")
 
     resume_batch(cases.filter("CAST(case_id AS INT) % 2 = 0"), ledger, process, out, "source_folder", "case_id")
     return resume_batch(cases, ledger, process, out, "source_folder", "case_id").drop("source_folder")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casework.operators import balance, filters, profile, quality, trends
+from casework.operators import balance, filters, paging, profile, quality, trends
 from casework.functions import citations as cites
-from casework.plans.case_table import split_clean_unknown
+from casework.plans.case_table import clean_cases, label_cases, split_clean_unknown
 from casework.rules import labels
 from casework.rules import label_maps as maps
 from casework.rules import outcome_packs as outcomes
@@ -52,6 +52,17 @@ def _(spark, sf):
     return filters.search_cases(b.cases(spark, sf), "Habeas Corpus.", literal=True).select("case_id")
 
 
+@register(
+    "search_cases_pattern",
+    f"""WITH {CLEANED} SELECT case_id, sub_type FROM cleaned
+WHERE regexp_matches(case_text, '(?i)GRAND\\s+larceny|promissory note|slander(ous)?\\b') AND coalesce(year_numeric, 9999) <= 1875""",
+)
+def _(spark, sf):
+    """A pattern that some texts hold, within years."""
+    found = filters.search_cases(b.cleaned(spark, sf), r"GRAND\s+larceny|promissory note|slander(ous)?\b", year_to=1875)
+    return found.select("case_id", "sub_type")
+
+
 @register("get_case", f"WITH {LABELLED} SELECT case_id, case_type, verdict, legal_citations FROM labelled WHERE case_id = '48'")
 def _(spark, sf):
     return filters.get_case(b.labelled(spark, sf), "48").select("case_id", "case_type", "verdict", "legal_citations")
@@ -62,6 +73,18 @@ def _(spark, sf):
     return filters.drop_empty_text(b.documents(spark, sf), "text").select("doc_id")
 
 
+@register(
+    "drop_blank_text",
+    f"""WITH d AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(10) || chr(9) ELSE text END AS text FROM documents)
+SELECT doc_id FROM d WHERE text IS NOT NULL AND {b.collapse('text')} <> ''""",
+)
+def _(spark, sf):
+    """Missing, empty and blank texts among the documents."""
+    kind = F.col("doc_id") % 9
+    text = F.when(kind == 0, F.lit(None)).when(kind == 1, "").when(kind == 2, " \n\t").otherwise(F.col("text"))
+    return filters.drop_empty_text(b.documents(spark, sf).withColumn("text", text), "text").select("doc_id")
+
+
 @register(
     "split_clean_unknown",
     f"""WITH {CLEANED} SELECT case_id, CASE WHEN case_type_mapped <> 'Unclassified' AND verdict_mapped <> 'OTHER'
@@ -81,6 +104,18 @@ def _(spark, sf):
     return filters.drop_singleton_classes(df, "verdict")
 
 
+@register(
+    "drop_singleton_customer_years",
+    """WITH o AS (SELECT o_orderkey, o_custkey || '/' || year(o_orderdate) AS label FROM orders)
+SELECT o_orderkey, label FROM o WHERE label IN (SELECT label FROM o GROUP BY 1 HAVING count(*) >= 2)""",
+)
+def _(spark, sf):
+    """Classes of one customer and year, many of which hold a single order."""
+    label = F.concat_ws("/", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string"))
+    df = b.table(spark, sf, "orders").select("o_orderkey", label.alias("label"))
+    return filters.drop_singleton_classes(df, "label")
+
+
 @register(
     "known_verdict_rows",
     f"WITH {LABELLED} SELECT case_id FROM labelled WHERE {rs.pattern_sql('lower(verdict)', outcomes.VERDICT_GROUPS, 'unknown')} <> 'unknown'",
@@ -126,6 +161,33 @@ def _(spark, sf):
     return filters.page_counts(filters.filter_cases(b.order_cases(spark, sf), verdict="o"), 20)
 
 
+def _paged(spark, sf):
+    path = scratch_path(spark, "pages")
+    paging.write_page_table(b.order_cases(spark, sf), path, "case_id", range_rows=1000)
+    return path
+
+
+@register(
+    "deep_page",
+    f"WITH {OC} SELECT case_id, court FROM oc ORDER BY case_id LIMIT 20 OFFSET (SELECT count(*) // 40 * 20 - 20 FROM oc)",
+)
+def _(spark, sf):
+    """The page half way through a page table of all orders."""
+    path = _paged(spark, sf)
+    half = paging.page_totals(spark, path).select(F.floor(F.col("total") / 40).alias("page")).first().page
+    return paging.read_page(spark, path, half, 20).select("case_id", "court")
+
+
+@register("page_table_totals", f"WITH {OC} SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM oc")
+def _(spark, sf):
+    return paging.page_totals(spark, _paged(spark, sf))
+
+
+@register("page_after", f"WITH {OC} SELECT case_id, court FROM oc WHERE case_id > '48' ORDER BY case_id LIMIT 20")
+def _(spark, sf):
+    return paging.page_after(b.order_cases(spark, sf), "48", 20).select("case_id", "court")
+
+
 @register(
     "top_cited",
     f"WITH {LABELLED} SELECT case_id, num_citations FROM labelled ORDER BY num_citations DESC, case_id LIMIT 10",
@@ -143,7 +205,10 @@ def _(spark, sf):
     return filters.last_years(profile.annual_volume(df), 20)
 
 
-@register("preview")
+@register(
+    "preview",
+    f"WITH {LABELLED} SELECT case_id, year, court, case_type, sub_type, verdict, num_citations FROM labelled ORDER BY case_id LIMIT 5",
+)
 def _(spark, sf):
     return filters.preview(b.labelled(spark, sf), 5)
 
@@ -230,7 +295,9 @@ JOIN (SELECT year_numeric, verdict_mapped, row_number() OVER (PARTITION BY year_
 
 @register("yearly_statistics", f"WITH {CLEANED} {yearly_sql('cleaned')}")
 def yearly_statistics(spark, sf):
-    return profile.yearly_statistics(b.cleaned(spark, sf))
+    """Labels of whole texts, but only those that are counted; no text leaves its task."""
+    wanted = ("case_type", "verdict", "num_citations")
+    return profile.yearly_statistics(clean_cases(label_cases(b.cases(spark, sf), columns=wanted)))
 
 
 @register("yearly_statistics_orders", f"WITH {OC} {yearly_sql('oc')}")
@@ -474,6 +541,18 @@ def _(spark, sf):
     return profile.missing_classes(parts, parts.join(sold, "p_partkey", "left_semi"), "label")
 
 
+@register(
+    "open_classes",
+    """SELECT o_custkey || ' ' || o_orderpriority AS label FROM orders
+EXCEPT SELECT o_custkey || ' ' || o_orderpriority FROM orders WHERE o_orderstatus = 'F'""",
+)
+def _(spark, sf):
+    """Pairs of customer and priority, and those among them without a finished order."""
+    label = F.concat_ws(" ", F.col("o_custkey").cast("string"), "o_orderpriority")
+    orders = b.table(spark, sf, "orders").withColumn("label", label)
+    return profile.missing_classes(orders, orders.filter("o_orderstatus = 'F'"), "label")
+
+
 # -- balance ----------------------------------------------------------------------------
 
 
@@ -503,6 +582,37 @@ def _(spark, sf):
     return balance.balance_report(df, "sub_type").withColumn("lines", F.size("advice")).drop("advice")
 
 
+def _advice_sql(counts: str) -> str:
+    general = "'judge by macro F1, not accuracy', 'split train, validation and test by class'"
+    weights = "'use balanced class weights (ratio ' || format('{:.1f}', max_n / min_n) || 'x)'"
+    merge = "'minority class ' || chr(39) || minority || chr(39) || ' has only ' || min_n || ' rows: merge rare classes'"
+    return f"""SELECT unnest(CASE WHEN max_n / min_n <= 5 THEN ['no special strategy needed']
+  WHEN max_n / min_n > 20 THEN [{weights}, {merge}, 'oversample minority classes or undersample the majority class', {general}]
+  ELSE [{weights}, {general}] END) AS line
+FROM (SELECT max(n) AS max_n, min(n) AS min_n, (SELECT label FROM {counts} ORDER BY n, label LIMIT 1) AS minority FROM {counts})"""
+
+
+@register(
+    "balance_advice",
+    f"""WITH {OC}, {LABELLED}, types AS (SELECT case_type AS label, count(*) AS n FROM labelled GROUP BY 1),
+subs AS (SELECT sub_type AS label, count(*) AS n FROM labelled GROUP BY 1),
+states AS (SELECT verdict_mapped AS label, count(*) AS n FROM oc GROUP BY 1)
+SELECT 'case type' AS target, line FROM ({_advice_sql('types')})
+UNION ALL SELECT 'sub type', line FROM ({_advice_sql('subs')})
+UNION ALL SELECT 'order status', line FROM ({_advice_sql('states')})""",
+)
+def _(spark, sf):
+    """Every line of advice for three columns of different balance."""
+    df = label_cases(b.cases(spark, sf), columns=("case_type", "sub_type")).select("case_type", "sub_type")
+    reports = {
+        "case type": balance.balance_report(df, "case_type"),
+        "sub type": balance.balance_report(df, "sub_type"),
+        "order status": balance.balance_report(b.order_cases(spark, sf), "verdict_mapped"),
+    }
+    lines = [r.select(F.lit(name).alias("target"), F.explode("advice").alias("line")) for name, r in reports.items()]
+    return lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
 @register(
     "class_weights",
     f"WITH {OC}, {_class_sql('verdict_mapped', 'oc')} SELECT label, {r_even('1 / n / (SELECT avg(1 / n) FROM c)', 6)} AS weight FROM c",

@@ -146,3 +146,43 @@ def test_sides_that_arrive_apart(spark, tmp_path):
     put("json", "one", '{"late": 1}')
     both = [("a b", "one", "<p>1</p>", '{"late": 1}'), ("a b", "two", "<p>2</p>", "{}")]
     assert seen() == both and seen() == both
+
+
+def test_only_the_rules_of_wanted_columns_are_planned(spark):
+    from casework.plans.case_table import label_cases
+    from casework.schemas import CASE
+
+    page = "<p>Smith v. Jones. indictment for grand larceny. the judgment is affirmed. 12 Conn. 345</p>"
+    raw = spark.createDataFrame([("src", "src_0001", page, '{"decision_date": "1871-01-01"}')], "source string, stem string, html string, json string")
+    whole = process_cases(raw).first().asDict()
+    for columns in (("case_id", "year"), ("sub_type",), ("verdict", "num_citations"), ("case_type", "case_id")):
+        assert process_cases(raw, columns=columns).first().asDict() == {c: whole[c] for c in columns}
+    plan = process_cases(raw, columns=("case_id", "year"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "larceny" not in plan and "curiam" not in plan
+    plan = process_cases(raw, columns=("verdict",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "curiam" in plan and "larceny" not in plan
+    assert process_cases(raw).columns == [f.name for f in CASE.fields]
+
+    texts = process_cases(raw, columns=("case_id", "case_text"))
+    every = label_cases(texts).first().asDict()
+    for columns in (("sub_type",), ("citations", "verdict"), ("legal_citations",)):
+        some = label_cases(texts, columns=columns)
+        assert set(some.columns) == {"case_id", "case_text", *columns}
+        assert all(some.first()[c] == every[c] for c in columns)
+    # a sub-type is found within the type that the row has
+    typed = texts.withColumn("case_type", F.lit("Torts - Defamation"))
+    assert label_cases(typed, columns=("sub_type",)).first().case_type == "Torts - Defamation"
+    with pytest.raises(ValueError):
+        label_cases(texts, columns=("court",))
+    with pytest.raises(ValueError):
+        process_cases(raw, columns=("page",))
+
+
+def test_yearly_statistics_moves_no_text(spark, sf):
+    from __spark_entry__ import queries
+
+    plan = queries()["yearly_statistics"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    before, _, after = plan.partition("Exchange hashpartitioning(_groupingexpression")
+    # below the only exchange the texts are read from the documents, above it nothing but counts is left
+    assert "documents.parquet" in after and "case_text" not in before and "text#" not in before
+    assert "Exchange" not in before.replace("AdaptiveSparkPlan", "")
