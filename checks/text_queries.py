@@ -18,6 +18,7 @@ from checks import bindings as b
 from checks import rule_sql as rs
 from checks.bindings import collapse, lit
 from checks.registry import SQL, register
+from checks.verdict_goldens import VERDICT_TEXTS
 
 # -- pages and sidecars ---------------------------------------------------------
 
@@ -466,3 +467,13 @@ def _(spark, sf):
     return filters.case_detail(b.cleaned(spark, sf).filter("is_clean"))
 
 
+@register(
+    "verdict_rules",
+    f"""SELECT o_orderkey, [{', '.join(lit(label) for _, label in VERDICT_TEXTS)}][CAST(o_orderkey % {len(VERDICT_TEXTS)} AS INT) + 1] AS verdict FROM orders""",
+)
+def _(spark, sf):
+    """Every order as an opinion that ends as one of the verdict rules asks for; the verdicts are literals."""
+    orders = spread(b.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    endings = b._pick([text for text, _ in VERDICT_TEXTS], "o_orderkey")
+    df = orders.select("o_orderkey", F.concat_ws(" ", "o_orderstatus", endings).alias("text"))
+    return labels.with_verdict(df, "text").select("o_orderkey", "verdict")

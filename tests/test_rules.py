@@ -143,3 +143,19 @@ def test_feature_check():
     labels.check_features(["text", "court"], ["keyword"])
     with pytest.raises(ValueError):
         labels.check_features(["text", "keyword"], ["keyword"])
+
+
+def test_every_verdict_rule_has_a_text_that_it_decides(spark):
+    """Each rule stands as a block of its own, so that the deciding rule is told apart, and then in its block."""
+    from casework.rules.engine import first_match
+    from casework.rules.verdict_pack import UNKNOWN_VERDICT, VERDICT_BLOCKS
+    from checks.verdict_goldens import VERDICT_GOLDENS
+
+    assert {name: len(rules) for name, _, rules in VERDICT_BLOCKS} == {name: len(g) for name, g in VERDICT_GOLDENS.items()}
+    rows = [(f"{name}.{k}", text, label) for name, g in VERDICT_GOLDENS.items() for k, (text, label) in enumerate(g)]
+    df = spark.createDataFrame(rows, "rule string, text string, expected string")
+    single = [(f"{name}.{k}", gate, [r]) for name, gate, rules in VERDICT_BLOCKS for k, r in enumerate(rules)]
+    found = first_match(df, F.col("text"), single, "verdict", UNKNOWN_VERDICT, "decided").collect()
+    assert [r for r in found if (r.rule, r.expected) != (r.decided, r.verdict)] == []
+    found = labels.with_verdict(df, "text", block_out="block").collect()
+    assert [r for r in found if (r.rule.split(".")[0], r.expected) != (r.block, r.verdict)] == []
