@@ -16,8 +16,9 @@ def smote(df: DataFrame, label: str, row_id: str, vector: str, k: int = 5, seed:
     A new row lies at a pseudo-random point between a row and one of its k nearest
     neighbours of the same class: x + u (neighbour - x). Classes with a single row
     cannot be lifted. The majority class is never touched. Neighbours are exact;
-    the search is tiled, so no task holds a class, but its work grows with the
-    square of the minority rows, as the method's does.
+    the search is tiled inside each class, so no task holds a class and classes
+    never meet, but its work grows with the square of a class's rows, as the
+    method's does.
     """
     rows = df.select(F.col(row_id).cast("string").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("embedding"))
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -107,6 +106,8 @@ def top_k(
     metric: str = "ip",
     same: str | None = None,
     skip: str | None = None,
+    broadcast_queries: int | None = None,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """Exact k best vectors of every query: (query_id, id, score, rank).
 
@@ -117,9 +118,10 @@ def top_k(
     The number of queries is counted first. A bounded set travels to the tasks
     and the vectors are scanned where they lie, each task answering with its k
     best per query. A larger set is cut into tiles, and so are the vectors; each
-    pair of tiles meets in one task of fixed memory. Neither shape ever holds
-    more than a tile of pairs, and no pair is emitted unless it is among a
-    tile's best k.
+    pair of tiles meets in one task of fixed memory, tiles of different *same*
+    values never. Neither shape ever holds more than a tile of pairs, and no
+    pair is emitted unless it is among a tile's best k. *broadcast_queries* and
+    *tile_rows* set these sizes; both shapes give the same rows.
     """
     id_type = vectors.schema["id"].dataType.simpleString()
     query_type = queries.schema["id"].dataType.simpleString()
@@ -127,11 +129,12 @@ def top_k(
     q = queries.filter("embedding IS NOT NULL").select("id", "embedding", *dict.fromkeys(extra))
     v = vectors.filter("embedding IS NOT NULL").select("id", "embedding", *dict.fromkeys(extra))
     schema = f"query_id {query_type}, id {id_type}, score double"
-    known = q.limit(BROADCAST_QUERIES + 1).collect()  # bounded: this many rows at most
-    if len(known) <= BROADCAST_QUERIES:
+    broadcast_queries = BROADCAST_QUERIES if broadcast_queries is None else broadcast_queries
+    known = q.limit(broadcast_queries + 1).collect()  # bounded: this many rows at most
+    if len(known) <= broadcast_queries:
         hits = _scan_top_k(known, v, k, metric, same, skip, schema)
     else:
-        hits = _tiled_top_k(q, v, k, metric, same, skip, schema)
+        hits = _tiled_top_k(q, v, k, metric, same, skip, schema, tile_rows)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -181,17 +184,34 @@ def _scan_top_k(known, vectors, k, metric, same, skip, schema) -> DataFrame:
     return vectors.mapInPandas(scan, schema)
 
 
-def _tiled_top_k(queries, vectors, k, metric, same, skip, schema) -> DataFrame:
-    q_tiles = max(1, ceil(queries.count() / TILE_ROWS))
-    v_tiles = max(1, ceil(vectors.count() / TILE_ROWS))
+def _tiled_top_k(queries, vectors, k, metric, same, skip, schema, tile_rows) -> DataFrame:
+    # missing values form a group of their own, as in the scan
+    group = F.coalesce(F.concat(F.lit("="), F.col(same).cast("string")), F.lit("")) if same else F.lit("")
+    return match_tiles(
+        queries.withColumn("_group", group), vectors.withColumn("_group", group), "_group", k, metric, skip, schema, tile_rows
+    )
+
+
+def match_tiles(queries, vectors, group, k, metric, skip, schema, tile_rows=None) -> DataFrame:
+    """(query_id, id, score): the best k per query and tile, of vectors of the query's own *group*.
+
+    Each group is cut into as many tiles as its rows need, so a group with a third of all rows is spread
+    as well; each row is copied once per tile of the other side. A null group matches nothing.
+    """
     best = _best_hits(metric, k)
+    tile_rows = tile_rows or TILE_ROWS
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(group).agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias(name))
 
-    def place(df: DataFrame, own: str, other: str, tiles: int, others: int) -> DataFrame:
-        tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-        return df.withColumn(own, tile).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    tiles = sizes(queries, "_q_tiles").join(sizes(vectors, "_v_tiles"), group)  # one row per group
 
-    left = place(queries, "qt", "vt", q_tiles, v_tiles)
-    right = place(vectors, "vt", "qt", v_tiles, q_tiles)
+    def place(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.join(tiles, group)
+        tile = F.pmod(F.xxhash64("id"), F.col(f"_{own}_tiles")).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.col(f"_{other}_tiles") - 1))
+        df = df.withColumn(f"_{own}", tile).withColumn(f"_{other}", others).drop("_q_tiles", "_v_tiles")
+        return df.select(*[F.col(c).alias(c) for c in df.columns])  # the two sides may be one table
 
     def meet(q, v):
         import numpy as np
@@ -202,16 +222,18 @@ def _tiled_top_k(queries, vectors, k, metric, same, skip, schema) -> DataFrame:
         rows = best(
             q["id"].to_numpy(),
             np.asarray(q["embedding"].tolist(), dtype="float64"),
-            q[same].to_numpy(dtype=object) if same else None,
+            None,
             v["id"].to_numpy(),
             np.asarray(v["embedding"].tolist(), dtype="float64"),
-            v[same].to_numpy(dtype=object) if same else None,
+            None,
             q[skip].to_numpy(dtype=object) if skip else None,
             v[skip].to_numpy(dtype=object) if skip else None,
         )
         return pd.DataFrame(rows, columns=["query_id", "id", "score"])
 
-    return left.groupBy("qt", "vt").cogroup(right.groupBy("qt", "vt")).applyInPandas(meet, schema)
+    keys = (group, "_q", "_v")
+    left, right = place(queries, "q", "v"), place(vectors, "v", "q")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from casework.operators import evaluate, explain, models, retrieve, sampling
+from casework.operators import cells, evaluate, explain, models, retrieve, sampling
 from casework.operators import features as feat
 from casework.operators.filters import filter_cases
 from casework.operators.oversample import smote
@@ -512,6 +512,38 @@ def vector_search(spark, sf):
     return retrieve.search(vectors.filter("id % 10 = 3"), vectors, 5).select("query_id", "id", "rank", "score")
 
 
+def _ranked(hits):
+    return hits.select("query_id", "id", "rank", feat.round_even(F.col("score"), 4).alias("score"))
+
+
+@register("vector_search_tiled", SQL["vector_search"])
+def _(spark, sf):
+    """The shape for many queries: both sides in tiles."""
+    vectors = _vectors(spark, sf)
+    return _ranked(retrieve.top_k(vectors.filter("id % 10 = 3"), vectors, 5, broadcast_queries=0, tile_rows=64))
+
+
+@register(
+    "class_neighbours",
+    f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round_even({_DOT} * 1e10, 0) / 1e10 AS score FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, id, CAST(rank AS INT) AS rank, {r_even('score', 4)} AS score FROM r WHERE rank <= 3""",
+)
+def _(spark, sf):
+    """Every vector's neighbours of its own class; tiles of different classes never meet."""
+    vectors = _vectors(spark, sf)
+    return _ranked(retrieve.top_k(vectors, vectors, 3, same="label", skip="id", broadcast_queries=0, tile_rows=64))
+
+
+@register("cell_search", SQL["vector_search"])
+def _(spark, sf):
+    """The search through a stored index of cells."""
+    path = scratch_path(spark, "cells")
+    vectors = _vectors(spark, sf)
+    cells.write_cells(vectors, path, cells=32)
+    return _ranked(cells.search_cells(vectors.filter("id % 10 = 3"), path, 5))
+
+
 @register(
     "similar_cases",
     f"""WITH v0 AS (SELECT vec_id // 4 || '_chunk_' || lpad(CAST(vec_id % 4 AS VARCHAR), 4, '0') AS id, CAST(vec_id // 4 AS VARCHAR) AS case_id, embedding FROM embeddings),
