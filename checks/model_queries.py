@@ -561,40 +561,34 @@ def _(spark, sf):
 
 _HITS = f"""s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round_even({_DOT} * 1e10, 0) / 1e10 AS score FROM embeddings q, embeddings v WHERE q.vec_id % 25 = 3),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3),
-hit AS (SELECT h.*, {r_even('score', 4)} AS sc, substr(c.case_text, 1, 300) AS text, c.case_type, c.verdict FROM h JOIN labelled c ON c.case_id = CAST(h.id % 150 AS VARCHAR)),
+hit AS (SELECT h.*, {r_even('score', 4)} AS sc, substr(c.case_text, 1, 300) AS text, c.case_type, c.verdict FROM h JOIN labelled c ON c.case_id = CAST(h.id % (SELECT count(*) FROM labelled) AS VARCHAR)),
 ctx AS (SELECT query_id, string_agg('[Case ' || rank || '] ID=' || id || format('  Score={{:.3f}}', sc) || '  Type=' || case_type || '  Verdict=' || verdict
     || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS sources FROM hit GROUP BY 1)"""
 
 
-def _contexts(spark, sf, slots=None):
-    """Every vector stands for the case its number falls on, of the first *slots* cases or of all."""
+def _contexts(spark, sf):
+    """Every vector stands for the case its number falls on, of all cases."""
     vectors = _vectors(spark, sf)
     facts = b.labelled(spark, sf).select(
         F.col("case_id").cast("bigint").alias("slot"),
         F.col("case_text").alias("text"),
         F.create_map(F.lit("case_type"), F.col("case_type"), F.lit("verdict"), F.col("verdict")).alias("metadata"),
     )
-    slots = facts.count() if slots is None else slots
-    vectors = vectors.withColumn("slot", F.col("id") % slots).join(facts, "slot")
+    vectors = vectors.withColumn("slot", F.col("id") % facts.count()).join(facts, "slot")
     hits = retrieve.search(vectors.filter("id % 25 = 3"), vectors, 3)
     return retrieve.format_context(hits)
 
 
 @register("format_context", f"WITH {rs.LABELLED}, {_HITS} SELECT query_id, context, sources FROM ctx")
 def _(spark, sf):
-    return _with_sources(_contexts(spark, sf, 150))
+    return _with_sources(_contexts(spark, sf))
 
 
 def _with_sources(df):
     return df.select("query_id", "context", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 
 
-def _over_all(name):
-    """The query's SQL with vectors dealt over the whole table."""
-    return SQL[name].replace("h.id % 150", "h.id % (SELECT count(*) FROM labelled)")
-
-
-@register("format_context_all", _over_all("format_context"))
+@register("format_context_all", SQL["format_context"])
 def _(spark, sf):
     return _with_sources(_contexts(spark, sf))
 
@@ -606,31 +600,29 @@ _TAIL = "\n\nProvide a concise, accurate legal answer citing the relevant cases
 @register(
     "build_prompts",
     f"""WITH {rs.LABELLED}, {_HITS} SELECT vec_id AS id, {lit(_HEAD)} || context || {lit(chr(10) * 2 + 'QUESTION: ')} || b.text || {lit(_TAIL)} AS prompt
-FROM embeddings e JOIN ctx ON ctx.query_id = e.vec_id JOIN benchmark b ON b.item_id = e.vec_id % 40""",
+FROM embeddings e JOIN ctx ON ctx.query_id = e.vec_id JOIN benchmark b ON b.item_id = e.vec_id % (SELECT count(*) FROM benchmark)""",
 )
 def _(spark, sf):
-    return _prompts(spark, sf, 40, _contexts(spark, sf, 150))
+    return _prompts(spark, sf, _contexts(spark, sf))
 
 
-def _prompts(spark, sf, items, contexts):
+def _prompts(spark, sf, contexts):
+    items = b.table(spark, sf, "benchmark").count()
     asked = b.table(spark, sf, "embeddings").filter("vec_id % 25 = 3").select("vec_id", (F.col("vec_id") % items).alias("item_id"))
     questions = asked.join(b.table(spark, sf, "benchmark"), "item_id").select(F.col("vec_id").alias("id"), F.col("text").alias("question"))
     return retrieve.build_prompts(questions, contexts).select("id", "prompt")
 
 
-@register(
-    "build_prompts_all",
-    _over_all("build_prompts").replace("e.vec_id % 40", "e.vec_id % (SELECT count(*) FROM benchmark)"),
-)
+@register("build_prompts_all", SQL["build_prompts"])
 def _(spark, sf):
-    return _prompts(spark, sf, b.table(spark, sf, "benchmark").count(), _contexts(spark, sf))
+    return _prompts(spark, sf, _contexts(spark, sf))
 
 
 def _rag(spark, sf):
     c = b.table(spark, sf, "conversations")
     asked = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     given = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    pairs = asked.join(given, ["conv_id", "turn"]).withColumn("item_id", F.col("conv_id") % 40)
+    pairs = asked.join(given, ["conv_id", "turn"]).withColumn("item_id", F.col("conv_id") % b.table(spark, sf, "benchmark").count())
     docs = b.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("doc"))
     pairs = pairs.join(docs, "item_id").withColumn("docs", F.array("doc", "question"))
     return retrieve.rag_scores(pairs)
@@ -641,7 +633,7 @@ def _set(c: str) -> str:
 
 
 _RAG = f"""pr AS (SELECT q.conv_id, q.turn, {_set('q.text')} AS q, {_set('a.text')} AS a, {_set("b.text || ' ' || q.text")} AS d
-  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 JOIN benchmark b ON b.item_id = q.conv_id % 40
+  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 JOIN benchmark b ON b.item_id = q.conv_id % (SELECT count(*) FROM benchmark)
   WHERE q.role = 'user' AND a.role = 'assistant'),
 rag AS (SELECT conv_id, turn, least({r_even('len(list_intersect(q, d)) / (len(q) + 1e-9)', 3)}, 1.0) AS context_precision,
   least({r_even('len(list_intersect(a, d)) / (len(a) + 1e-9)', 3)}, 1.0) AS answer_relevance FROM pr)"""

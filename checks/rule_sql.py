@@ -111,7 +111,7 @@ typed AS MATERIALIZED (
 LABELLED = f"""{TYPED},
 labelled AS MATERIALIZED (
   SELECT *, CAST(len(citations) AS INT) AS num_citations,
-    array_to_string(list_slice(citations, 1, 20), '; ') AS legal_citations
+    array_to_string(citations, '; ') AS legal_citations
   FROM (SELECT * EXCLUDE ({', '.join(WINDOWS)}), {_verdict} AS verdict, {citation_sql('case_text')} AS citations
         FROM (SELECT *, {_windows} FROM typed)))"""
 _sub_labels = {name: f"{group}__{name}" for name, group in maps.LEVEL_0.items()}

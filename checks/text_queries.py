@@ -112,13 +112,13 @@ SELECT lpad(CAST(page_id AS VARCHAR), 4, '0') AS case_id,
   'src' AS source_folder,
   coalesce(nullif(left(day, 4), ''), nullif(regexp_extract(case_text, '\\b((?:18|19|20)\\d{{2}})\\b', 1), ''), 'Unknown') AS year,
   coalesce('Supreme Court of ' || nullif(regexp_extract(case_text, 'Supreme Court of ([A-Za-z]+)', 1), ''), 'Supreme Court of Indiana') AS court,
-  substr(case_text, 1, 10000) AS case_text, CAST(length(page) AS INT) AS case_text_full_length, verdict, case_type, sub_type,
-  CAST(len(citations) AS INT) AS num_citations, array_to_string(list_slice(citations, 1, 20), '; ') AS legal_citations,
+  case_text, CAST(length(page) AS INT) AS case_text_full_length, verdict, case_type, sub_type,
+  CAST(len(citations) AS INT) AS num_citations, array_to_string(citations, '; ') AS legal_citations,
   day AS decision_date, '' AS docket_number, '' AS first_page, '' AS last_page
 FROM full_ WHERE case_text <> ''""",
 )
 def _(spark, sf):
-    return process_cases(_raw_cases(spark, sf), cut_text=True, citation_limit=txt.STORED_CITATIONS)
+    return process_cases(_raw_cases(spark, sf))
 
 
 def _raw_cases(spark, sf):
@@ -140,7 +140,7 @@ def _raw_cases(spark, sf):
 
 @register(
     "process_cases_whole",
-    SQL["process_cases"].replace("substr(case_text, 1, 10000)", "case_text").replace("list_slice(citations, 1, 20)", "citations"),
+    SQL["process_cases"],
 )
 def _(spark, sf):
     return process_cases(_raw_cases(spark, sf))
@@ -286,7 +286,7 @@ def _(spark, sf):
 @register(
     "citation_columns",
     f"""WITH {b.CASES}, c AS (SELECT case_id, {rs.citation_sql('case_text')} AS l FROM cases)
-SELECT case_id, CAST(len(l) AS INT) AS num_citations, array_to_string(list_slice(l, 1, 20), '; ') AS legal_citations FROM c""",
+SELECT case_id, CAST(len(l) AS INT) AS num_citations, array_to_string(l, '; ') AS legal_citations FROM c""",
 )
 def _(spark, sf):
     return b.cited(spark, sf).select("case_id", "num_citations", "legal_citations")
