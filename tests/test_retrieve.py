@@ -45,6 +45,18 @@ def test_same_and_skip(spark):
     assert got(retrieve.top_k(df, df, 3, same="tag", skip="id")) == expected
 
 
+def test_small_tiles_do_not_copy_rows_for_every_tile(spark):
+    """Rows travel once per block of the other side, and the blocks' sizes do not follow the tiles'."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(-3, 4, size=(400, 6)).astype("float64")  # whole numbers: many equal scores
+    df = spark.createDataFrame([(i, [float(x) for x in v], None if i % 7 == 0 else f"t{i % 3}") for i, v in enumerate(data)], "id long, embedding array<double>, tag string")
+    found = retrieve.top_k(df, df, 4, broadcast_queries=0, tile_rows=16)
+    assert got(found) == brute(data, 4)
+    assert got(retrieve.top_k(df, df, 4, skip="tag", broadcast_queries=0, tile_rows=16)) == brute(data, 4, lambda q, r: (q % 7 and q % 3) != (r % 7 and r % 3) or (q % 7 == 0) != (r % 7 == 0))
+    kernel = retrieve.match_tiles(df.withColumn("g", F.lit(1)), df.withColumn("g", F.lit(1)), "g", 4, "ip", None, "query_id long, id long, score double", 16)
+    assert kernel.count() == 4 * 400  # k hits for every query and block, not for each of 25 tiles
+
+
 def test_no_vectors(spark):
     df, _ = vectors(spark)
     blank = df.withColumn("embedding", F.lit(None).cast("array<float>"))
