@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, MapTyp
 RANGE, ROW = "_page_range", "_page_row"
 _HASH, _SALT = "_page_hash", "_page_salt"
 RANGE_ROWS = 100_000
+SMALL_RANGES = 256  # ranges of fewer rows than that; a file and a task each
 
 
 def _hashable(kind: DataType) -> bool:
@@ -31,6 +32,8 @@ def _hashable(kind: DataType) -> bool:
 def write_page_table(df: DataFrame, path: str, key: str = "case_id", range_rows: int = RANGE_ROWS) -> None:
     """Write *df* under *path*, sorted by *key* (nulls first), with an index of about *range_rows* rows a range.
 
+    Where that would make over ``SMALL_RANGES`` ranges they get larger, up to ``RANGE_ROWS`` rows each.
+
     Rows of one key are ordered by a digest of their columns; a key of very many rows fills several
     ranges, and so do equal rows. *df* is a stored table: a task that is run again has to meet its
     rows in the same order. An empty table has no pages.
@@ -42,7 +45,8 @@ def write_page_table(df: DataFrame, path: str, key: str = "case_id", range_rows:
         raise ValueError("a range has at least one row")
     spark = df.sparkSession
     df.limit(0).write.parquet(f"{path}/schema")
-    ranges = max(1, ceil(df.count() / range_rows))
+    n = df.count()
+    ranges = max(1, min(ceil(n / range_rows), max(SMALL_RANGES, ceil(n / RANGE_ROWS))))
     digest = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
     order = [key, _HASH, _SALT]
     rows = df.withColumns({_HASH: digest, _SALT: F.rand(0)}).repartitionByRange(ranges, *order)

@@ -46,6 +46,14 @@ def test_deep_page_reads_one_range(spark):
     assert "PartitionFilters: [isnotnull(_page_range" in plan and "PushedFilters: [IsNotNull(_page_row)" in plan
 
 
+def test_small_ranges_grow_before_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(paging, "SMALL_RANGES", 8)
+    path = scratch_path(spark, "pages")
+    paging.write_page_table(spark.range(2_000).withColumnRenamed("id", "case_id"), path, range_rows=10)
+    assert spark.read.parquet(path + "/ranges").count() <= 8
+    assert every_row(spark, path, 100) == [(i,) for i in range(2_000)]
+
+
 def test_empty_table_and_wrong_arguments(spark):
     df, path = spark.createDataFrame([], "case_id string, n int"), scratch_path(spark, "pages")
     paging.write_page_table(df, path)
