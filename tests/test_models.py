@@ -91,6 +91,26 @@ def test_registered_models_are_whole(spark, sf, monkeypatch):
     assert given == [(sorted(models.ESTIMATORS), (), {}), 5]
 
 
+def test_texts_are_tokenised_once_for_all_fits(spark, cases, monkeypatch):
+    """The rows' terms are stored, and every vocabulary and vector is made of them."""
+    from casework.operators import features as feat
+
+    counted, plain = [], feat.term_counts
+    monkeypatch.setattr(feat, "term_counts", lambda *a: counted.append(a[0]) or plain(*a))
+    two = [models.TextClassifier(t, "naive_bayes", SPEC) for t in ("case_type", "sub_type")]
+    rows = cases.withColumn("sub_type", F.when(F.col("case_id") < "0040", F.col("sub_type")))
+    models.fit_all(two, rows)
+    assert len(counted) == 1
+    alone = models.TextClassifier("sub_type", "naive_bayes", SPEC).fit(rows)
+    assert len(counted) == 2 and two[1].classes == alone.classes
+    terms = lambda m: sorted((r.term, r.idx, r.df, r.idf) for r in m.vocab.collect())
+    assert terms(two[1]) == terms(alone) and two[1].model.theta == alone.model.theta
+    models.SubtypeClassifier("naive_bayes", SPEC).fit(cases)
+    assert len(counted) == 3
+    with pytest.raises(ValueError):
+        models.count_once(rows, [two[0], models.TextClassifier("sub_type", spec=TfidfSpec((1, 2)))])
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
