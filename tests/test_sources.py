@@ -186,3 +186,21 @@ def test_yearly_statistics_moves_no_text(spark, sf):
     # below the only exchange the texts are read from the documents, above it nothing but counts is left
     assert "documents.parquet" in after and "case_text" not in before and "text#" not in before
     assert "Exchange" not in before.replace("AdaptiveSparkPlan", "")
+
+
+def test_narrow_rows_are_spread_over_splits_without_row_groups(spark, tmp_path):
+    """One row group cut into many splits used to stay one task."""
+    from pyspark.sql import functions as F
+
+    from casework.session import spread
+
+    path = str(tmp_path / "one-group")
+    spark.range(20_000).withColumn("x", F.md5(F.col("id").cast("string"))).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = spread(rows, narrow=True).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(r["count"] for r in sizes) == 20_000 and max(r["count"] for r in sizes) < 5_000
