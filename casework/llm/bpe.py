@@ -1,10 +1,10 @@
 """Byte-level BPE by recursive queries in each partition.
 
 Texts are split by the tokenizer's pattern. The words that a task has not met yet
-become rows of token positions in an embedded DuckDB; a recursive query joins
-neighbouring tokens with the merge table and contracts, in every word, the leftmost
-pair of least rank, until no word changes. Decoding joins token positions with the
-vocabulary and puts the bytes together by ordered aggregation.
+become rows of neighbouring tokens in an embedded DuckDB, one row for each place in a
+word; a recursive query joins them with the merge table and contracts, in every word,
+the leftmost pair of least rank, until no word changes. Decoding joins token positions
+with the vocabulary and puts the bytes together in the order of the positions.
 
 Scale: every row is encoded in its own task, and decoded there too if asked; nothing is
 shuffled. Only distinct words go through the recursion, in parts whose rounds hold at most
@@ -24,9 +24,11 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import islice
+from itertools import chain, count, islice
 
 import duckdb
 import numpy as np
@@ -39,30 +41,31 @@ from pyspark.sql import types as T
 from casework.llm.arrays import slices
 
 KEPT = 50_000  # words that a worker remembers between tasks, those it met first
-STEPS = 3_000_000  # sum of the squares of the word lengths in one recursion
+STEPS = 1_000_000  # sum of the squares of the word lengths in one recursion
 CACHE = 400_000
 LONG = 256
 SLICE = 1_500_000  # bytes of text that are encoded at a time
 TOKENS = 250_000  # token rows that one decoding query takes
 
+# a row is two neighbouring tokens, left << 32 | right; EDGE stands before the first and after the last token of a word;
+# its place is position of the left token << 16 | position of the right one
+EDGE = 2**31 - 1
 ENCODE = """
-WITH RECURSIVE step(word, toks, round) AS (
-    SELECT word, list(tok ORDER BY pos), 0 FROM start GROUP BY word
+WITH RECURSIVE step(word, place, pair, done) AS (
+    SELECT word, place, pair, false FROM start
     UNION ALL
-    (WITH pairs AS (
-        SELECT word, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS following, generate_subscripts(toks[2:], 1) AS pos
-        FROM step WHERE len(toks) > 1),
-     best AS (
-        SELECT word, min(m.id::BIGINT * 65536 + pos) AS least
-        FROM pairs p JOIN merges m ON p.tok = m.l AND p.following = m.r GROUP BY word),
-     place AS (SELECT word, least // 65536 AS id, least % 65536 AS pos FROM best)
-     SELECT word, toks[:pos - 1] || [id::INT] || toks[pos + 2:], round + 1 FROM step JOIN place USING (word)))
-SELECT word, arg_max(toks, round) AS ids FROM step GROUP BY word ORDER BY word
-"""
-DECODE = """
-SELECT t.r, string_agg(v.bytes, '' ORDER BY t.pos) AS bytes, count(*) AS n
-FROM given t JOIN vocabulary v ON v.id = t.id GROUP BY t.r
+    (WITH best AS (
+        SELECT word, min(id << 32 | place) AS least FROM step JOIN merges USING (pair) WHERE NOT done GROUP BY word),
+     chosen AS (
+        SELECT word, least >> 32 AS id, least & 4294967295 AS gone, least >> 16 & 65535 AS l, least & 65535 AS r FROM best)
+     SELECT word, (CASE WHEN place >> 16 = r THEN l << 16 | (place & 65535) ELSE place END)::INT,
+        CASE WHEN place >> 16 = r THEN id << 32 | (pair & 4294967295)
+             WHEN place & 65535 = l THEN (pair & -4294967296) | id ELSE pair END,
+        id IS NULL
+     FROM step LEFT JOIN chosen USING (word) WHERE NOT done AND place IS DISTINCT FROM gone))
+SELECT word, place, pair FROM step WHERE done
 """
+DECODE = "SELECT t.pos, v.bytes FROM given t JOIN vocabulary v ON v.id = t.id ORDER BY t.pos"
 
 #: For texts without a character beyond U+024F: classes of that range written out for the faster engine.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r" \t\n\v\f\r\x85\xa0"
@@ -87,11 +90,10 @@ class Codec:
     def db(self) -> duckdb.DuckDBPyConnection:
         """The database with the merge table and the vocabulary, from the first use to the end of the task."""
         db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
-        # a byte is the code point of its number, so that tokens are strings to the database
-        tokens = pa.array([t.decode("latin-1") for t in self.ranks])
+        tokens = pa.array(list(self.ranks), pa.binary())
         vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "bytes": tokens})
-        rows = np.array([(*pair, rank) for pair, rank in self.merges.items()], np.int32).reshape(-1, 3)
-        merges = pa.table({"l": rows[:, 0], "r": rows[:, 1], "id": rows[:, 2]})
+        rows = np.array([(*pair, rank) for pair, rank in self.merges.items()], np.int64).reshape(-1, 3)
+        merges = pa.table({"pair": rows[:, 0] << 32 | rows[:, 1], "id": rows[:, 2]})
         for name, arriving in (("vocabulary", vocabulary), ("merges", merges)):
             db.register("arriving", arriving)
             db.execute(f"CREATE TABLE {name} AS SELECT * FROM arriving")
@@ -130,12 +132,18 @@ class Codec:
         """Ids of each word by the recursive query."""
         data = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.array([len(w) for w in words], np.int64)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        pos = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        self.load("start", pa.table({"word": word, "pos": pos, "tok": self.single[data]}))
-        found = self.db.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
-        flat = found.values.to_numpy().astype(np.int32).tobytes()
-        at = (4 * found.offsets.to_numpy()).tolist()
+        word = np.repeat(np.arange(len(words)), sizes + 1)
+        pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+        left, right = np.full((2, len(word)), EDGE, np.int64)
+        left[pos > 0] = right[pos < sizes[word]] = self.single[data]
+        pair = left << 32 | right & 0xFFFFFFFF
+        self.load("start", pa.table({"word": word.astype(np.int32), "place": (pos << 16 | pos + 1).astype(np.int32), "pair": pair}))
+        found = self.db.sql(ENCODE).to_arrow_table()
+        word, place, pair = (found[name].to_numpy() for name in ("word", "place", "pair"))
+        token = pair & 0xFFFFFFFF
+        word, place, token = (x[token != EDGE] for x in (word, place, token))
+        flat = token[np.lexsort((place, word))].astype(np.int32).tobytes()
+        at = [0, *(4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()]
         return [flat[a:b] for a, b in zip(at, at[1:])]
 
     def merge_long(self, word: bytes) -> bytes:
@@ -163,14 +171,14 @@ class Codec:
                     heapq.heappush(heap, (new, k))
         return np.array([t for t in tok if t is not None], np.int32).tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Adds the ids of words that are not known yet."""
         todo: list[tuple[str, bytes]] = []
         for word in words:
             data = word.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
             if whole is not None:
-                self.known[word] = np.int32(whole).tobytes()
+                self.known[word] = whole.to_bytes(4, sys.byteorder)
             elif len(data) > LONG:
                 self.known[word] = self.merge_long(data)
             else:
@@ -180,38 +188,53 @@ class Codec:
         for at, end in zip(edges, edges[1:]):
             part = todo[at:end]
             if part:
-                for (word, _), ids in zip(part, self.merge_words([d for _, d in part])):
-                    self.known[word] = ids
+                self.known.update(zip([w for w, _ in part], self.merge_words([d for _, d in part])))
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         """The ids of each whole text, as lists."""
         split = [self.split(t or "") for t in texts]
-        words = set().union(*split)
-        fresh = words - self.known.keys()
+        bounds = np.cumsum([0, *map(len, split)])
+        numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        place = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int32, bounds[-1])
+        words = list(numbers)
+        fresh = [w for w in words if w not in self.known]
         if len(self.known) + len(fresh) > CACHE:
             self.known.clear()
             fresh = words
         self.learn(fresh)
-        parts = [b"".join(map(self.known.__getitem__, found)) for found in split]
-        offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        parts = [self.known[w] for w in words]
+        flat = np.frombuffer(b"".join(parts), np.int32)
+        sizes = np.array([len(p) // 4 for p in parts], np.int32)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        ids = [np.zeros(0, np.int32)]
+        for start in range(0, len(place), TOKENS):
+            part = place[start : start + TOKENS]
+            size = sizes[part]
+            ends = np.cumsum(size, dtype=np.int64)
+            ids.append(flat[np.repeat(starts[part] - ends + size, size) + np.arange(ends[-1])])
+        offsets = np.concatenate(([0], np.cumsum(sizes[place], dtype=np.int64)))[bounds].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
 
     def decode(self, rows: pa.Array) -> list[bytes]:
         """Bytes of each list of ids."""
         row, ids = pc.list_parent_indices(rows), rows.flatten()
         if ids.null_count:
             row, ids = row.filter(ids.is_valid()), ids.drop_null()
+        row = row.to_numpy(zero_copy_only=False)
         out = [b""] * len(rows)
         for start in range(0, len(ids), TOKENS):
-            part = ids.slice(start, TOKENS)
-            pos = pa.array(np.arange(len(part), dtype=np.int32))
-            self.db.register("given", pa.table({"r": row.slice(start, TOKENS), "pos": pos, "id": part}))
-            found = self.db.sql(DECODE).to_arrow_table()
+            part, own = ids.slice(start, TOKENS), row[start : start + TOKENS]
+            self.db.register("given", pa.table({"pos": np.arange(len(part), dtype=np.int32), "id": part}))
+            found = self.db.sql(DECODE).to_arrow_table()["bytes"].cast(pa.binary()).combine_chunks()
             self.db.unregister("given")
-            if pc.sum(found["n"]).as_py() != len(part):
+            if len(found) != len(part):
                 raise ValueError("an id is not in the vocabulary")
-            for r, text in zip(found["r"].to_pylist(), found["bytes"].to_pylist()):
-                out[r] += text.encode("latin-1")
+            edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy())))[edges].tolist()
+            _, offsets, data = found.buffers()
+            data = memoryview(data or b"")[np.frombuffer(offsets, np.int32)[found.offset] :]
+            for r, a, b in zip(own[edges[:-1]].tolist(), ends, ends[1:]):
+                out[r] += data[a:b]
         return out
 
 

@@ -46,6 +46,31 @@ def test_query_and_heap_contract_alike(both):
     assert own.merge_words(words) == [own.merge_long(w) for w in words]
 
 
+def test_words_are_looked_up_once():
+    """A slice asks for each of its words once, however often it stands there, and the recursion moves rows, not lists."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    own = Codec(PATH, PATTERN, LATIN_PATTERN)
+    own.known = Counted()
+    got = own.encode(["qzxjk vwqpt" * 300, None, "vwqpt" * 2, ""]).to_pylist()
+    assert Counted.asked <= len(own.known) == 4
+    assert [len(x) > 0 for x in got] == [True, False, True, False]
+    assert own.decode(pa.array(got, pa.list_(pa.int32()))) == [b"qzxjk vwqpt" * 300, b"", b"vwqpt" * 2, b""]
+    assert not [c for c in own.db.sql(bpe.ENCODE).to_arrow_table().schema.types if pa.types.is_list(c)]
+
+
+def test_edges_of_the_recursion(both):
+    own, _ = both
+    words = [b"a", b"\xff", b"the" * 85 + b"s", b"\x00" * 256, b"ab", b"\xc3\xa9" * 128]
+    assert own.merge_words(words) == [own.merge_long(w) for w in words]
+
+
 def test_decoding_in_pieces(both, monkeypatch):
     texts = list(random_texts())[::7]
     ids = both[0].encode(texts)
