@@ -118,3 +118,17 @@ def test_row_terms_are_words(spark):
     assert [r.terms for r in counted.orderBy("id").collect()] == [["b", "a", "b"], []]
     blanks = feat.TfidfSpec((1, 1), token_pattern="[a-z ]+")
     assert [(e.term, e.tf) for e in feat.term_counts(df, "id", "t", blanks).orderBy("id").first().terms] == [("b a b", 1)]
+
+
+def test_weights_are_made_once_for_their_rows(spark):
+    """The rows of exploded weights had a filter that made the weights a second time."""
+    spec = feat.TfidfSpec((1, 2), 60, 2)
+    df = spark.createDataFrame([*_texts(random.Random(6), 40), (None, "w1 w2 w1 w2"), (3, "w1 w2")], "id long, t string").coalesce(2)
+    counted = feat.term_counts(df, "id", "t", spec)
+    vocab = feat.vocabulary(counted, spec)
+    weighed = feat.weigh(counted, vocab, "id", spec).collect()
+    long = feat.long_weights(counted, vocab, "id", spec)
+    key = lambda r: (str(r[0]), r[1], r[2])
+    assert sorted(map(tuple, long.collect()), key=key) == sorted(((r.id, e.term, e.w) for r in weighed for e in r.weights), key=key)
+    plan = feat.tfidf(df, "id", "t", spec)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
